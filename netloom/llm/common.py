@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,7 +99,7 @@ def arrow_map(
     chosen = docs.select(*[c.alias(f"_{i}") for i, c in enumerate(inputs)], *[F.col(f"`{c}`") for c in carry])
     carried = [chosen.schema[n + i] for i in range(len(carry))]
     schema = T.StructType([*carried, *outputs.fields])
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = kernel()
