@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def tables(n: int, radius: int, bits: int = 64, load: int = 256) -> list[int]:
     """Bit masks of the bucket tables: k of radius + k blocks each, k the smallest that keeps buckets of random fingerprints under ``load``."""
-    k = next((k for k in range(1, 5) if n / 2 ** (bits * k / (radius + k)) <= load), 4)
+    k = next((k for k in range(1 if radius <= 4 else 2, 5) if n / 2 ** (bits * k / (radius + k)) <= load), 4)
     edges = [round(i * bits / (radius + k)) for i in range(radius + k + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
     masks = [sum(c) for c in combinations(blocks, k)]
@@ -225,8 +225,31 @@ def hex16(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, with all columns."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies, with all columns: of a component the smallest id stays, and every other row goes
+    whose set of word shingles has at least this Jaccard similarity to it (checked exactly)."""
+    found = near_duplicates(docs, id_col, text_col, words=words, radius=radius)
+    copies = durable(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id"), F.col("component_id").alias("first")).distinct(), "copies")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    firsts = copies.select(F.col("first").alias("id")).distinct().join(texts, "id").groupBy("id").agg(F.min("text").alias("kept")).withColumnRenamed("id", "first")
+    pairs = spread_join(copies.join(texts, "id"), firsts, ["first"], F.col("id"), RUNS)
+
+    def kernel():
+        def work(columns):
+            own, other, ids = columns
+            last: tuple[str | None, set[int]] = (None, set())
+            out = []
+            for a, b in zip(own, other, strict=True):
+                if last[0] is None or b != last[0]:
+                    last = (b or "", set(shingle_hashes(b, words)))
+                mine = set(shingle_hashes(a, words))
+                both = len(mine & last[1])
+                out.append(both >= similarity * max(1, len(mine) + len(last[1]) - both) or not (mine or last[1]))
+            return [ids, out], None
+
+        return work
+
+    schema = T.StructType([T.StructField("__gone", copies.schema["id"].dataType), T.StructField("near", T.BooleanType())])
+    judged = arrow_map(pairs, [F.col("text"), F.col("kept"), F.col("id")], schema, kernel)
+    gone = durable(judged.where("near").select("__gone").distinct(), "gone")
     return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
