@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import network
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(network.QUERIES)
+ORACLES: dict[str, str] = dict(network.ORACLES)
 FLAGSHIP = "network_slice"
