@@ -10,6 +10,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -25,7 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: White space of the word pattern [^\x20\x09-\x0D]+; bytes.split() uses the same six.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
+SLICE_ROWS = 4096
 _WRITTEN: dict[str, list[str]] = {}
 
 
@@ -53,10 +56,30 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table: its plan starts at the files from here on."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, so that long texts don't pile up beside the JVM's heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        if int("".join(filter(str.isdigit, spark.conf.get(key)))) > BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
+    except Exception:  # not a setting of this Spark version: rows bound the batches then
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def trim() -> None:
+    """Give a worker's freed memory back to the system between tasks; workers live on and would keep their peak."""
+    with contextlib.suppress(OSError, AttributeError):
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that the operators of this session have written; their results are void then."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -66,12 +89,12 @@ def release(spark: SparkSession) -> None:
 
 
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices whose texts together stay near ``limit`` bytes; one text is never cut."""
+    """``batch`` in slices whose texts together stay near ``limit`` bytes, of at most ``SLICE_ROWS`` rows; one text is never cut."""
     column = batch.column(text_at)
     sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if i > start and total + n > limit:
+        if i > start and (total + n > limit or i - start == SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -95,6 +118,7 @@ def arrow_map(
     None for one output row per input row). Carried columns keep their names
     and come first; the inputs travel under positions, so no name can clash.
     """
+    small_batches(docs.sparkSession)
     n = len(inputs)
     chosen = docs.select(*[c.alias(f"_{i}") for i, c in enumerate(inputs)], *[F.col(f"`{c}`") for c in carry])
     carried = [chosen.schema[n + i] for i in range(len(carry))]
@@ -113,6 +137,7 @@ def arrow_map(
                 columns = [c.cast(f.type) for c, f in zip(kept, arrow, strict=False)]
                 columns += [c if isinstance(c, pa.Array) and c.type == f.type else (c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type)) for c, f in zip(made, list(arrow)[len(kept) :], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        trim()
 
     return chosen.mapInArrow(run, schema)
 

@@ -19,7 +19,9 @@ MASK = (1 << 64) - 1
 OTHER_SPACE = re.compile("[\x00\x1c-\x1f\x85\xa0 ᠎ -     　﻿]").search
 #: Below this code point the letter and number classes of every Unicode version in use agree.
 SAFE = 0x530
-CUT = 1 << 20
+CUT = 1 << 18
+#: Bytes that are hashed together; the tables of powers are as long as this.
+GROUP = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -82,10 +84,22 @@ def segments(text: str, cut: int = CUT) -> list[str]:
     return [*out, text[start:]]
 
 
+def groups(parts: list[bytes], limit: int = GROUP):
+    """(number of the first part, parts) in runs of about ``limit`` bytes."""
+    start, total = 0, 0
+    for i, part in enumerate(parts):
+        if i > start and total + len(part) > limit:
+            yield start, parts[start:i]
+            start, total = i, 0
+        total += len(part) + 1
+    if len(parts) > start:
+        yield start, parts[start:]
+
+
 class WordTable:
     """From 128-bit word keys to codes 0, 1, 2, ...; at ``limit`` words it starts afresh, so memory is bounded."""
 
-    def __init__(self, limit: int = 1 << 21):
+    def __init__(self, limit: int = 1 << 19):
         self.limit = limit
         self.clear()
 
@@ -171,7 +185,7 @@ class Pool:
 class Cached:
     """Words to codes through a table; ``make`` gives the pool's rows of unknown words."""
 
-    def __init__(self, kind=np.int32, limit: int = 1 << 21):
+    def __init__(self, kind=np.int32, limit: int = 1 << 19):
         self.table, self.pool = WordTable(limit), Pool(kind)
 
     def codes(self, h1: np.ndarray, h2: np.ndarray, make) -> np.ndarray:
