@@ -21,7 +21,7 @@ import unicodedata
 import numpy as np
 import regex
 
-from .pretok import OTHER_SPACE, SAFE, Cached, Words, segments
+from .pretok import CUT, OTHER_SPACE, SAFE, Cached, Words, groups, segments
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -107,6 +107,11 @@ class Coder:
     def unusual(self, text: str) -> bool:
         return OTHER_SPACE(text) is not None or any(s in text for s in self.special)
 
+    def parts(self, text: str) -> list[str] | None:
+        """``text`` in segments, or None if it has a word too long for the word table."""
+        found = segments(text)
+        return None if max(map(len, found)) > 4 * CUT else found
+
 
 class ByteCounter(Coder):
     """Numbers of tokens under a byte-level vocabulary whose pre-tokens may start with one space."""
@@ -140,18 +145,21 @@ class ByteCounter(Coder):
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.unusual(text):
+            own = None if self.unusual(text) else self.parts(text)
+            if own is None:
                 out[i] = len(self.by_library(text))
             else:
-                for s in segments(text):
-                    parts.append(s.encode())
-                    owner.append(i)
-        if not parts:
-            return out
-        owner_of = np.array(owner)
+                parts += [s.encode() for s in own]
+                owner += [i] * len(own)
+        for first, some in groups(parts):
+            np.add.at(out, owner[first : first + len(some)], self.count_parts(some))
+        return out
+
+    def count_parts(self, parts: list[bytes]) -> np.ndarray:
         w = Words(parts)
         begin, end = w.begin[:-1], w.begin[1:] - 1
-        per_part = np.zeros(len(parts), np.int64)
+        total = np.zeros(len(parts), np.int64)
+        last = begin.copy()
         if len(w.starts):
             before = np.maximum(np.concatenate(([0], w.ends[:-1])), begin[w.text])
             gap = w.starts - before
@@ -166,16 +174,11 @@ class ByteCounter(Coder):
             for i in np.flatnonzero(gap > 1).tolist():
                 run = w.buffer[before[i] : w.starts[i]].decode()
                 n[i] += self.run(run[:-1]) + (0 if spaced[i] else self.run(run[-1]))
-            per_part += np.bincount(w.text, n, len(parts)).astype(np.int64)
-            last = np.zeros(len(parts), np.int64)
+            total += np.bincount(w.text, n, len(parts)).astype(np.int64)
             np.maximum.at(last, w.text, w.ends)
-            last = np.maximum(last, begin)
-        else:
-            last = begin
         for i in np.flatnonzero(end > last).tolist():
-            per_part[i] += self.run(w.buffer[last[i] : end[i]].decode())
-        out += np.bincount(owner_of, per_part, len(texts)).astype(np.int64)
-        return out
+            total[i] += self.run(w.buffer[last[i] : end[i]].decode())
+        return total
 
 
 class WordCoder(Coder):
@@ -201,19 +204,22 @@ class WordCoder(Coder):
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.unusual(text) or "Σ" in text or not unicodedata.is_normalized("NFC", text):
+            plain = not self.unusual(text) and "Σ" not in text and unicodedata.is_normalized("NFC", text)
+            own = self.parts(text) if plain else None
+            if own is None:
                 whole[i] = self.by_library(text)
             else:
-                for s in segments(text):
-                    parts.append(s.lower().encode())
-                    owner.append(i)
+                parts += [s.lower().encode() for s in own]
+                owner += [i] * len(own)
         lengths = np.zeros(len(texts), np.int64)
-        flat = np.zeros(0, np.int32)
-        if parts:
-            w = Words(parts)
-            codes = self.cached.codes(w.h1, w.h2, lambda at: [self.word(w.word(i).decode()) for i in at.tolist()])
+        flats = [np.zeros(0, np.int32)]
+        for first, some in groups(parts):
+            w = Words(some)
+            codes = self.cached.codes(w.h1, w.h2, lambda at, w=w: [self.word(w.word(i).decode()) for i in at.tolist()])
             flat, n = self.cached.pool.take(codes)
-            lengths += np.bincount(np.array(owner)[w.text], n, len(texts)).astype(np.int64)
+            flats.append(flat)
+            lengths += np.bincount(np.array(owner[first : first + len(some)], np.int64)[w.text], n, len(texts)).astype(np.int64)
+        flat = np.concatenate(flats)
         if not whole and end is None:
             return flat, lengths
         pieces, at, mark = [], 0, [] if end is None else [end]

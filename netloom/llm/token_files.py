@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_path, slices
+from .common import shared_path, slices, small_batches, trim
 
 HEAD = struct.Struct("<4sIQIQQ")
 FILE_IDS = 1 << 21
@@ -126,7 +126,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
                     yield close()
         if keys:
             yield close()
+        trim()
 
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     ordered = named.repartitionByRange("id").sortWithinPartitions("id", "text")
     rows = ordered.mapInArrow(run, "name string, n_docs long, n_ids long, n_bytes long").collect()
