@@ -2,9 +2,9 @@
 
 A page is read into a tree of its block elements, with a leaf for every run of
 text between block boundaries. Each node is mixed, content or boilerplate.
-Node potentials come from the tag, from the words of class, id and role, and
-for leaves from length, link share and punctuation; edge potentials link the
-states of parent and child, by the child's kind. Both are fitted on labelled
+Node potentials come from the words of class, id and role, and for leaves from
+length, link share and punctuation; edge potentials link the states of parent
+and child, by the child's tag. Both are fitted on labelled
 pages (``html_pages``). Sum-product messages go from the leaves to the root and
 back, and a leaf is kept if its marginal says content. Levels of many pages are
 passed together in numpy.
@@ -117,7 +117,7 @@ def read(source: str) -> Page:
                 if stack[i][0] in CLOSES[tag]:
                     del stack[i:]
                     break
-        found, state = [f"<{tag}>"], None
+        found, state = [], None
         for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
             if (name := name.lower()) in ("class", "id", "role"):
                 found += {f".{w}" for w in WORD.findall((a or b or c).lower())}
@@ -144,7 +144,9 @@ class Model:
                 leaf = kind == "#text"
                 if leaf and state == MIXED:
                     state = OTHER
-                edges["#text" if leaf else "<>"][page.state[parent], state] += 1
+                edges[kind][page.state[parent], state] += 1
+                if not leaf:
+                    edges["<>"][page.state[parent], state] += 1
                 totals[leaf, state] += 1
                 for f in features:
                     counts[f][state] += 1
@@ -154,11 +156,15 @@ class Model:
             rate = (n + smooth) / (total + 2 * smooth)
             self.feature[f] = np.log(rate) - np.log((n.sum() + smooth) / (total.sum() + 2 * smooth))
         allowed = np.array([[1, 1, 1], [0.02, 1, 1], [1e-4, 1e-4, 1]])  # content seldom turns mixed, boilerplate stays so
-        self.edge = {}
+        every = edges["<>"] + smooth * allowed
+        every /= every.sum(1, keepdims=True)
+        self.edge = {"<>": np.log(every)}
         for kind, n in edges.items():
-            p = n + smooth * allowed
             if kind == "#text":
+                p = n + smooth * allowed
                 p[:, MIXED] = 1e-9
+            else:  # a tag's own counts, with the general rates as one more observation
+                p = n + every
             self.edge[kind] = np.log(p / p.sum(1, keepdims=True))
 
     def potentials(self, page: Page) -> list[np.ndarray]:
@@ -179,14 +185,14 @@ def marginals(model: Model, pages: list[Page]) -> np.ndarray:
     parent = np.array([x for p in pages for x in p.parent])
     root = parent < 0
     parent = np.where(root, 0, parent + first)
-    leaf = np.array([k == "#text" for p in pages for k in p.kind])
     own = np.array([v for p in pages for v in model.potentials(p)])
     own[root] = np.array([0, -1e9, -1e9])
     depth = np.zeros(len(parent), int)
     for i in range(len(parent)):  # parents come before children
         if not root[i]:
             depth[i] = depth[parent[i]] + 1
-    edge = np.where(leaf[:, None, None], model.edge["#text"], model.edge["<>"])
+    general = model.edge["<>"]
+    edge = np.array([model.edge.get(k, general) for p in pages for k in p.kind])
     order = np.argsort(depth, kind="stable")
     levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
 

@@ -85,5 +85,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
         if rng.random() < 0.3:
             page = f'<div class="{pick(("page", "wrapper", "layout", "row"))}" y=m>{page}</div>'
         html = f'<!DOCTYPE html><html lang="en" y=m><head y=b><meta charset="utf-8"><title>{{6}}</title><style>p{{}}</style><script>x("</p>")</script></head><body y=m>{page}</body></html>'
+        if rng.random() < 0.2:  # fragments come without the outer elements, some as the article alone
+            html = page if rng.random() < 0.5 else body
         out.append(re.sub(r"\{(\d+)\}", lambda m: _words(rng, int(m[1])), html))
     return out
