@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import map_groups
 from .intervals import merge_intervals
 
 PLATEAU_M = 2.0
@@ -90,17 +91,16 @@ def close_profiles(points: DataFrame, key: str = "route") -> DataFrame:
     the preferred one. Each route is a chain of its own."""
     kind = points.schema[key].dataType.simpleString()
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("station_mm")
+    def kernel(table: pd.DataFrame) -> list[tuple]:
         stations = table.station_mm.tolist()
         domains = [[(int(d["lo"]), int(d["hi"])) for d in ds] for ds in table.domain]
         links = [(i, i + 1, int((b - a) * SLOPE)) for i, (a, b) in enumerate(zip(stations, stations[1:], strict=False))]
         least = least_depths(domains, links)
         chosen = prefer_ordinary(domains, links, least) if least else None
-        n = len(stations)
-        return pd.DataFrame({key: table[key], "station_mm": stations, "least_mm": pd.array(least or [None] * n, dtype="Int64"), "depth_mm": pd.array(chosen or [None] * n, dtype="Int64")})
+        none = [None] * len(stations)
+        return list(zip(table[key], stations, least or none, chosen or none, strict=True))
 
-    return points.groupBy(key).applyInPandas(run, f"{key} {kind}, station_mm long, least_mm long, depth_mm long")
+    return map_groups(points, key, ["station_mm"], kernel, f"{key} {kind}, station_mm long, least_mm long, depth_mm long", [key, "station_mm", "least_mm", "depth_mm"])
 
 
 def profile_issues(profile: DataFrame, key: str = "route", least: int = 700, greatest: int = 50_000) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import map_groups
+
 CORRIDORS_M = (75, 200, 600)
 BEND_PENALTY = 1.15
 BRANCHES = 4
@@ -180,14 +182,20 @@ def closure_tree(edges: list[tuple[str, str, int]], terminals: list[str]) -> lis
 def corridor_trees(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     """Tree edges of every problem: edges (problem, a, b, w), terminals (problem, node, is_root)."""
     kind = edges.schema["problem"].dataType.simpleString()
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        lines = [(a, b, int(w)) for a, b, w in zip(left.a, left.b, left.w, strict=True)]
-        root = right[right.is_root].node.min()
-        rows = [(key[0], a, b) for a, b in attach_terminals(lines, root, right.node.tolist())]
-        return pd.DataFrame(rows, columns=["problem", "up", "down"])
-
-    return edges.groupBy("problem").cogroup(terminals.groupBy("problem")).applyInPandas(run, f"problem {kind}, up string, down string")
+    rows = edges.select("problem", "a", "b", F.col("w").cast("long").alias("w"), F.lit(None).cast("boolean").alias("is_root"))
+    rows = rows.unionByName(terminals.select("problem", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("long").alias("w"), "is_root"))
+
+    def kernel(table: pd.DataFrame) -> list[tuple]:
+        lines, nodes, roots = [], [], []
+        for a, b, w, root in zip(table.a, table.b, table.w, table.is_root, strict=True):
+            if b is not None:
+                lines.append((a, b, int(w)))
+            else:
+                nodes.append(a)
+                roots += [a] if root else []
+        return [(table.problem.iloc[0], a, b) for a, b in attach_terminals(lines, min(roots), nodes)] if roots else []
+
+    return map_groups(rows, "problem", ["a", "b"], kernel, f"problem {kind}, up string, down string", ["problem", "up", "down"])
 
 
 def collapse_chains(edges: DataFrame, keep: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .groups import map_groups
+
 NODE_BUDGET = 200_000
 
 
@@ -103,19 +105,24 @@ def solve_networks(arcs: DataFrame, terminals: DataFrame, roots: DataFrame) -> D
     rows = rows.unionByName(terminals.select("problem", F.lit("terminal").alias("kind"), null("string").alias("arc"), null("string").alias("up"), "node", F.col("units").cast("long").alias("units"), null("long").alias("cost")))
     rows = rows.unionByName(roots.select("problem", F.lit("root").alias("kind"), null("string").alias("arc"), null("string").alias("up"), "node", null("long").alias("units"), null("long").alias("cost")))
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        own = table[table.kind == "arc"].sort_values(["arc", "units", "cost"])
-        lines = own.drop_duplicates("arc")
+    def kernel(table: pd.DataFrame) -> list[tuple]:
         choices: dict[str, list[tuple[int, int]]] = {}
-        for arc, units, cost in zip(own.arc, own.units, own.cost, strict=True):
-            choices.setdefault(arc, []).append((int(units), int(cost)))
-        demand = table[table.kind == "terminal"].groupby("node").units.sum()
-        problem = Problem({n: int(u) for n, u in demand.items()}, table[table.kind == "root"].node.tolist(), [(a, u, d, 0) for a, u, d in zip(lines.arc, lines.up, lines.node, strict=True)], choices)
-        status, cost, chosen = solve(problem)
-        return pd.DataFrame({"problem": [table.problem.iloc[0]], "status": [status], "cost": pd.array([cost], dtype="Int64"), "arcs": [",".join(chosen)]})
+        lines: dict[str, tuple[str, str, str, int]] = {}
+        demand: dict[str, int] = {}
+        starts: list[str] = []
+        for row_kind, arc, up, node, units, cost in zip(table.kind, table.arc, table.up, table.node, table.units, table.cost, strict=True):
+            if row_kind == "arc":
+                lines.setdefault(arc, (arc, up, node, 0))
+                choices.setdefault(arc, []).append((int(units), int(cost)))
+            elif row_kind == "terminal":
+                demand[node] = demand.get(node, 0) + int(units)
+            else:
+                starts.append(node)
+        status, cost, chosen = solve(Problem(demand, starts, list(lines.values()), choices))
+        return [(table.problem.iloc[0], status, cost, ",".join(chosen))]
 
     kind = arcs.schema["problem"].dataType.simpleString()
-    return rows.groupBy("problem").applyInPandas(run, f"problem {kind}, status string, cost long, arcs string")
+    return map_groups(rows, "problem", ["kind", "arc", "units", "cost", "node"], kernel, f"problem {kind}, status string, cost long, arcs string", ["problem", "status", "cost", "arcs"])
 
 
 def refine(problem: Problem, check, rounds: int = 128) -> tuple[str, int | None, list[str]]:
@@ -138,13 +145,22 @@ def discrete_choice(options: DataFrame, conflicts: DataFrame) -> DataFrame:
     option, cost), conflicts (problem, option, other)."""
     from pyspark.sql import functions as F
 
-    kind = options.schema["problem"].dataType.simpleString()
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        slots = [list(zip(g.cost, g.option, strict=True)) for _, g in left.sort_values(["slot", "cost", "option"]).groupby("slot")]
-        bad = {frozenset(p) for p in zip(right.option, right.other, strict=True)}
+    kinds = {c: options.schema[c].dataType.simpleString() for c in ("problem", "slot", "option", "cost")}
+    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows = options.select("problem", F.lit(0).alias("kind"), "slot", "option", F.lit(None).cast(kinds["option"]).alias("other"), "cost")
+    rows = rows.unionByName(conflicts.select("problem", F.lit(1).alias("kind"), null("slot"), "option", "other", null("cost")))
+
+    def kernel(table: pd.DataFrame) -> list[tuple]:
+        slots: dict = {}
+        bad: set[frozenset] = set()
+        for row_kind, slot, option, other, cost in zip(table.kind, table.slot, table.option, table.other, table.cost, strict=True):
+            if row_kind:
+                bad.add(frozenset((option, other)))
+            else:
+                slots.setdefault(slot, []).append((int(cost), option))
+        ordered = [sorted(slots[s]) for s in sorted(slots)]
         floor = [0]
-        for s in reversed(slots):
+        for s in reversed(ordered):
             floor.append(floor[-1] + s[0][0])
         floor.reverse()
         best: list = [None, []]
@@ -152,17 +168,17 @@ def discrete_choice(options: DataFrame, conflicts: DataFrame) -> DataFrame:
         def walk(i: int, cost: int, chosen: list) -> None:
             if best[0] is not None and cost + floor[i] >= best[0]:
                 return
-            if i == len(slots):
+            if i == len(ordered):
                 best[0], best[1] = cost, list(chosen)
                 return
-            for c, option in slots[i]:
+            for c, option in ordered[i]:
                 if not any(frozenset((option, o)) in bad for o in chosen):
                     walk(i + 1, cost + c, [*chosen, option])
 
         walk(0, 0, [])
-        return pd.DataFrame({"problem": [key[0]], "cost": pd.array([best[0]], dtype="Int64"), "options": [",".join(map(str, sorted(best[1])))]})
+        return [(table.problem.iloc[0], best[0], ",".join(str(int(o)) if isinstance(o, float) else str(o) for o in sorted(best[1])))]
 
-    return options.groupBy("problem").cogroup(conflicts.groupBy("problem")).applyInPandas(run, f"problem {kind}, cost long, options string").where(F.col("problem").isNotNull())
+    return map_groups(rows, "problem", ["kind", "slot", "option"], kernel, f"problem {kinds['problem']}, cost long, options string", ["problem", "cost", "options"])
 
 
 def root_matching(edges: DataFrame, capacity: int = 4) -> DataFrame:
@@ -170,9 +186,9 @@ def root_matching(edges: DataFrame, capacity: int = 4) -> DataFrame:
     edges (problem, demand, root)."""
     kinds = {c: edges.schema[c].dataType.simpleString() for c in ("problem", "demand", "root")}
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
+    def kernel(table: pd.DataFrame) -> list[tuple]:
         roots: dict = {}
-        for d, r in sorted(zip(table.demand, table.root, strict=True)):
+        for d, r in zip(table.demand, table.root, strict=True):
             roots.setdefault(d, []).append(r)
         held: dict = {}
 
@@ -191,9 +207,9 @@ def root_matching(edges: DataFrame, capacity: int = 4) -> DataFrame:
                         return True
             return False
 
-        for d in sorted(roots):
+        for d in roots:
             place(d, set())
-        rows = [(table.problem.iloc[0], d, r) for r, own in held.items() for d in own]
-        return pd.DataFrame(rows, columns=["problem", "demand", "root"])
+        return [(table.problem.iloc[0], d, r) for r, own in held.items() for d in own]
 
-    return edges.select("problem", "demand", "root").distinct().groupBy("problem").applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return map_groups(edges.select("problem", "demand", "root").distinct(), "problem", ["demand", "root"], kernel, schema, ["problem", "demand", "root"])

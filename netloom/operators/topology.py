@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from ..functions.geometry import boxes_overlap, point_segment_distance, segments_intersect
 
 MAX_CANDIDATES = 12
@@ -35,15 +36,15 @@ def within_distance(points: DataFrame, others: DataFrame, distance: float, keys:
     return left.join(right, "near").drop("near").withColumn("distance2", dx * dx + dy * dy).where(F.col("distance2") <= distance * distance)
 
 
-def segment_crossings(segments: DataFrame, cell: float, id_col: str = "id") -> DataFrame:
-    """Unordered pairs of segments (id, ax, ay, bx, by) that meet. A pair is tested in one common cell only: the
+def segment_crossings(segments: DataFrame, cell: float, id_col: str = "id", group: Sequence[str] = ()) -> DataFrame:
+    """Unordered pairs, within each ``group``, of segments (id, ax, ay, bx, by) that meet. A pair is tested in one common cell only: the
     cell that holds the lower corner of the boxes' overlap, so no distinct is needed."""
     own = segments.withColumn("cell", F.explode(box_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), cell)))
-    other = own.select(*[F.col(c).alias(f"o_{c}") if c != "cell" else F.col(c) for c in own.columns])
-    pair = own.join(other, "cell").where(F.col(id_col) < F.col(f"o_{id_col}"))
+    other = own.select(*[F.col(c) if c == "cell" or c in group else F.col(c).alias(f"o_{c}") for c in own.columns])
+    pair = own.join(other, ["cell", *group]).where(F.col(id_col) < F.col(f"o_{id_col}"))
     a, b = [F.col(c) for c in ("ax", "ay", "bx", "by")], [F.col(f"o_{c}") for c in ("ax", "ay", "bx", "by")]
     corner = cells(F.greatest(F.least(a[0], a[2]), F.least(b[0], b[2])), F.greatest(F.least(a[1], a[3]), F.least(b[1], b[3])), cell)
-    return pair.where(boxes_overlap(*a, *b)).where(F.col("cell") == corner).where(segments_intersect(*a, *b)).select(id_col, f"o_{id_col}")
+    return pair.where(boxes_overlap(*a, *b)).where(F.col("cell") == corner).where(segments_intersect(*a, *b)).select(*group, id_col, f"o_{id_col}")
 
 
 #: A target side of at most this many rows is broadcast and compared whole; beyond it the grid search is used.
@@ -72,8 +73,8 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = MAX_CANDIDATES, *, p
         pairs = within_distance(todo, targets, radius, [point]).select(point, F.col(f"o_{target}").alias(target), "distance2")
         ranked = pairs.withColumn("n", F.count("*").over(Window.partitionBy(point))).withColumn("rank", rank).where(F.col("rank") <= k)
         done.append((ranked if last else ranked.where(F.col("n") >= k)).select(point, target, "distance2", "rank"))
-        todo = todo.join(pairs.groupBy(point).count().where(F.col("count") >= k), point, "left_anti").cache()
-        if last or not todo.take(1):
+        todo = cut(todo.join(pairs.groupBy(point).count().where(F.col("count") >= k), point, "left_anti"))
+        if last or todo.isEmpty():
             break
         radius *= 4
     out = done[0]
@@ -82,6 +83,28 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = MAX_CANDIDATES, *, p
     return out
 
 
+def distance_to_segments(points: DataFrame, segments: DataFrame, limit: int = BROADCAST_TARGETS) -> DataFrame:
+    """points with their distance to the nearest of ``segments`` (ax, ay, bx, by). Up to ``limit`` segments are broadcast;
+    more are searched in grid cells with a radius that grows until every point has an answer."""
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    d = point_segment_distance(F.col("x"), F.col("y"), *ends)
+    keys = points.columns
+    size = segments.agg(F.count("*"), F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
+    if size[0] <= limit:
+        return points.crossJoin(F.broadcast(segments)).groupBy(*keys).agg(F.min(d).alias("distance"))
+    reach, radius = 2 * (size[2] - size[1] + size[4] - size[3]) + 1, ((size[2] - size[1]) * (size[4] - size[3]) / size[0]) ** 0.5 + 1
+    todo, out = points, None
+    while True:
+        near = segments.withColumn("cell", F.explode(box_cells(*ends, radius, radius)))
+        found = todo.withColumn("cell", cells(F.col("x"), F.col("y"), radius)).join(near, "cell").groupBy(*keys).agg(F.min(d).alias("distance"))
+        found = found if radius > reach else found.where(F.col("distance") <= radius)
+        out = found if out is None else out.unionByName(found)
+        todo = cut(todo.join(found, keys, "left_anti"))
+        if radius > reach or todo.isEmpty():
+            return out
+        radius *= 4
+
+
 def nearest_in_grid(points: DataFrame, targets: DataFrame, reach: float, *, point: str = "point_id", target: str = "chamber_id") -> DataFrame:
     """The nearest target within ``reach`` of every point that has one (ties by id)."""
     pairs = within_distance(points, targets, reach, [point])
@@ -113,19 +136,19 @@ def upstream_issues(links: DataFrame, node: str = "node", up: str = "up") -> Dat
         there = now.select(F.col("n").alias("p"), F.col("p").alias("pp"), F.col("state").alias("ps"))
         now = now.join(there, "p", "left").select("n", F.when(F.col("state") == "open", F.col("pp")).otherwise(F.col("p")).alias("p"), F.when((F.col("state") == "open") & (F.col("ps") != "open"), F.col("ps")).otherwise(F.col("state")).alias("state"))
         if i % 4 == 3:
-            now = now.checkpoint() if links.sparkSession.conf.get("spark.checkpoint.dir", None) else now
+            now = cut(now)
     return now.select(F.col("n").alias(node), F.when(F.col("state") == "open", "UPSTREAM_CYCLE").otherwise(F.col("state")).alias("code")).where("code <> 'ok'")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 64) -> DataFrame:
     """Nodes reachable from ``seeds`` (node) over undirected ``edges`` (a, b): breadth-first frontiers until none is new."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     seen = frontier = seeds.select("node").distinct()
-    for i in range(rounds):
-        fresh = frontier.join(both, frontier["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").cache()
-        if not fresh.take(1):
+    for _ in range(rounds):
+        fresh = cut(frontier.join(both, frontier["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if fresh.isEmpty():
             break
-        seen, frontier = seen.unionByName(fresh), fresh
+        seen, frontier = cut(seen.unionByName(fresh)), fresh
     return seen
 
 
@@ -143,14 +166,13 @@ def incidence(chambers: DataFrame, segments: DataFrame, cell: float, tolerance:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component (smallest node) over undirected edges (a, b), isolated nodes included: labels and pointer jumps."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
-    label = nodes.select("node", F.col("node").alias("component"))
-    spark = edges.sparkSession
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(nodes.select("node", F.col("node").alias("component")))
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "node")
         low = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = low.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        new = low.join(jump, "component").select("node", F.col("to").alias("component")).cache()
-        if not new.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").take(1):
+        new = cut(low.join(jump, "component").select("node", F.col("to").alias("component")))
+        if new.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").isEmpty():
             return new
-        label = new.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else new
+        label = new

@@ -40,9 +40,8 @@ def bend_spacing_issues(vertices: DataFrame, diameters: DataFrame) -> DataFrame:
 def self_intersections(vertices: DataFrame, cell: float) -> DataFrame:
     """Routes with a pair of segments that meet though they are not neighbours."""
     segments = vertices_to_segments(vertices, "route", "seq").where("length > 0")
-    named = segments.select(F.struct("route", "seq").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
-    pairs = segment_crossings(named, cell)
-    return pairs.where((F.col("id.route") == F.col("o_id.route")) & (F.abs(F.col("id.seq") - F.col("o_id.seq")) > 1)).select(F.col("id.route").alias("route")).distinct()
+    named = segments.select("route", F.col("seq").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
+    return segment_crossings(named, cell, group=["route"]).where(F.abs(F.col("id") - F.col("o_id")) > 1).select("route").distinct()
 
 
 def degree_issues(edges: DataFrame, existing: DataFrame, chambers: DataFrame) -> DataFrame:

@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, geometry
-from ..functions.dims import constraints_sql, pipes_sql
-from ..operators import catalog, economics, intervals, reconstruct, sizing, statistics, topology, validate
+from ..functions.dims import pipes_sql
+from ..operators import economics, intervals, sizing, topology
 from ..operators import inspect as inspection
 from ..sources import features as sources
-from ..streaming import jobs
 from .project import role, role_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +41,7 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-P, C = pipes_sql(), constraints_sql()
+P = pipes_sql()
 DU = f"(SELECT min(diameter) FROM {P} WHERE max_flow >= %s)"
 
 
@@ -100,17 +99,17 @@ def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.in_window(_boxed(spark, sf_dir), 20000, 10000, 60000, 70000).select("feature_id", "minx", "miny")
 
 
-@query(BOXED + ", a AS (SELECT min(x)-610 AS x1, min(y)-610 AS y1, max(x)+610 AS x2, max(y)+610 AS y2 FROM chambers), chambers AS (SELECT * FROM (SELECT (s_suppkey * 15485863) % 100000 AS x, (s_suppkey * 32452843) % 100000 AS y FROM supplier WHERE s_suppkey < 5)) SELECT feature_id, object_type FROM boxed, a WHERE object_type = 'source' OR (maxx >= x1 AND minx <= x2 AND maxy >= y1 AND miny <= y2)".replace(", a AS", ", chambers AS (SELECT (s_suppkey * 15485863) % 100000 AS x, (s_suppkey * 32452843) % 100000 AS y FROM supplier WHERE s_suppkey < 5), a AS", 1).replace(", chambers AS (SELECT * FROM (SELECT (s_suppkey * 15485863) % 100000 AS x, (s_suppkey * 32452843) % 100000 AS y FROM supplier WHERE s_suppkey < 5))", "", 1))
+@query(BOXED + ", anchors AS (SELECT (s_suppkey * 15485863) % 100000 AS x, (s_suppkey * 32452843) % 100000 AS y FROM supplier WHERE s_suppkey < 5), a AS (SELECT min(x)-610 AS x1, min(y)-610 AS y1, max(x)+610 AS x2, max(y)+610 AS y2 FROM anchors) SELECT feature_id, object_type FROM boxed, a WHERE object_type = 'source' OR (maxx >= x1 AND minx <= x2 AND maxy >= y1 AND miny <= y2)")
 def routing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Core features and what lies around five anchors."""
     anchors = role(spark, sf_dir, "chambers").where("chamber_id < 5").select(F.col("x").alias("minx"), F.col("y").alias("miny"), F.col("x").alias("maxx"), F.col("y").alias("maxy"))
     return sources.routing_window(_boxed(spark, sf_dir), anchors).select("feature_id", "object_type")
 
 
-@query(BOXED + """, both AS (
+@query(BOXED + """, layers AS (
   SELECT feature_id, 'feature' AS layer, minx, miny, maxx, maxy FROM boxed
   UNION ALL SELECT feature_id, 'ring', minx - 5, miny - 5, maxx + 5, maxy + 5 FROM boxed WHERE object_type IN ('oks_existing', 'oks_future')
-), v AS (SELECT *, row_number() OVER (ORDER BY feature_id, layer) AS n, count(*) OVER () AS total FROM both WHERE maxx >= 0 AND minx <= 50000 AND maxy >= 0 AND miny <= 50000)
+), v AS (SELECT *, row_number() OVER (ORDER BY feature_id, layer) AS n, count(*) OVER () AS total FROM layers WHERE maxx >= 0 AND minx <= 50000 AND maxy >= 0 AND miny <= 50000)
 SELECT feature_id, layer, CAST(n AS BIGINT) AS n, total > 300 AS truncated FROM v WHERE n <= 300""")
 def map_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and building rings of a viewport, numbered, with the truncation flag."""
@@ -168,12 +167,13 @@ def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     role_sql("features")
     + """, b AS (SELECT feature_id, arg_min(flow, feature_index) AS f FROM features WHERE object_type = 'oks_future' AND flow IS NOT NULL GROUP BY feature_id)
-SELECT p.feature_index, p.feature_id, CAST(coalesce(p.flow, b.f) AS BIGINT) AS flow, coalesce(p.flow, b.f) IS NULL AS missing FROM features p LEFT JOIN b ON b.feature_id = p.reference WHERE p.object_type = 'oks_connection_point'"""
+SELECT p.feature_index, p.feature_id, CAST(coalesce(p.flow, b.f, -999) AS BIGINT) AS flow, coalesce(p.flow, b.f) IS NULL AS missing FROM features p LEFT JOIN b ON b.feature_id = p.reference WHERE p.object_type = 'oks_connection_point'"""
 )
 def demand_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own flow, else the building's."""
     found = role(spark, sf_dir, "features")
-    return longs(inspection.demands(found.where("object_type <> 'oks_future' OR flow IS NOT NULL")), "flow")
+    demands = inspection.demands(found.where("object_type <> 'oks_future' OR flow IS NOT NULL"))
+    return longs(demands.fillna({"flow": -999}), "flow")
 
 
 # ---- topology -----------------------------------------------------------------------------------------------------
@@ -187,50 +187,50 @@ def nearest_chambers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(topology.nearest(role(spark, sf_dir, "points"), role(spark, sf_dir, "chambers")), "rank")
 
 
-ALL_PAIRS = """ SELECT point_id, chamber_id, distance2 FROM (SELECT p.point_id, c.chamber_id, (p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y) AS distance2 FROM points p, chambers c) WHERE distance2 <= %d"""
+ALL_PAIRS = """ SELECT point_id, chamber_id, distance2%s FROM (SELECT p.point_id, c.chamber_id, c.incident, (p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y) AS distance2 FROM points p, chambers c) WHERE distance2 <= %d"""
 
 
-@query(role_sql("points", "chambers") + ALL_PAIRS % 4000**2)
+@query(role_sql("points", "chambers") + ALL_PAIRS % ("", 4000**2))
 def within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within a distance, through grid cells."""
     return topology.within_distance(role(spark, sf_dir, "points"), role(spark, sf_dir, "chambers"), 4000, ["point_id"]).select("point_id", F.col("o_chamber_id").alias("chamber_id"), "distance2")
 
 
-@query(role_sql("points", "chambers") + ", d AS (" + ALL_PAIRS % 6000**2 + ") SELECT point_id, chamber_id, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance2, chamber_id) AS r FROM d WHERE chamber_id % 4 <> 0) WHERE r = 1")
+@query(role_sql("points", "chambers") + ", d AS (" + ALL_PAIRS % (", incident", 6000**2) + ") SELECT point_id, chamber_id, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance2, chamber_id) AS r FROM d WHERE incident < 4) WHERE r = 1")
 def nearest_with_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest chamber in reach that still takes an edge."""
-    free = role(spark, sf_dir, "chambers").where("chamber_id % 4 <> 0")
+    free = role(spark, sf_dir, "chambers").where(F.col("incident") < topology.CHAMBER_CAPACITY)
     return topology.nearest_in_grid(role(spark, sf_dir, "points"), free, 6000)
 
 
-SEGMENTS = ", seg AS (SELECT route * 10 + seq AS id, x AS ax, y AS ay, nx AS bx, ny AS by FROM (SELECT *, lead(x) OVER (PARTITION BY route ORDER BY seq) AS nx, lead(y) OVER (PARTITION BY route ORDER BY seq) AS ny FROM vertices WHERE route < 60) WHERE nx IS NOT NULL)"
+SEGMENTS = ", seg AS (SELECT route, seq AS id, x AS ax, y AS ay, nx AS ex, ny AS ey FROM (SELECT *, lead(x) OVER (PARTITION BY route ORDER BY seq) AS nx, lead(y) OVER (PARTITION BY route ORDER BY seq) AS ny FROM vertices) WHERE nx IS NOT NULL)"
 
 
 @query(
     role_sql("vertices")
     + SEGMENTS
-    + """, o AS (SELECT a.id, b.id AS o_id, a.ax, a.ay, a.bx, a.by, b.ax AS cx, b.ay AS cy, b.bx AS dx, b.by AS dy,
-  sign((a.bx-a.ax)*(b.ay-a.ay)-(a.by-a.ay)*(b.ax-a.ax)) AS o1, sign((a.bx-a.ax)*(b.by-a.ay)-(a.by-a.ay)*(b.bx-a.ax)) AS o2,
-  sign((b.bx-b.ax)*(a.ay-b.ay)-(b.by-b.ay)*(a.ax-b.ax)) AS o3, sign((b.bx-b.ax)*(a.by-b.ay)-(b.by-b.ay)*(a.bx-b.ax)) AS o4 FROM seg a, seg b WHERE a.id < b.id)
-SELECT id, o_id FROM o WHERE (o1 <> o2 AND o3 <> o4)
- OR (o1 = 0 AND cx BETWEEN least(ax,bx) AND greatest(ax,bx) AND cy BETWEEN least(ay,by) AND greatest(ay,by))
- OR (o2 = 0 AND dx BETWEEN least(ax,bx) AND greatest(ax,bx) AND dy BETWEEN least(ay,by) AND greatest(ay,by))
+    + """, o AS (SELECT a.route, a.id, b.id AS o_id, a.ax, a.ay, a.ex, a.ey, b.ax AS cx, b.ay AS cy, b.ex AS dx, b.ey AS dy,
+  sign((a.ex-a.ax)*(b.ay-a.ay)-(a.ey-a.ay)*(b.ax-a.ax)) AS o1, sign((a.ex-a.ax)*(b.ey-a.ay)-(a.ey-a.ay)*(b.ex-a.ax)) AS o2,
+  sign((b.ex-b.ax)*(a.ay-b.ay)-(b.ey-b.ay)*(a.ax-b.ax)) AS o3, sign((b.ex-b.ax)*(a.ey-b.ay)-(b.ey-b.ay)*(a.ex-b.ax)) AS o4 FROM seg a JOIN seg b ON a.route = b.route AND a.id < b.id)
+SELECT route, id, o_id FROM o WHERE (o1 <> o2 AND o3 <> o4)
+ OR (o1 = 0 AND cx BETWEEN least(ax,ex) AND greatest(ax,ex) AND cy BETWEEN least(ay,ey) AND greatest(ay,ey))
+ OR (o2 = 0 AND dx BETWEEN least(ax,ex) AND greatest(ax,ex) AND dy BETWEEN least(ay,ey) AND greatest(ay,ey))
  OR (o3 = 0 AND ax BETWEEN least(cx,dx) AND greatest(cx,dx) AND ay BETWEEN least(cy,dy) AND greatest(cy,dy))
- OR (o4 = 0 AND bx BETWEEN least(cx,dx) AND greatest(cx,dx) AND by BETWEEN least(cy,dy) AND greatest(cy,dy))"""
+ OR (o4 = 0 AND ex BETWEEN least(cx,dx) AND greatest(cx,dx) AND ey BETWEEN least(cy,dy) AND greatest(cy,dy))"""
 )
 def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of segments of one district (its sixty routes) that meet, through grid cells."""
-    v = geometry.vertices_to_segments(role(spark, sf_dir, "vertices").where("route < 60"), "route", "seq")
-    seg = v.select((F.col("route") * 10 + F.col("seq")).alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
-    return topology.segment_crossings(seg, 250)
+    """Pairs of segments of one route that meet, through grid cells."""
+    v = geometry.vertices_to_segments(role(spark, sf_dir, "vertices"), "route", "seq")
+    seg = v.select("route", F.col("seq").alias("id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("nx").alias("bx"), F.col("ny").alias("by"))
+    return topology.segment_crossings(seg, 500, group=["route"])
 
 
 @query(
     role_sql("links")
-    + """, walk(node, at, path, ended) AS (
+    + """, walk(node, cur, path, ended) AS (
   SELECT node, up, [node], CASE WHEN up IS NULL THEN 'ok' ELSE NULL END FROM links
   UNION ALL SELECT w.node, l.up, list_append(w.path, l.node), CASE WHEN l.node IS NULL THEN 'UPSTREAM_CHAIN_BROKEN' WHEN list_contains(w.path, l.node) THEN 'UPSTREAM_CYCLE' WHEN l.up IS NULL THEN 'ok' ELSE NULL END
-  FROM walk w LEFT JOIN links l ON l.node = w.at WHERE w.ended IS NULL
+  FROM walk w LEFT JOIN links l ON l.node = w.cur WHERE w.ended IS NULL
 ) SELECT node, ended AS code FROM walk WHERE ended IS NOT NULL AND ended <> 'ok'"""
 )
 def upstream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,35 +240,35 @@ def upstream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     role_sql("links")
-    + """, e AS (SELECT node AS a, up AS b FROM links WHERE up >= 0 AND node % 5 <> 3), walk(node) AS (
+    + """, e AS (SELECT node AS a, up AS b FROM links WHERE up >= 0 AND valve <> 3), walk(node) AS (
   SELECT CAST(0 AS BIGINT) UNION SELECT CASE WHEN e.a = w.node THEN e.b ELSE e.a END FROM walk w JOIN e ON e.a = w.node OR e.b = w.node
 ) SELECT node FROM walk"""
 )
 def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: what the source reaches over undirected links."""
     links = role(spark, sf_dir, "links")
-    edges = links.where("up >= 0 AND node % 5 <> 3").select(F.col("node").alias("a"), F.col("up").alias("b"))
+    edges = links.where("up >= 0 AND valve <> 3").select(F.col("node").alias("a"), F.col("up").alias("b"))
     return topology.reachable(edges, spark.createDataFrame([(0,)], "node long"))
 
 
 @query(
     role_sql("links")
-    + """, e AS (SELECT node AS a, up AS b FROM links WHERE up >= 0 AND node % 7 <> 3), both AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(node, c) AS (
-  SELECT node, node FROM links UNION SELECT b.b, w.c FROM walk w JOIN both b ON b.a = w.node WHERE b.b > w.c
+    + """, e AS (SELECT node AS a, up AS b FROM links WHERE up >= 0 AND valve <> 2), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(node, c) AS (
+  SELECT node, node FROM links UNION SELECT b.b, w.c FROM walk w JOIN sym b ON b.a = w.node WHERE b.b > w.c
 ) SELECT node, min(c) AS component FROM walk GROUP BY node"""
 )
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components."""
     links = role(spark, sf_dir, "links")
-    edges = links.where("up >= 0 AND node % 7 <> 3").select(F.col("node").alias("a"), F.col("up").alias("b"))
+    edges = links.where("up >= 0 AND valve <> 2").select(F.col("node").alias("a"), F.col("up").alias("b"))
     return topology.components(edges, links.select("node"))
 
 
 @query(
     role_sql("chambers")
-    + """, seg AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM chambers a JOIN chambers b ON b.chamber_id = a.chamber_id + 1),
-h AS (SELECT c.chamber_id, CASE WHEN c.x = s.ax AND c.y = s.ay AND c.x = s.bx AND c.y = s.by THEN 0 WHEN (c.x = s.ax AND c.y = s.ay) OR (c.x = s.bx AND c.y = s.by) THEN 1
- WHEN (s.bx-s.ax)*(c.y-s.ay) = (s.by-s.ay)*(c.x-s.ax) AND c.x BETWEEN least(s.ax,s.bx) AND greatest(s.ax,s.bx) AND c.y BETWEEN least(s.ay,s.by) AND greatest(s.ay,s.by) THEN 2 ELSE 0 END AS n FROM chambers c, seg s)
+    + """, seg AS (SELECT a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM chambers a JOIN chambers b ON b.chamber_id = a.chamber_id + 1),
+h AS (SELECT c.chamber_id, CASE WHEN c.x = s.ax AND c.y = s.ay AND c.x = s.ex AND c.y = s.ey THEN 0 WHEN (c.x = s.ax AND c.y = s.ay) OR (c.x = s.ex AND c.y = s.ey) THEN 1
+ WHEN (s.ex-s.ax)*(c.y-s.ay) = (s.ey-s.ay)*(c.x-s.ax) AND c.x BETWEEN least(s.ax,s.ex) AND greatest(s.ax,s.ex) AND c.y BETWEEN least(s.ay,s.ey) AND greatest(s.ay,s.ey) THEN 2 ELSE 0 END AS n FROM chambers c, seg s)
 SELECT chamber_id, CAST(sum(n) AS BIGINT) AS incident FROM h GROUP BY chamber_id"""
 )
 def chamber_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,16 +281,16 @@ def chamber_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     role_sql("points", "chambers")
-    + """, c AS (SELECT p.point_id, concat('t', CAST(h.chamber_id % 20 AS VARCHAR)) AS target_id, CASE WHEN h.chamber_id % 2 = 0 THEN 'heat_chamber' ELSE 'heat_network' END AS target_type,
-  CAST(abs(p.x-h.x) + abs(p.y-h.y) AS BIGINT) AS distance, h.chamber_id % 2 = 1 AS new_chamber, CAST(h.chamber_id % 40 AS DOUBLE) / 8 AS x, CAST(0 AS DOUBLE) AS y FROM points p, chambers h WHERE p.point_id < 300),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id, target_type, target_id, floor(x*1000+0.5), floor(y*1000+0.5) ORDER BY distance, new_chamber, target_id) AS n FROM c) WHERE n = 1)
+    + """, n AS (SELECT * FROM (SELECT p.point_id, h.chamber_id, (p.x-h.x)*(p.x-h.x)+(p.y-h.y)*(p.y-h.y) AS distance, row_number() OVER (PARTITION BY p.point_id ORDER BY (p.x-h.x)*(p.x-h.x)+(p.y-h.y)*(p.y-h.y), h.chamber_id) AS k FROM points p, chambers h) WHERE k <= 40),
+c AS (SELECT point_id, concat('t', CAST(chamber_id % 20 AS VARCHAR)) AS target_id, CASE WHEN chamber_id % 2 = 0 THEN 'heat_chamber' ELSE 'heat_network' END AS target_type, distance, chamber_id % 2 = 1 AS new_chamber, CAST(chamber_id % 40 AS DOUBLE) / 8 AS x FROM n),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id, target_type, target_id, floor(x*1000+0.5) ORDER BY distance, new_chamber, target_id) AS n FROM c) WHERE n = 1)
 SELECT point_id, target_id, distance, new_chamber FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance, new_chamber, target_id, x) AS r FROM f) WHERE r <= 12"""
 )
 def tie_in_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates deduplicated to the millimetre and ranked."""
-    p, h = role(spark, sf_dir, "points").where("point_id < 300"), role(spark, sf_dir, "chambers").select("chamber_id", F.col("x").alias("hx"), F.col("y").alias("hy"))
     k = F.col("chamber_id")
-    c = p.crossJoin(h).select("point_id", F.concat(F.lit("t"), k % 20).alias("target_id"), F.when(k % 2 == 0, "heat_chamber").otherwise("heat_network").alias("target_type"), (F.abs(F.col("x") - F.col("hx")) + F.abs(F.col("y") - F.col("hy"))).alias("distance"), (k % 2 == 1).alias("new_chamber"), ((k % 40).cast("double") / 8).alias("x"), F.lit(0.0).alias("y"))
+    near = topology.nearest(role(spark, sf_dir, "points"), role(spark, sf_dir, "chambers"), 40)
+    c = near.select("point_id", F.concat(F.lit("t"), k % 20).alias("target_id"), F.when(k % 2 == 0, "heat_chamber").otherwise("heat_network").alias("target_type"), F.col("distance2").alias("distance"), (k % 2 == 1).alias("new_chamber"), ((k % 40).cast("double") / 8).alias("x"), F.lit(0.0).alias("y"))
     return topology.tie_in_candidates(c).select("point_id", "target_id", "distance", "new_chamber")
 
 
@@ -349,8 +349,7 @@ def chamber_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def size_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diameters of many trees by dynamic programming (checked by exhaustive search in the tests)."""
-    t = role(spark, sf_dir, "tree").withColumn("network", (F.floor(F.log2(F.col("node") + 1)) % 4).cast("string"))
-    t = t.withColumn("network", F.when(F.col("node") < 3, "0").otherwise((F.col("node") % 2).cast("string")))
+    t = role(spark, sf_dir, "tree")
     edges = t.where("up IS NOT NULL").select(F.lit("all").alias("network"), F.concat(F.lit("e"), "node").alias("edge"), F.col("up").cast("string").alias("up"), F.col("node").cast("string").alias("down"), "length")
     demand = t.select(F.lit("all").alias("network"), F.col("node").cast("string").alias("node"), F.col("demand").alias("flow"))
     return doubles(sizing.size_networks(edges, demand), "flow", "continuous")
@@ -360,8 +359,8 @@ def size_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     role_sql("tree")
     + CLOSURE
     + """, n AS (SELECT t.node, CASE WHEN f.flow = g.flow THEN t.up END AS nxt FROM tree t JOIN flows f USING (node) LEFT JOIN flows g ON g.node = t.up),
-w(node, at) AS (SELECT node, node FROM n UNION ALL SELECT w.node, n.nxt FROM w JOIN n ON n.node = w.at WHERE n.nxt IS NOT NULL)
-SELECT w.node, w.at AS head FROM w JOIN n ON n.node = w.at WHERE n.nxt IS NULL"""
+w(node, cur) AS (SELECT node, node FROM n UNION ALL SELECT w.node, n.nxt FROM w JOIN n ON n.node = w.cur WHERE n.nxt IS NOT NULL)
+SELECT w.node, w.cur AS head FROM w JOIN n ON n.node = w.cur WHERE n.nxt IS NULL"""
 )
 def same_flow_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of equal flow down a tree."""
@@ -381,9 +380,6 @@ pen AS (SELECT variant, sum(CASE WHEN unconnected > 0 THEN 100000000 + 500000 *
 econ AS (SELECT s.*, coalesce(ch.chambers, 0) AS chambers, coalesce(pen.penalty, 0) AS penalty, CAST(s.pipes + coalesce(ch.chambers, 0) + s.tie_ins * 5000000 AS DECIMAL(30,2)) AS construction FROM sums s LEFT JOIN ch USING (variant) LEFT JOIN pen USING (variant)),
 scored AS (SELECT *, CAST(construction + penalty AS DECIMAL(30,2)) AS cost FROM econ)"""
 )
-SCORE = "CAST(round(CAST(cost * 28 AS DECIMAL(38,2)) / 1, 2) AS DOUBLE)"
-
-
 @query(role_sql("variant_edges") + PRICED + " SELECT variant, edge, CAST(diameter AS BIGINT) AS diameter, CAST(cost AS DOUBLE) AS cost FROM priced")
 def edge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge costs with the largest crossing multiplier, rounded one by one."""
@@ -402,15 +398,12 @@ def variant_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(_economics(spark, sf_dir).select("variant", "tie_ins", *names), *names)
 
 
-@query(role_sql("variant_edges", "variants") + ECON + " SELECT variant, floor((CAST(cost AS DOUBLE) * 0.028 + CAST(length AS DOUBLE) * 3000) / 10) AS score_band FROM scored".replace("floor((CAST(cost AS DOUBLE) * 0.028 + CAST(length AS DOUBLE) * 3000) / 10)", "CAST((CAST(cost * 100 AS HUGEINT) * 28 + CAST(length * 1000 AS HUGEINT) * 3000000) // 1000000 AS BIGINT)"))
+@query(role_sql("variant_edges", "variants") + ECON + " SELECT variant, CAST(floor((CAST(cost AS DECIMAL(28,2)) * 28 + CAST(length AS DECIMAL(28,3)) * 3000000) / 1000000) AS BIGINT) AS score_band FROM scored")
 def variant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.7 * cost / 25 million + 0.3 * length / 100, compared at the sixth digit, cut."""
     return _economics(spark, sf_dir).select("variant", F.floor(F.col("score") * 1_000_000 / 1000).cast("long").alias("score_band"))
 
 
-ORACLES["variant_scores"] = role_sql("variant_edges", "variants") + ECON + " SELECT variant, CAST(floor((CAST(cost AS DECIMAL(28,2)) * 28 + CAST(length AS DECIMAL(28,3)) * 3000000) / 1000000) AS BIGINT) AS score_band FROM scored"
-
-
 @query(
     role_sql("variant_edges", "variants")
     + ECON

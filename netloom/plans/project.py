@@ -7,16 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: SQL of each role over the tables in braces.
 ROLES = {
-    "chambers": "SELECT CAST(s_suppkey AS BIGINT) AS chamber_id, CAST((s_suppkey * 15485863) % 100000 AS BIGINT) AS x, CAST((s_suppkey * 32452843) % 100000 AS BIGINT) AS y FROM {supplier}",
+    "chambers": "SELECT CAST(s_suppkey AS BIGINT) AS chamber_id, CAST((s_suppkey * 15485863) % 100000 AS BIGINT) AS x, CAST((s_suppkey * 32452843) % 100000 AS BIGINT) AS y, CAST(s_suppkey % 5 AS INT) AS incident FROM {supplier}",
     "points": "SELECT CAST(c_custkey AS BIGINT) AS point_id, CAST((c_custkey * 7919) % 100000 AS BIGINT) AS x, CAST((c_custkey * 104729) % 100000 AS BIGINT) AS y, CAST(1 + c_custkey % 60 AS DECIMAL(18,3)) AS flow FROM {customer}",
     "tree": "SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor((p_partkey - 1) / 2) AS BIGINT) END AS up, CAST(10 + p_size AS DECIMAL(14,3)) AS length, CAST(p_size % 7 AS DECIMAL(18,3)) AS demand FROM {part}",
-    "links": "SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 97 = 0 THEN -1 WHEN p_partkey % 89 = 0 THEN CAST(p_partkey AS BIGINT) ELSE CAST(floor((p_partkey - 1) / 3) AS BIGINT) END AS up FROM {part}",
-    "vertices": "SELECT CAST(l_orderkey AS BIGINT) AS route, CAST(l_linenumber AS INT) AS seq, CAST(l_partkey * 37 % 1000 AS BIGINT) AS x, CAST(l_suppkey * 53 % 1000 AS BIGINT) AS y FROM {lineitem}",
-    "spans": "SELECT CAST(l_orderkey AS BIGINT) AS route, CAST(l_linenumber AS INT) AS span, CAST(l_partkey % 900 AS BIGINT) AS s, CAST(l_partkey % 900 AS BIGINT) + CAST(l_quantity AS BIGINT) AS e, CASE l_returnflag WHEN 'R' THEN 'road' WHEN 'A' THEN 'gas_pipeline' ELSE 'heat_network' END AS type FROM {lineitem}",
-    "variant_edges": "SELECT CAST(l_orderkey AS BIGINT) AS variant, CAST(l_linenumber AS INT) AS edge, CAST(l_quantity AS DECIMAL(18,3)) AS flow, CAST(1 + l_partkey % 400 AS DECIMAL(14,3)) AS length, CASE l_returnflag WHEN 'R' THEN 'road' WHEN 'A' THEN 'gas_pipeline+heat_network' ELSE 'base' END AS crossing, CAST(l_suppkey % 10 AS INT) AS up_node, CAST(l_partkey % 10 AS INT) AS down_node FROM {lineitem}",
+    "links": "SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 97 = 0 THEN -1 WHEN p_partkey % 89 = 0 THEN CAST(p_partkey AS BIGINT) ELSE CAST(floor((p_partkey - 1) / 3) AS BIGINT) END AS up, CAST(p_size % 5 AS INT) AS valve FROM {part}",
+    "vertices": "SELECT CAST(l_orderkey AS BIGINT) AS route, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS seq, CAST(l_partkey * 37 % 1000 AS BIGINT) AS x, CAST(l_suppkey * 53 % 1000 AS BIGINT) AS y FROM {lineitem}",
+    "spans": "SELECT CAST(l_orderkey AS BIGINT) AS route, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS span, CAST(l_partkey % 900 AS BIGINT) AS s, CAST(l_partkey % 900 AS BIGINT) + CAST(l_quantity AS BIGINT) AS e, CASE l_returnflag WHEN 'R' THEN 'road' WHEN 'A' THEN 'gas_pipeline' ELSE 'heat_network' END AS type FROM {lineitem}",
+    "variant_edges": "SELECT CAST(l_orderkey AS BIGINT) AS variant, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS edge, CAST(l_quantity AS DECIMAL(18,3)) AS flow, CAST(1 + l_partkey % 400 AS DECIMAL(14,3)) AS length, CASE l_returnflag WHEN 'R' THEN 'road' WHEN 'A' THEN 'gas_pipeline+heat_network' ELSE 'base' END AS crossing, CAST(l_suppkey % 10 AS INT) AS up_node, CAST(l_partkey % 10 AS INT) AS down_node FROM {lineitem}",
     "variants": "SELECT CAST(o_orderkey AS BIGINT) AS variant, CAST(o_custkey % 5 AS BIGINT) AS unconnected, CAST(o_custkey % 40 AS DECIMAL(18,3)) AS unconnected_flow FROM {orders}",
     "jobs": "SELECT CAST(event_id AS BIGINT) AS event_id, ts, CAST(user_id AS BIGINT) AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'poll' END AS kind FROM {events}",
-    "features": "SELECT CAST(c_custkey AS BIGINT) AS feature_index, CASE WHEN c_custkey % 50 = 0 THEN 'f0' ELSE concat('f', CAST(c_custkey AS VARCHAR(20))) END AS feature_id, CASE c_custkey % 8 WHEN 0 THEN 'source' WHEN 1 THEN 'heat_network' WHEN 2 THEN 'heat_chamber' WHEN 3 THEN 'oks_future' WHEN 4 THEN 'oks_connection_point' WHEN 5 THEN 'oks_existing' WHEN 6 THEN 'restriction' ELSE 'mystery' END AS object_type, CASE WHEN c_custkey % 11 = 0 THEN 'LineString' WHEN c_custkey % 8 IN (3, 5, 6) THEN 'Polygon' WHEN c_custkey % 8 = 1 THEN 'LineString' ELSE 'Point' END AS geometry_type, CAST(CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN -1 ELSE c_custkey % 40 END AS INT) AS flow, CAST(CASE WHEN c_custkey % 19 = 0 THEN 77 ELSE 50 END AS INT) AS diameter, concat('f', CAST(CASE WHEN c_custkey % 23 = 0 THEN -5 WHEN c_custkey % 8 = 4 THEN c_custkey - 1 ELSE floor(c_custkey / 8) * 8 + 1 END AS VARCHAR(20))) AS reference FROM {customer}",
+    "features": "SELECT CAST(c_custkey AS BIGINT) AS feature_index, CASE WHEN c_custkey % 50 = 0 THEN 'f0' ELSE concat('f', CAST(c_custkey AS VARCHAR(20))) END AS feature_id, CASE c_custkey % 8 WHEN 0 THEN 'source' WHEN 1 THEN 'heat_network' WHEN 2 THEN 'heat_chamber' WHEN 3 THEN 'oks_future' WHEN 4 THEN 'oks_connection_point' WHEN 5 THEN 'oks_existing' WHEN 6 THEN 'restriction' ELSE 'mystery' END AS object_type, CASE WHEN c_custkey % 11 = 0 THEN 'LineString' WHEN c_custkey % 8 IN (3, 5, 6) THEN 'Polygon' WHEN c_custkey % 8 = 1 THEN 'LineString' ELSE 'Point' END AS geometry_type, CAST(CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN -1 ELSE c_custkey % 40 END AS INT) AS flow, CAST(CASE WHEN c_custkey % 19 = 0 THEN 77 ELSE 50 END AS INT) AS diameter, concat('f', CAST(CASE WHEN c_custkey % 23 = 0 THEN -5 WHEN c_custkey % 8 = 4 THEN c_custkey - 1 ELSE CAST(floor(c_custkey / 8) AS BIGINT) * 8 + 1 END AS VARCHAR(20))) AS reference FROM {customer}",
 }
 
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import network
+from .plans import engineering, network
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(network.QUERIES)
-ORACLES: dict[str, str] = dict(network.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | engineering.QUERIES
+ORACLES: dict[str, str] = network.ORACLES | engineering.ORACLES
 FLAGSHIP = "network_slice"

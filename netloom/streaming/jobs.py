@@ -20,7 +20,8 @@ FINAL = ["completed", "failed", "cancelled"]
 def lease_gaps(events: DataFrame) -> DataFrame:
     """Per job, how often the time between two events exceeded the lease, and the longest wait in seconds."""
     w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
     return events.withColumn("gap", gap).groupBy("job_id").agg(F.count_if(F.col("gap") > LEASE_MS * 1000).alias("expired"), F.coalesce(F.max(F.floor(F.col("gap") / 1_000_000)), F.lit(0)).cast("long").alias("longest_s"))
 
 
