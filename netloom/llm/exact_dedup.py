@@ -69,10 +69,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that survive, with all their columns; rows with equal id and equal text count once."""
+    """The rows of ``docs`` that survive, with all their columns. The join is a merge at every size, so what moves grows
+    with the input and with nothing else."""
     found = exact_dedup(docs, id_col, text_col, **options)
     gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 ORACLE_SQL = """

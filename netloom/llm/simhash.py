@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, durable, spread_join
+from .common import arrow_map, durable, spread_join, trim
 
 SHARD = 4096
 BATCH = 1 << 16
@@ -188,6 +188,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
                 group, fp = group[cut:], fp[cut:]
         if len(group):
             yield found(group, fp)
+        trim()
 
     return grouped.select("g", "fp").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long").distinct()
 
@@ -230,7 +231,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     whose set of word shingles has at least this Jaccard similarity to it (checked exactly)."""
     found = near_duplicates(docs, id_col, text_col, words=words, radius=radius)
     copies = durable(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id"), F.col("component_id").alias("first")).distinct(), "copies")
+    wanted = copies.select(F.explode(F.array("id", "first")).alias("id")).distinct().hint("merge")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = durable(texts.join(wanted, "id", "left_semi"), "compared")
     firsts = copies.select(F.col("first").alias("id")).distinct().join(texts, "id").groupBy("id").agg(F.min("text").alias("kept")).withColumnRenamed("id", "first")
     pairs = spread_join(copies.join(texts, "id"), firsts, ["first"], F.col("id"), RUNS)
 
@@ -252,4 +255,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     schema = T.StructType([T.StructField("__gone", copies.schema["id"].dataType), T.StructField("near", T.BooleanType())])
     judged = arrow_map(pairs, [F.col("text"), F.col("kept"), F.col("id")], schema, kernel)
     gone = durable(judged.where("near").select("__gone").distinct(), "gone")
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
