@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map
-from .linear import byte_grams, calibrate, fit, probability, unit
+from .common import arrow_map, trim
+from .linear import byte_grams, calibrate, fit, matrix, probability, unit
 
 BITS = 12
 MAX_ROWS = 2400
@@ -120,8 +120,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = sorted((r.lang, bytes(r.x)) for r in arrow_map(chosen, [F.col("text"), F.col("lang")], schema, kernel).collect())
     if not rows:
         return None
-    x = unit(np.frombuffer(b"".join(x for _, x in rows), np.float16).reshape(len(rows), -1).astype(np.float32))
-    return Model(x, [lang for lang, _ in rows])
+    langs, x = [lang for lang, _ in rows], matrix([raw for _, raw in rows], 1 << BITS)
+    rows.clear()
+    model = Model(x, langs)
+    del x
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, outputs: tuple[str, str] = ("lang_pred", "score"), text_col: str = "text", *, carry: list[str]) -> DataFrame:

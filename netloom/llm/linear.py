@@ -11,6 +11,16 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-12)
 
 
+def matrix(rows: list[bytes], width: int) -> np.ndarray:
+    """Unit-length feature rows from half-precision counts, made in place: one matrix, no copies beside it."""
+    x = np.empty((len(rows), width), np.float32)
+    for i, raw in enumerate(rows):
+        x[i] = np.frombuffer(raw, np.float16)
+    np.log1p(x, out=x)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
+
+
 def byte_grams(raw: np.ndarray, bits: int, orders: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
     """Counts of hashed byte n-grams of one text."""
     out = np.zeros(1 << bits, np.float32)

@@ -16,6 +16,7 @@ empty result; columns with other names are carried or ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map
-from .linear import byte_grams, calibrate, fit, probability, unit
+from .common import arrow_map, trim
+from .linear import byte_grams, calibrate, fit, matrix, probability, unit
 from .pretok import Words, segments
 
 BITS = 12
 MAX_ROWS = 3000
-KEEP_FROM = 0.3
+KEEP_FROM = 0.7
 WINDOW = 8
 #: Fixed values of the rules.
 SYMBOLS, MIN_WORDS, MAX_REPEAT_PERCENT = "#*$%&|<>", 20, 30
@@ -73,12 +74,15 @@ def measure(text: str | None) -> tuple[tuple[int, ...], np.ndarray]:
 
 
 class Model:
+    """Fitted on the first rows and calibrated on the last fourth, which are views of one matrix."""
+
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        held = np.arange(len(y)) % 4 == 3
-        held = held if (y[held] > 0).any() and (y[held] < 0).any() and len(set(y[~held])) == 2 else np.zeros(len(y), bool)
-        self.w, self.b = fit(x[~held], y[~held], "logistic", penalty=1e-5, steps=400)
-        check = held if held.any() else ~held
-        self.scale = calibrate(x[check] @ self.w + self.b, y[check])
+        cut = len(y) - len(y) // 4
+        if len(set(y[cut:].tolist())) < 2 or len(set(y[:cut].tolist())) < 2:
+            cut = len(y)
+        self.w, self.b = fit(x[:cut], y[:cut], "logistic", penalty=1e-5, steps=400)
+        own = slice(cut, None) if cut < len(y) else slice(None)
+        self.scale = calibrate(x[own] @ self.w + self.b, y[own])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return probability(x @ self.w + self.b, *self.scale)
@@ -99,11 +103,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return work
 
     schema = T.StructType([T.StructField("id", named.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    rows = sorted((r.id, r.y, bytes(r.x)) for r in arrow_map(texts, [F.col("text"), F.col("id"), F.col("y")], schema, kernel).collect())
-    y = np.array([1.0 if r[1] > 0 else -1.0 for r in rows])
+    rows = sorted(((zlib.crc32(str(r.id).encode()), r.id, r.y, bytes(r.x)) for r in arrow_map(texts, [F.col("text"), F.col("id"), F.col("y")], schema, kernel).collect()), key=lambda r: r[:2])
+    y = np.array([1.0 if r[2] > 0 else -1.0 for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    return Model(unit(np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)), y)
+    x = matrix([r[3] for r in rows], 2 << BITS)
+    rows.clear()
+    model = Model(x, y)
+    del x
+    trim()
+    return model
 
 
 def judge(docs: DataFrame, model: Model | None, text_col: str = "text", *, carry: list[str], prefix: str = "", keep_from: float = KEEP_FROM) -> DataFrame:
