@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, trim
-from .linear import byte_grams, calibrate, fit, matrix, probability, unit
+from .linear import byte_grams, calibrate, fit, matrix, probability, squeezed, unit
 
 BITS = 12
 MAX_ROWS = 2400
@@ -112,7 +112,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def kernel():
         def work(columns):
             texts, langs = columns
-            return [langs, [features(t).astype(np.float16).tobytes() for t in texts]], None
+            return [langs, [squeezed(features(t)) for t in texts]], None
 
         return work
 

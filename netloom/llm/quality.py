@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, trim
-from .linear import byte_grams, calibrate, fit, matrix, probability, unit
+from .linear import byte_grams, calibrate, fit, matrix, probability, squeezed, unit
 from .pretok import Words, segments
 
 BITS = 12
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def kernel():
         def work(columns):
             texts, ids, y = columns
-            return [ids, y, [measure(t)[1].astype(np.float16).tobytes() for t in texts]], None
+            return [ids, y, [squeezed(measure(t)[1]) for t in texts]], None
 
         return work
 
