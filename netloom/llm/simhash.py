@@ -31,7 +31,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -226,33 +226,136 @@ def hex16(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near copies, with all columns: of a component the smallest id stays, and every other row goes
-    whose set of word shingles has at least this Jaccard similarity to it (checked exactly)."""
-    found = near_duplicates(docs, id_col, text_col, words=words, radius=radius)
-    copies = durable(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id"), F.col("component_id").alias("first")).distinct(), "copies")
-    wanted = copies.select(F.explode(F.array("id", "first")).alias("id")).distinct().hint("merge")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    texts = durable(texts.join(wanted, "id", "left_semi"), "compared")
-    firsts = copies.select(F.col("first").alias("id")).distinct().join(texts, "id").groupBy("id").agg(F.min("text").alias("kept")).withColumnRenamed("id", "first")
-    pairs = spread_join(copies.join(texts, "id"), firsts, ["first"], F.col("id"), RUNS)
+#: Documents whose shingles tell the frequent ones. They decide only the order of shingles, never what is compared.
+ORDER_DOCS = 1 << 13
+FREQUENT = 1 << 16
+#: Rows of a key that are compared with all its later rows in a round.
+PIVOTS = 4
+#: Ids that may be broadcast to fetch their texts.
+FEW = 10_000
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes, sorted; a text without words has one of its own kind, 0."""
+    return np.unique(np.array(shingle_hashes(text, words) or [0], np.uint64))
+
+
+def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles seen most in a sample of ``texts`` (id, text), sorted, and in how many of its documents each is."""
+    share = min(1.0, ORDER_DOCS / max(1, texts.count()))
+    sample = texts.where(F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+
+    def kernel():
+        def work(columns):
+            sets = [shingle_set(t, words) for t in columns[0]]
+            return [pa.array(np.concatenate(sets).view(np.int64))], np.repeat(np.arange(len(sets)), list(map(len, sets))).tolist()
+
+        return work
+
+    seen = arrow_map(sample, [F.col("text")], T.StructType([T.StructField("key", T.LongType())]), kernel)
+    top = seen.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    keys, n = top.column("key").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """id, key, n: of each text's n distinct shingles the first n - ceil(similarity * n) + 1, rare ones first.
+
+    Two sets of this similarity share ceil(similarity * n) shingles at least of either, so the rarest shared one
+    is among these of both: every such pair meets in a key."""
+    common = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
+
+    def kernel():
+        keys, counts = common.value
+
+        def work(columns):
+            out, sizes = [], []
+            for text in columns[0]:
+                own = shingle_set(text, words)
+                weight = np.zeros(len(own), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    weight = np.where(keys[at] == own, counts[at], 0)
+                out.append(own[np.argsort(weight, kind="stable")[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]])
+                sizes.append(len(own))
+            lengths = list(map(len, out))
+            return [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(sizes), lengths))], np.repeat(np.arange(len(out)), lengths).tolist()
+
+        return work
+
+    return arrow_map(texts, [F.col("text")], T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]), kernel, carry=["id"])
+
+
+def near_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b) of ids those whose shingle sets have the similarity, checked exactly."""
+    own = spread_join(pairs, texts.select(F.col("id").alias("b"), F.col("text").alias("own")), ["b"], F.col("a"), RUNS)
+    both = spread_join(own, texts.select(F.col("id").alias("a"), F.col("text").alias("first")), ["a"], F.col("b"), RUNS)
 
     def kernel():
         def work(columns):
-            own, other, ids = columns
-            last: tuple[str | None, set[int]] = (None, set())
-            out = []
-            for a, b in zip(own, other, strict=True):
-                if last[0] is None or b != last[0]:
-                    last = (b or "", set(shingle_hashes(b, words)))
-                mine = set(shingle_hashes(a, words))
-                both = len(mine & last[1])
-                out.append(both >= similarity * max(1, len(mine) + len(last[1]) - both) or not (mine or last[1]))
-            return [ids, out], None
+            mine, first, a, b = columns
+            last: tuple[str | None, np.ndarray] | None = None
+            rows = []
+            for i, (t, u) in enumerate(zip(mine, first, strict=True)):
+                if last is None or u != last[0]:
+                    last = (u, shingle_set(u, words))
+                x = shingle_set(t, words)
+                shared = len(np.intersect1d(x, last[1], assume_unique=True))
+                if shared >= similarity * (len(x) + len(last[1]) - shared) - 1e-9:
+                    rows.append(i)
+            return [[a[i] for i in rows], [b[i] for i in rows]], rows
 
         return work
 
-    schema = T.StructType([T.StructField("__gone", copies.schema["id"].dataType), T.StructField("near", T.BooleanType())])
-    judged = arrow_map(pairs, [F.col("text"), F.col("kept"), F.col("id")], schema, kernel)
-    gone = durable(judged.where("near").select("__gone").distinct(), "gone")
+    return arrow_map(both, [F.col("own"), F.col("first"), F.col("a"), F.col("b")], pairs.select("a", "b").schema, kernel)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near copies, with all columns. In the order of ids a row stays unless a row that stays has at
+    least this Jaccard similarity to its set of word shingles: no two rows that stay are near, and whatever goes is
+    near one that stays. Rows without an id stay; rows that share an id stay or go together, by their smallest text.
+
+    Every near pair meets in a key of ``prefixes``, and in more of them the closer the sizes are: sets of n and m
+    shingles that share c keys share at most c and what either has behind its prefix, and must share
+    similarity / (1 + similarity) * (n + m). Only pairs with enough keys are compared. A round compares the first ``PIVOTS`` undecided rows of each key
+    with its later ones, so a key of n rows costs a multiple of n. A row that was a pivot of all its keys has met all
+    its candidates; it stays once no undecided smaller id is near it, and rows near it go. Decided rows leave, and the
+    smallest undecided row is decided in every round."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
+    of_key = Window.partitionBy("key")
+    met = prefixes(texts, words, similarity).withColumn("least", F.min("id").over(of_key)).withColumn("most", F.max("id").over(of_key))
+    alive = durable(met.where("least <> most").select("key", "id", "n").distinct(), "prefixes")
+    tail = lambda n: F.ceil(F.lit(similarity) * n - 1e-9) - 1
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-9) - F.greatest(tail(F.col("m")), tail(F.col("n")))
+    gone = None
+    while True:
+        ranked = durable(alive.withColumn("rank", F.row_number().over(of_key.orderBy("id"))), "ranked")
+        pivots = ranked.where(F.col("rank") <= PIVOTS).select("key", F.col("id").alias("a"), F.col("n").alias("m"))
+        fits = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9
+        # keys of a pair are all counted if one of the two was a pivot of all its keys; no other pair decides a row in this round
+        shared = pivots.join(ranked, "key").where((F.col("a") < F.col("id")) & fits).groupBy("a", F.col("id").alias("b"), "m", "n").agg(F.count("*").alias("c"))
+        pairs = durable(shared.where(F.col("c") >= least).select("a", "b").distinct(), "pairs")
+        wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
+        compared = durable(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "compared")
+        near = durable(near_pairs(pairs, compared, words, similarity), "near")
+        waiting = durable(ranked.where(F.col("rank") > PIVOTS).select("id").distinct(), "waiting")
+        open_ids = durable(ranked.select("id").distinct(), "undecided")
+        while True:
+            behind = near.select(F.col("b").alias("id")).unionByName(waiting)
+            stay = durable(open_ids.join(behind, "id", "left_anti"), "stay")
+            go = durable(near.join(stay, near["a"] == stay["id"], "left_semi").select(F.col("b").alias("id")).distinct(), "go")
+            if stay.isEmpty():
+                break
+            gone = go if gone is None else gone.unionByName(go)
+            decided = stay.unionByName(go)
+            open_ids = durable(open_ids.join(decided, "id", "left_anti"), "undecided")
+            near = durable(near.join(decided, near["a"] == decided["id"], "left_anti").join(decided, near["b"] == decided["id"], "left_anti"), "near")
+        if open_ids.isEmpty():
+            break
+        alive = ranked.join(open_ids, "id", "left_semi").select("key", "id", "n")
+    if gone is None:
+        return docs
+    gone = durable(gone.select(F.col("id").alias("__gone")), "gone")
     return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
