@@ -1,17 +1,18 @@
-"""Operator 5, exact dedup: a tree merge of digest runs, DataFrame functions only.
-
-Every row is a run of length one: (digest, id). Runs are numbered; in round k
-``fan_in`` neighbouring runs become one, so the merge is a tree of
-``log(runs, fan_in)`` rounds in which partial aggregation first merges what a
-task already holds and the exchange then brings equal digests of one run group
-together. Each level keeps, per digest, the surviving identifier and the number
-of rows. A run group is dealt over all tasks by digest, so the root is spread
-as widely as the leaves, and a text that fills a third of the table reaches any
-task as at most ``fan_in`` rows a task that held it.
+"""Operator 5, exact dedup: a tree merge of sorted digest runs, DataFrame functions only.
+
+Every row starts as an entry (digest, id, 1) of a numbered leaf run. In round k
+``fan_in`` neighbouring runs meet: their entries are exchanged by (run, digest)
+and sorted by (run, digest, id), which is Spark's multiway merge of the sorted
+runs that the tasks hold, and of equal neighbours in the merged run one stays,
+with the surviving identifier and the number of rows. ``log(runs, fan_in)``
+rounds give one run. A run is dealt over all tasks by digest, so the root is
+spread as widely as the leaves, and a text that fills a third of the table
+comes to any task as at most ``fan_in`` entries of each run, at the leaves as
+its rows of one leaf, which the number of runs keeps below ``LEAF_ROWS``.
 
 The results go back down the same tree: a digest's entry at one level has at
 most ``fan_in`` children at the next, and the rows join at the first level
-above the leaves, where a hot digest is divided over all run groups.
+above the leaves, where a hot digest is divided over all runs.
 
 A digest counts as equal only if SHA-256, a second 64-bit hash and the byte
 length all agree at every level.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, durable
@@ -36,22 +37,30 @@ KEY = ["digest", "check", "n_bytes"]
 LEAF_ROWS = 1 << 16
 
 
+def merged(entries: DataFrame, fan_in: int, survivor: list[Column]) -> DataFrame:
+    """One round: ``fan_in`` neighbouring runs of entries (key, run, keep_id, group_size) become one sorted run of distinct digests."""
+    dealt = entries.withColumn("run", F.floor(F.col("run") / fan_in)).repartition("run", *KEY).sortWithinPartitions("run", *KEY, *survivor)
+    equal = Window.partitionBy("run", *KEY)
+    first = F.row_number().over(equal.orderBy(*survivor))
+    total = F.sum("group_size").over(equal.orderBy(*survivor).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return dealt.select(*KEY, "run", "keep_id", total.alias("group_size"), first.alias("__place")).where("__place = 1").drop("__place")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep: str = "max", fan_in: int = 16) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256. ``keep``: max or min id survives."""
-    pick = {"max": F.max, "min": F.min}[keep]
+    survivor = [{"max": F.desc_nulls_last, "min": F.asc_nulls_last}[keep]("keep_id")]
     text = F.coalesce(ascii_lower(F.col(f"`{text_col}`")), F.lit(""))
-    named = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("leaf"))
     prints = durable(
-        named.select("id", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), F.xxhash64("text").alias("check"), F.octet_length("text").cast("long").alias("n_bytes")),
+        named.select("id", "leaf", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), F.xxhash64("text").alias("check"), F.octet_length("text").cast("long").alias("n_bytes")),
         "digests",
     )
     rounds = max(3, 1 + math.ceil(math.log(max(1, prints.count() / LEAF_ROWS), fan_in)))
-    leaves = prints.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(fan_in**rounds)))
+    leaves = prints.withColumn("run", F.pmod("leaf", F.lit(fan_in**rounds)))  # by place in the table: null and repeated ids are dealt as well as others
 
-    up = F.floor(F.col("run") / fan_in).alias("run")
     levels = [leaves.select(*KEY, "run", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))]
     for _ in range(rounds):
-        levels.append(levels[-1].groupBy(*KEY, up).agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+        levels.append(merged(levels[-1], fan_in, survivor))
 
     known = levels[-1].where("group_size > 1")
     for level in reversed(levels[1:-1]):
