@@ -15,8 +15,10 @@ back by itself. Other documents are encoded by the library in batches.
 
 Defined results: null text counts as empty and has no ids; spaces are kept;
 characters without a piece become their bytes; texts of any length are read
-whole; repeated rows give equal results; an empty table gives an empty result;
-other columns are not read.
+whole; repeated rows give equal results, and giant copies are encoded once; a
+text that holds the model's own space mark, U+2581, decodes with spaces in its
+place, as by the library; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, durable
+from .common import arrow_map, durable, spread_join
 
 SPACE = "▁"
 GIANT = 1 << 16
 CHUNK = 8_192
+#: Chunks of a task; the number of tasks follows from it, so that Spark doesn't fold small tables into one.
+TASK_CHUNKS = 8
+#: Slices in which rows of one giant text, which may be many copies, fetch its ids.
+RUNS = 64
 COMPATIBLE_LIMIT = 1 << 20
 
 
@@ -186,11 +192,13 @@ def _states(raw: bytes) -> list[State | None]:
 def giant_ids(giants: DataFrame, data: bytes, chunk: int) -> DataFrame:
     """key, ids (little-endian unsigned 32-bit) of distinct giant texts (key, text)."""
     longest = loaded(data).longest
+    tasks = giants.agg(F.sum(F.ceil((F.char_length("text") + 1) / chunk))).first()[0]
+    tasks = max(1, -(-(tasks or 0) // TASK_CHUNKS))
     marked = giants.select("key", F.concat(F.lit(SPACE), F.translate("text", " ", SPACE)).alias("s")).withColumn("n", F.char_length("s"))
     parts = marked.select("key", "s", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("k"))
     begin = F.greatest(F.lit(0), F.col("k") * chunk - longest)
     stop = F.least(F.col("n"), (F.col("k") + 1) * chunk)
-    windows = durable(parts.select(F.col("s").substr(begin + 1, stop + longest - begin).alias("window"), "key", "k", (F.col("k") * chunk - begin).cast("int").alias("entry"), (stop - begin).cast("int").alias("stop"), begin.cast("int").alias("begin")), "chunks")
+    windows = durable(parts.repartition(tasks, "key", "k").select(F.col("s").substr(begin + 1, stop + longest - begin).alias("window"), "key", "k", (F.col("k") * chunk - begin).cast("int").alias("entry"), (stop - begin).cast("int").alias("stop"), begin.cast("int").alias("begin")), "chunks")
 
     def matrices():
         def work(columns):
@@ -204,6 +212,7 @@ def giant_ids(giants: DataFrame, data: bytes, chunk: int) -> DataFrame:
         return work
 
     binary = T.StructType([T.StructField(n, T.BinaryType()) for n in ("entries", "exits", "m")])
+    windows = windows.repartition(tasks, "key", "k")
     transfers = arrow_map(windows, [F.col(c) for c in ("window", "entry", "stop", "begin", "k")], binary, matrices, carry=["key", "k"])
 
     def combine(key, table):
@@ -217,9 +226,9 @@ def giant_ids(giants: DataFrame, data: bytes, chunk: int) -> DataFrame:
             enter = int((products[at - 1][0] + matrices[at][:, leave]).argmax()) if at else 0
             out.append((key[0].as_py(), rows[at][0], *(states[at][0][enter] or (-1, 0)), *states[at][1][leave]))
             leave = enter
-        return pa.table({n: pa.array(c) for n, c in zip(("key", "k", "ei", "ee", "xi", "xe"), zip(*out, strict=True), strict=True)}).cast(pa.schema([("key", pa.int64()), ("k", pa.int32()), *((n, pa.int64()) for n in ("ei", "ee", "xi", "xe"))]))
+        return pa.table({n: pa.array(c) for n, c in zip(("key", "k", "ei", "ee", "xi", "xe"), zip(*out, strict=True), strict=True)}).cast(pa.schema([("key", pa.string()), ("k", pa.int32()), *((n, pa.int64()) for n in ("ei", "ee", "xi", "xe"))]))
 
-    cuts = transfers.groupBy("key").applyInArrow(combine, "key long, k int, ei long, ee long, xi long, xe long")
+    cuts = transfers.groupBy("key").applyInArrow(combine, "key string, k int, ei long, ee long, xi long, xe long")
 
     def backtrace():
         def work(columns):
@@ -231,13 +240,13 @@ def giant_ids(giants: DataFrame, data: bytes, chunk: int) -> DataFrame:
 
         return work
 
-    traced = arrow_map(windows.join(cuts, ["key", "k"]), [F.col(c) for c in ("window", "begin", "ei", "ee", "xi", "xe")], T.StructType([T.StructField("ids", T.BinaryType())]), backtrace, carry=["key", "k"])
+    traced = arrow_map(windows.join(cuts.repartition(tasks, "key", "k"), ["key", "k"]), [F.col(c) for c in ("window", "begin", "ei", "ee", "xi", "xe")], T.StructType([T.StructField("ids", T.BinaryType())]), backtrace, carry=["key", "k"])
 
     def join(key, table):
         rows = sorted(zip(table.column("k").to_pylist(), table.column("ids").to_pylist(), strict=True))
         return pa.table({"key": [key[0].as_py()], "ids": pa.array([b"".join(x for _, x in rows)], pa.binary())})
 
-    return traced.groupBy("key").applyInArrow(join, "key long, ids binary")
+    return traced.groupBy("key").applyInArrow(join, "key string, ids binary")
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", *, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
@@ -257,9 +266,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     schema = T.StructType([T.StructField("id", named.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("ids", T.BinaryType())])
     usual = arrow_map(named.where(~large), [F.col("text"), F.col("id")], schema, kernel)
-    giants = durable(named.where(large).withColumn("key", F.xxhash64("text", "id")), "giants")
-    found = giant_ids(giants.select("key", "text").dropDuplicates(["key"]), data, chunk)
-    scanned = giants.join(found, "key").select("id", "text", "ids")
+    giants = durable(named.where(large).withColumn("key", F.sha2("text", 256)), "giants")
+    distinct = durable(giants.groupBy("key").agg(F.first("text").alias("text")), "distinct")
+    found = giant_ids(distinct, data, chunk)
+    scanned = spread_join(giants, found, ["key"], F.xxhash64("id", F.monotonically_increasing_id()), RUNS).select("id", "text", "ids")
     return usual.unionByName(scanned).withColumnRenamed("id", id_col)
 
 
