@@ -33,6 +33,8 @@ from .common import arrow_map, durable
 
 SHARD_PIECES = 4096
 REPACK_PIECES = 16384
+#: Limits of a sequence of 2,048 tokens beside its tokens: pieces, and the sum of their squared lengths.
+MAX_DOCS, MAX_ATTENTION = 256, 0.95 * 2048**2
 #: Sequences with more free tokens than this are opened again in the second round.
 LOOSE_TOKENS = 8
 
@@ -102,9 +104,9 @@ def vector_best_fit(lengths: np.ndarray, capacities: tuple[float, float, float],
     return bins, offset
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, max_docs: int | None = None, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3), rule: str = "norm") -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048, max_docs: int | None = None, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), rule: str = "norm") -> DataFrame:
     """``pieces`` (columns of ``token_pieces``) with sequence_id and offset. ``max_docs``: pieces in one sequence;
-    ``max_attention``: sum of squared lengths in one sequence. Unset, neither binds."""
+    ``max_attention``: sum of squared lengths in one sequence, which only a piece alone may exceed. Unset, neither binds."""
     limits = (float(capacity), float(max_docs or capacity), float(max_attention or capacity * capacity))
     names = pieces.columns
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("__loose", T.BooleanType())])

@@ -23,7 +23,7 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_docs=packing.MAX_DOCS, max_attention=packing.MAX_ATTENTION)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
