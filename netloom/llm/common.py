@@ -37,9 +37,11 @@ def ascii_lower(column: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only in local mode, as in tests, a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + (local := tempfile.mkdtemp(prefix="netloom-"))
         atexit.register(shutil.rmtree, local, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -80,12 +82,21 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that the operators of this session have written; their results are void then."""
+def written(spark: SparkSession) -> int:
+    """How many tables the operators of this session have written so far."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the tables that were written after the first ``since``, but those whose label starts with ``keep``; what else was made of them is void then."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+    tables = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    kept = [p for p in tables[since:] if keep and p.rsplit("/", 1)[-1].startswith(f"netloom-{keep}")]
+    for path in tables[since:]:
+        if path not in kept:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+    tables[since:] = kept
 
 
 def slices(batch: pa.RecordBatch, text_at: int, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
