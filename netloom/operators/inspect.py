@@ -27,7 +27,6 @@ def issues(features: DataFrame) -> DataFrame:
     """code, severity, feature_index, feature_id of all findings. Properties are checked only for known types."""
     known = features.where(F.col("object_type").isin(OBJECT_TYPES))
     allowed = reduce(lambda c, t: c.when(F.col("object_type") == t, F.col("geometry_type").isin(GEOMETRY_OF[t])), OBJECT_TYPES[1:], F.when(F.col("object_type") == OBJECT_TYPES[0], F.col("geometry_type").isin(GEOMETRY_OF[OBJECT_TYPES[0]])))
-    extended = F.max(F.when(F.col("object_type") == "oks_future", 1).otherwise(0)).over(Window.partitionBy())
     is_type = lambda *t: F.col("object_type").isin(*t)
     bad_flow = F.col("flow").isNull() | (F.col("flow") <= 0)
     bad_diameter = F.col("diameter").isNull() | ~F.col("diameter").isin(DIAMETERS)

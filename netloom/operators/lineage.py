@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from files that all executors can read; a temporary folder stands in only where the session names none."""
+    """``df`` from files that all executors can read; a temporary folder stands in only in local mode, where the session names none."""
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="netloom-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", f"file://{folder}")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import map_groups
+from .lineage import cut
+from .trees import chase
 
 CORRIDORS_M = (75, 200, 600)
 BEND_PENALTY = 1.15
@@ -200,26 +202,18 @@ def corridor_trees(edges: DataFrame, terminals: DataFrame) -> DataFrame:
 
 def collapse_chains(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Chains of edges (up, down, length, flow, diameter) through nodes with one edge in, one out, equal flow and
-    diameter, unless the node is in ``keep`` (node): head edge's start, last node, summed length, edges."""
-    from .sizing import MAX_DEPTH  # noqa: F401  chains longer than this go through size_networks
-
+    diameter, unless the node is in ``keep`` (node): first and last node, summed length, edges. Every edge points to the
+    edge before it in its chain, and the pointers are chased to the chain's first edge, whatever its length."""
     degree = edges.select(F.col("up").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("down").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     plain = degree.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i = 1 AND o = 1").select("node").join(keep, "node", "left_anti")
-    after = edges.select(F.col("up").alias("node"), F.col("down").alias("next"), F.col("flow").alias("f"), F.col("diameter").alias("d"))
-    joined = edges.join(plain.withColumnRenamed("node", "down"), "down", "left_semi").join(after.withColumnRenamed("node", "down"), "down").where("flow = f AND diameter = d").select("down", "next")
-    sql = """
-    WITH RECURSIVE walk(head, at) AS (
-      SELECT e.down, e.down FROM {edges} e
-      UNION ALL
-      SELECT w.head, j.next FROM walk w JOIN {joined} j ON j.down = w.at
-    ) SELECT head, at FROM walk"""
-    walk = edges.sparkSession.sql(sql, edges=edges.select("down"), joined=joined)
-    inner = joined.select(F.col("next").alias("head"))
-    heads = walk.join(inner, "head", "left_anti")
-    lengths = edges.select(F.col("down").alias("at"), "length")
-    totals = heads.join(lengths, "at").groupBy("head").agg(F.sum("length").alias("length"), F.count("*").alias("edges"))
-    ends = heads.join(joined.select(F.col("down").alias("at")), "at", "left_anti").select("head", F.col("at").alias("last"))
-    return totals.join(ends, "head").join(edges.select(F.col("down").alias("head"), F.col("up").alias("first")), "head").select("first", "last", "length", "edges")
+    before = edges.select(F.col("down").alias("up"), F.struct("up", "down").alias("previous"), F.col("flow").alias("f"), F.col("diameter").alias("d"))
+    through = before.join(plain.withColumnRenamed("node", "up"), "up", "left_semi")
+    linked = cut(edges.join(through, "up", "left").select(F.struct("up", "down").alias("node"), F.when((F.col("flow") == F.col("f")) & (F.col("diameter") == F.col("d")), F.col("previous")).alias("previous"), "length"))
+    inner = linked.where("previous IS NOT NULL")
+    ends = chase(linked.select("node", "previous").distinct(), up="previous").where("hops > 0")
+    chains = inner.join(ends, "node").groupBy("end").agg(F.sum("length").alias("more"), F.count("*").alias("n"), F.max_by("node.down", "hops").alias("last"))
+    heads = linked.where("previous IS NULL")
+    return heads.join(chains, heads["node"] == chains["end"], "left").select(F.col("node.up").alias("first"), F.coalesce("last", F.col("node.down")).alias("last"), (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), (1 + F.coalesce("n", F.lit(0))).alias("edges"))
 
 
 def axis_shifts(vertices: DataFrame, longest: float) -> DataFrame:

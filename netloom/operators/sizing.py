@@ -1,7 +1,8 @@
 """Flow roll-up, diameters and continuous lengths on forests of pipes.
 
 A forest is a table of nodes with their upstream node; the edge of a node is
-the pipe that feeds it. Roll-ups go level by level over all trees at once.
+the pipe that feeds it. Roll-ups double their reach in every round, over all
+trees at once (``trees``).
 """
 
 from __future__ import annotations
@@ -13,27 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import DIAMETERS, FLOW, MAX_FLOW, MAX_LENGTH
-
-#: Deepest forest that the recursive roll-up takes; deeper chains go through ``size_networks``, tree by tree.
-MAX_DEPTH = 100
-
+from ..functions.dims import DIAMETERS, FLOW, LENGTH, MAX_FLOW, MAX_LENGTH
+from .groups import map_groups
+from .trees import chase, subtree_sums
 
 def demand_by_node(demands: DataFrame) -> DataFrame:
     return demands.groupBy("node").agg(F.sum("flow").cast(FLOW).alias("flow"))
 
 
 def subtree_flow(tree: DataFrame) -> DataFrame:
-    """node, flow: the demand of each node's subtree. The closure (node, ancestor) comes from one recursive query, so
-    every level is one join over all trees, and the sum is an ordinary aggregate with map-side combine."""
-    sql = """
-    WITH RECURSIVE up(node, ancestor, demand, depth) AS (
-      SELECT node, node, demand, 0 FROM {tree}
-      UNION ALL
-      SELECT u.node, t.up, u.demand, u.depth + 1 FROM up u JOIN {tree} t ON t.node = u.ancestor WHERE t.up IS NOT NULL
-    ) SELECT node, ancestor, demand, depth FROM up"""
-    closure = tree.sparkSession.sql(sql, tree=tree)
-    return closure.groupBy(F.col("ancestor").alias("node")).agg(F.sum("demand").cast(FLOW).alias("flow"))
+    """node, flow: the demand of each node's subtree."""
+    return subtree_sums(tree, "demand", FLOW).withColumnRenamed("total", "flow")
 
 
 def root_branch_flows(tree: DataFrame) -> DataFrame:
@@ -46,16 +37,8 @@ def same_flow_components(tree: DataFrame, flows: DataFrame) -> DataFrame:
     """node, head: the top node of the run of edges with equal flow that a node belongs to."""
     own = tree.select("node", "up").join(flows, "node")
     above = flows.select(F.col("node").alias("up"), F.col("flow").alias("up_flow"))
-    linked = own.join(above, "up", "left").select("node", F.when(F.col("flow") == F.col("up_flow"), F.col("up")).alias("next"))
-    sql = """
-    WITH RECURSIVE walk(node, at) AS (
-      SELECT node, node FROM {linked}
-      UNION ALL
-      SELECT w.node, l.next FROM walk w JOIN {linked} l ON l.node = w.at WHERE l.next IS NOT NULL
-    ) SELECT w.node, w.at FROM walk w"""
-    walk = tree.sparkSession.sql(sql, linked=linked)
-    ends = linked.where("next IS NULL").select(F.col("node").alias("at"))
-    return walk.join(ends, "at").select("node", F.col("at").alias("head"))
+    linked = own.join(above, "up", "left").select("node", F.when(F.col("flow") == F.col("up_flow"), F.col("up")).alias("up"))
+    return chase(linked).select("node", F.col("end").alias("head"))
 
 
 def continuous_length(chain: DataFrame, route: str = "route", order: str = "seq") -> DataFrame:
@@ -154,20 +137,23 @@ def size_network(edges: list[tuple[str, str, str, Decimal]], demand: dict[str, D
 
 
 def size_networks(edges: DataFrame, demands: DataFrame) -> DataFrame:
-    """Size every network apart: edges (network, edge, up, down, length), demands (network, node, flow)."""
+    """Size every network apart: edges (network, edge, up, down, length), demands (network, node, flow). A network is one
+    connected system, as a root's tree is; ``networks_by_root`` gives the trees of a forest that has no such key."""
     demand_rows = demands.select("network", F.lit(None).cast("string").alias("edge"), F.lit(None).cast("string").alias("up"), F.col("node").alias("down"), F.lit(None).cast("decimal(14,3)").alias("length"), F.col("flow").cast(FLOW).alias("flow"))
-    parts = edges.select("network", "edge", "up", "down", "length", F.lit(None).cast(FLOW).alias("flow")).unionByName(demand_rows)
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        lines = table[table.edge.notna()].sort_values("edge")
-        points = table[table.edge.isna()]
-        demand: dict[str, Decimal] = {}
-        for node, flow in zip(points.down, points.flow, strict=True):
-            demand[node] = demand.get(node, Decimal(0)) + flow
-        found = size_network(list(zip(lines.edge, lines.up, lines.down, lines.length, strict=True)), demand)
-        out = pd.DataFrame(found, columns=["edge", "flow", "diameter", "continuous", "issue"])
-        out.insert(0, "network", table.network.iloc[0])
-        out["diameter"] = out.diameter.astype("Int32")
-        return out
-
-    return parts.groupBy("network").applyInPandas(run, SIZED)
+    parts = edges.select("network", "edge", "up", "down", F.col("length").cast(LENGTH), F.lit(None).cast(FLOW).alias("flow")).unionByName(demand_rows)
+
+    def kernel(table: pd.DataFrame) -> list[tuple]:
+        lines, demand = [], {}
+        for edge, up, down, length, flow in zip(table.edge, table.up, table.down, table.length, table.flow, strict=True):
+            if edge is None:
+                demand[down] = demand.get(down, Decimal(0)) + flow
+            else:
+                lines.append((edge, up, down, length))
+        return [(table.network.iloc[0], *r) for r in size_network(lines, demand)]
+
+    return map_groups(parts, "network", ["edge"], kernel, SIZED, ["network", "edge", "flow", "diameter", "continuous", "issue"])
+
+
+def networks_by_root(tree: DataFrame) -> DataFrame:
+    """node, network: the root that each node of a forest (node, up) hangs from."""
+    return chase(tree).select("node", F.col("end").alias("network"))

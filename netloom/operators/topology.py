@@ -47,34 +47,53 @@ def segment_crossings(segments: DataFrame, cell: float, id_col: str = "id", grou
     return pair.where(boxes_overlap(*a, *b)).where(F.col("cell") == corner).where(segments_intersect(*a, *b)).select(*group, id_col, f"o_{id_col}")
 
 
-#: A target side of at most this many rows is broadcast and compared whole; beyond it the grid search is used.
-BROADCAST_TARGETS = 10_000
+#: Targets in one grid cell that are still compared one by one; denser places are searched with a smaller radius first.
+DENSE = 4096
 
 
-def nearest(points: DataFrame, targets: DataFrame, k: int = MAX_CANDIDATES, *, point: str = "point_id", target: str = "chamber_id", limit: int = BROADCAST_TARGETS) -> DataFrame:
-    """The k nearest targets of every point (ties by target id): point, target, distance2, rank.
+def first_radius(places: DataFrame, x: str, y: str, k: int, extent: tuple[float, float], total: int) -> float:
+    """A search radius that reaches about k of ``total`` places on average, made smaller until no cell of the grid is dense."""
+    radius = (max(extent[0], 1) * max(extent[1], 1) * k / max(total, 1)) ** 0.5
+    for _ in range(8):
+        if (places.groupBy(cells(F.col(x), F.col(y), radius)).count().agg(F.max("count")).first()[0] or 0) <= DENSE:
+            break
+        radius /= 4
+    return radius
+
+
+def nearest(points: DataFrame, targets: DataFrame, k: int = MAX_CANDIDATES, *, point: str = "point_id", target: str = "chamber_id", carry: Sequence[str] = ()) -> DataFrame:
+    """The k nearest targets of every point (ties by target id): point, carried columns, target, distance2, rank.
 
-    A small target side is broadcast. Beyond ``limit`` rows points are matched in grid cells as wide as the search
-    radius: who finds k targets within it is done, the others go on with four times the radius.
+    Points meet targets in grid cells as wide as the search radius, an equi-join. Who has k targets within the radius
+    is done; the others go on with four times the radius, the last time over everything.
     """
-    rank = F.row_number().over(Window.partitionBy(point).orderBy("distance2", target))
-    right = targets.select(target, F.col("x").alias("tx"), F.col("y").alias("ty"))
-    extent = right.agg(F.count("*"), F.min("tx"), F.max("tx"), F.min("ty"), F.max("ty")).first()
-    if extent[0] <= limit:
-        dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-        return points.crossJoin(F.broadcast(right)).withColumn("distance2", dx * dx + dy * dy).withColumn("rank", rank).where(F.col("rank") <= k).select(point, target, "distance2", "rank")
+    extent = targets.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     spread = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    keys = [point, *carry]
+    if not extent[0] or spread[0] is None:
+        return points.limit(0).crossJoin(targets.limit(0).select(target)).select(*keys, target, F.lit(0).cast("long").alias("distance2"), F.lit(0).alias("rank"))
     width = max(extent[2], spread[1]) - min(extent[1], spread[0]) + 1
     height = max(extent[4], spread[3]) - min(extent[3], spread[2]) + 1
-    radius = (width * height * k / extent[0]) ** 0.5
-    todo, done = points, []
+    radius = first_radius(targets, "x", "y", k, (extent[2] - extent[1], extent[4] - extent[3]), extent[0])
+    todo, done = points.select(*keys, "x", "y"), []
+    right = targets.select(target, "x", "y")
+    rank = F.row_number().over(Window.partitionBy(point).orderBy("distance2", target))
     while True:
         last = radius >= width + height
-        pairs = within_distance(todo, targets, radius, [point]).select(point, F.col(f"o_{target}").alias(target), "distance2")
-        ranked = pairs.withColumn("n", F.count("*").over(Window.partitionBy(point))).withColumn("rank", rank).where(F.col("rank") <= k)
-        done.append((ranked if last else ranked.where(F.col("n") >= k)).select(point, target, "distance2", "rank"))
-        todo = cut(todo.join(pairs.groupBy(point).count().where(F.col("count") >= k), point, "left_anti"))
-        if last or todo.isEmpty():
+        pairs = within_distance(todo, right, radius, [point]).select(*keys, F.col(f"o_{target}").alias(target), "distance2")
+        if k == 1:
+            best = pairs.groupBy(*keys).agg(F.min_by(F.struct(target, "distance2"), F.struct("distance2", target)).alias("b"))
+            found = best.select(*keys, f"b.{target}", "b.distance2", F.lit(1).alias("rank"))
+        else:  # the rank limit is applied before the exchange, too
+            ranked = cut(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
+            full = ranked.groupBy(point).agg(F.max("rank").alias("n")).where(F.col("n") >= k).select(point)
+            found = ranked if last else ranked.join(full, point, "left_semi")
+        found = cut(found)
+        done.append(found)
+        if last:
+            break
+        todo = cut(todo.join(found.select(point).distinct(), point, "left_anti"))
+        if todo.isEmpty():
             break
         radius *= 4
     out = done[0]
@@ -83,21 +102,23 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = MAX_CANDIDATES, *, p
     return out
 
 
-def distance_to_segments(points: DataFrame, segments: DataFrame, limit: int = BROADCAST_TARGETS) -> DataFrame:
-    """points with their distance to the nearest of ``segments`` (ax, ay, bx, by). Up to ``limit`` segments are broadcast;
-    more are searched in grid cells with a radius that grows until every point has an answer."""
+def distance_to_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """points with their distance to the nearest of ``segments`` (ax, ay, bx, by), searched in grid cells with a radius
+    that grows until every point has an answer."""
     ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
     d = point_segment_distance(F.col("x"), F.col("y"), *ends)
     keys = points.columns
     size = segments.agg(F.count("*"), F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
-    if size[0] <= limit:
-        return points.crossJoin(F.broadcast(segments)).groupBy(*keys).agg(F.min(d).alias("distance"))
-    reach, radius = 2 * (size[2] - size[1] + size[4] - size[3]) + 1, ((size[2] - size[1]) * (size[4] - size[3]) / size[0]) ** 0.5 + 1
+    spread = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not size[0] or spread[0] is None:
+        return points.limit(0).withColumn("distance", F.lit(None).cast("double"))
+    reach = 2 * (max(size[2], spread[1]) - min(size[1], spread[0]) + max(size[4], spread[3]) - min(size[3], spread[2])) + 1
+    radius = (max(size[2] - size[1], 1) * max(size[4] - size[3], 1) / size[0]) ** 0.5 + 1
     todo, out = points, None
     while True:
         near = segments.withColumn("cell", F.explode(box_cells(*ends, radius, radius)))
         found = todo.withColumn("cell", cells(F.col("x"), F.col("y"), radius)).join(near, "cell").groupBy(*keys).agg(F.min(d).alias("distance"))
-        found = found if radius > reach else found.where(F.col("distance") <= radius)
+        found = cut(found if radius > reach else found.where(F.col("distance") <= radius))
         out = found if out is None else out.unionByName(found)
         todo = cut(todo.join(found, keys, "left_anti"))
         if radius > reach or todo.isEmpty():
@@ -140,16 +161,11 @@ def upstream_issues(links: DataFrame, node: str = "node", up: str = "up") -> Dat
     return now.select(F.col("n").alias(node), F.when(F.col("state") == "open", "UPSTREAM_CYCLE").otherwise(F.col("state")).alias("code")).where("code <> 'ok'")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 64) -> DataFrame:
-    """Nodes reachable from ``seeds`` (node) over undirected ``edges`` (a, b): breadth-first frontiers until none is new."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    seen = frontier = seeds.select("node").distinct()
-    for _ in range(rounds):
-        fresh = cut(frontier.join(both, frontier["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if fresh.isEmpty():
-            break
-        seen, frontier = cut(seen.unionByName(fresh)), fresh
-    return seen
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes reachable from ``seeds`` (node) over undirected ``edges`` (a, b): all nodes of the seeds' components, however far."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).unionByName(seeds.select("node")).distinct()
+    found = components(edges, nodes)
+    return found.join(found.join(seeds.select("node").distinct(), "node", "left_semi").select("component").distinct(), "component", "left_semi").select("node")
 
 
 def incidence(chambers: DataFrame, segments: DataFrame, cell: float, tolerance: float = NODE_TOLERANCE_M) -> DataFrame:

@@ -66,8 +66,8 @@ FROM sized s LEFT JOIN {P} p ON p.diameter = s.diameter"""
 def network_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every consumer joins its nearest chamber; flows and lengths by chamber are sized and priced."""
     points = role(spark, sf_dir, "points")
-    best = topology.nearest(points, role(spark, sf_dir, "chambers"), 1)
-    flows = best.join(points.select("point_id", "flow"), "point_id").groupBy("chamber_id").agg(F.sum("flow").cast(dims.FLOW).alias("flow"), F.count("*").alias("consumers"), (F.sum(F.floor(F.sqrt(F.col("distance2").cast("double")) * 10 + 0.5)).cast("decimal(14,3)") / 1000).cast(dims.LENGTH).alias("length"))
+    best = topology.nearest(points, role(spark, sf_dir, "chambers"), 1, carry=["flow"])
+    flows = best.groupBy("chamber_id").agg(F.sum("flow").cast(dims.FLOW).alias("flow"), F.count("*").alias("consumers"), (F.sum(F.floor(F.sqrt(F.col("distance2").cast("double")) * 10 + 0.5)).cast("decimal(14,3)") / 1000).cast(dims.LENGTH).alias("length"))
     priced = economics.price_edges(flows.withColumn("crossing", F.lit("base")), dims.pipes(spark))
     return longs(doubles(priced.select("chamber_id", "flow", "consumers", "diameter", "cost"), "flow", "cost"), "diameter")
 
@@ -346,13 +346,35 @@ def chamber_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(sizing.chamber_diameter(e), "node", "diameter")
 
 
-@query()
+#: Smallest pipe of an edge: it carries the flow, is no smaller than the pipes below, and its run of one diameter keeps to the limit.
+SIZED = "(SELECT min(p.diameter) FROM " + P + " p WHERE p.max_flow >= %s AND p.diameter >= %s AND %s <= p.max_length)"
+
+
+@query(
+    role_sql("forest")
+    + f""", n AS (SELECT network, node, CAST(floor(node / 2) AS BIGINT) AS up, length, flow AS own FROM forest),
+l4 AS (SELECT *, {SIZED % ("own", "0", "length")} AS du, own AS flow, length AS run FROM n WHERE node >= 4),
+l2 AS (SELECT *, {SIZED % ("flow", "greatest(d1, d2)", "length + greatest(CASE WHEN d1 = p.diameter THEN r1 ELSE 0 END, CASE WHEN d2 = p.diameter THEN r2 ELSE 0 END)")} AS du FROM (
+  SELECT n.network, n.node, n.up, n.length, n.own + coalesce(a.flow, 0) + coalesce(b.flow, 0) AS flow, coalesce(a.du, 0) AS d1, coalesce(b.du, 0) AS d2, coalesce(a.run, 0) AS r1, coalesce(b.run, 0) AS r2
+  FROM n LEFT JOIN l4 a ON a.network = n.network AND a.node = n.node * 2 LEFT JOIN l4 b ON b.network = n.network AND b.node = n.node * 2 + 1 WHERE n.node IN (2, 3))),
+m2 AS (SELECT *, length + greatest(CASE WHEN d1 = du THEN r1 ELSE 0 END, CASE WHEN d2 = du THEN r2 ELSE 0 END) AS run FROM l2),
+l1 AS (SELECT *, {SIZED % ("flow", "greatest(d1, d2)", "length + greatest(CASE WHEN d1 = p.diameter THEN r1 ELSE 0 END, CASE WHEN d2 = p.diameter THEN r2 ELSE 0 END)")} AS du FROM (
+  SELECT n.network, n.node, n.up, n.length, n.own + coalesce(a.flow, 0) + coalesce(b.flow, 0) AS flow, coalesce(a.du, 0) AS d1, coalesce(b.du, 0) AS d2, coalesce(a.run, 0) AS r1, coalesce(b.run, 0) AS r2
+  FROM n LEFT JOIN m2 a ON a.network = n.network AND a.node = 2 LEFT JOIN m2 b ON b.network = n.network AND b.node = 3 WHERE n.node = 1)),
+s AS (SELECT network, node, up, length, flow, du FROM l4 UNION ALL SELECT network, node, up, length, flow, du FROM m2 UNION ALL SELECT network, node, up, length, flow, du FROM l1)
+SELECT s.network, s.node, CAST(s.flow AS DOUBLE) AS flow, CAST(s.du AS BIGINT) AS diameter,
+  CAST(s.length + CASE WHEN u.du = s.du THEN u.length + CASE WHEN v.du = s.du THEN v.length ELSE 0 END ELSE 0 END AS DOUBLE) AS continuous
+FROM s LEFT JOIN s u ON u.network = s.network AND u.node = s.up LEFT JOIN s v ON v.network = s.network AND v.node = u.up"""
+)
 def size_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diameters of many trees by dynamic programming (checked by exhaustive search in the tests)."""
-    t = role(spark, sf_dir, "tree")
-    edges = t.where("up IS NOT NULL").select(F.lit("all").alias("network"), F.concat(F.lit("e"), "node").alias("edge"), F.col("up").cast("string").alias("up"), F.col("node").cast("string").alias("down"), "length")
-    demand = t.select(F.lit("all").alias("network"), F.col("node").cast("string").alias("node"), F.col("demand").alias("flow"))
-    return doubles(sizing.size_networks(edges, demand), "flow", "continuous")
+    """Diameters of many trees by dynamic programming, each tree found by its root."""
+    t = role(spark, sf_dir, "forest").withColumns({"id": F.col("network") * 10 + F.col("node"), "above": F.when(F.col("node") > 1, F.col("network") * 10 + F.floor(F.col("node") / 2))})
+    roots = sizing.networks_by_root(t.select(F.col("id").alias("node"), F.col("above").alias("up")))
+    named = t.join(roots.withColumnsRenamed({"node": "id", "network": "root"}), "id")
+    edges = named.select(F.col("root").cast("string").alias("network"), F.col("id").cast("string").alias("edge"), F.coalesce(F.col("above").cast("string"), F.lit("source")).alias("up"), F.col("id").cast("string").alias("down"), "length")
+    demand = named.select(F.col("root").cast("string").alias("network"), F.col("id").cast("string").alias("node"), "flow")
+    sized = sizing.size_networks(edges, demand).where("issue IS NULL")
+    return longs(doubles(sized.select(F.floor(F.col("edge").cast("long") / 10).alias("network"), (F.col("edge").cast("long") % 10).alias("node"), "flow", "diameter", "continuous"), "flow", "continuous"), "diameter")
 
 
 @query(

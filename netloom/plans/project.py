@@ -10,6 +10,7 @@ ROLES = {
     "chambers": "SELECT CAST(s_suppkey AS BIGINT) AS chamber_id, CAST((s_suppkey * 15485863) % 100000 AS BIGINT) AS x, CAST((s_suppkey * 32452843) % 100000 AS BIGINT) AS y, CAST(s_suppkey % 5 AS INT) AS incident FROM {supplier}",
     "points": "SELECT CAST(c_custkey AS BIGINT) AS point_id, CAST((c_custkey * 7919) % 100000 AS BIGINT) AS x, CAST((c_custkey * 104729) % 100000 AS BIGINT) AS y, CAST(1 + c_custkey % 60 AS DECIMAL(18,3)) AS flow FROM {customer}",
     "tree": "SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor((p_partkey - 1) / 2) AS BIGINT) END AS up, CAST(10 + p_size AS DECIMAL(14,3)) AS length, CAST(p_size % 7 AS DECIMAL(18,3)) AS demand FROM {part}",
+    "forest": "SELECT network * 1000 + CAST(floor((n - 1) / 7) AS BIGINT) AS network, (n - 1) % 7 + 1 AS node, length, flow FROM (SELECT CAST(l_orderkey AS BIGINT) AS network, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS n, CAST(1 + l_partkey % 160 AS DECIMAL(14,3)) AS length, CAST(1 + l_quantity % 9 AS DECIMAL(18,3)) AS flow FROM {lineitem}) numbered",
     "links": "SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 97 = 0 THEN -1 WHEN p_partkey % 89 = 0 THEN CAST(p_partkey AS BIGINT) ELSE CAST(floor((p_partkey - 1) / 3) AS BIGINT) END AS up, CAST(p_size % 5 AS INT) AS valve FROM {part}",
     "vertices": "SELECT CAST(l_orderkey AS BIGINT) AS route, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS seq, CAST(l_partkey * 37 % 1000 AS BIGINT) AS x, CAST(l_suppkey * 53 % 1000 AS BIGINT) AS y FROM {lineitem}",
     "spans": "SELECT CAST(l_orderkey AS BIGINT) AS route, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS span, CAST(l_partkey % 900 AS BIGINT) AS s, CAST(l_partkey % 900 AS BIGINT) + CAST(l_quantity AS BIGINT) AS e, CASE l_returnflag WHEN 'R' THEN 'road' WHEN 'A' THEN 'gas_pipeline' ELSE 'heat_network' END AS type FROM {lineitem}",
