@@ -153,6 +153,12 @@ def arrow_map(
     return chosen.mapInArrow(run, schema)
 
 
+def sampled(rows: DataFrame, share: float | Column, purpose: str, *key: str) -> DataFrame:
+    """About this share of ``rows``, chosen by a hash of their key; the share may be as small as the table is large."""
+    place = F.xxhash64(F.lit(purpose), *key).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    return rows.where(place < share)
+
+
 def spread_join(rows: DataFrame, table: DataFrame, key: Sequence[str], by: Column, runs: int) -> DataFrame:
     """Left join of ``rows`` with ``table`` (one row per key) when a key may hold a third of ``rows``.
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, durable, spread_join, trim
+from .common import arrow_map, durable, sampled, spread_join, trim
 
 SHARD = 4096
 BATCH = 1 << 16
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(durable(links(distinct.select("fp"), radius), "links"))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("fp", "component_id")
+    by_print = spread_join(rooted, smallest, ["root"], F.col("fp"), RUNS).select("fp", "component_id")
     return spread_join(prints, by_print, ["fp"], F.col("id"), RUNS).select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -229,8 +229,8 @@ def hex16(column: Column) -> Column:
 #: Documents whose shingles tell the frequent ones. They decide only the order of shingles, never what is compared.
 ORDER_DOCS = 1 << 13
 FREQUENT = 1 << 16
-#: Rows of a key that are compared with all its later rows in a round.
-PIVOTS = 4
+#: Rows of a key that are compared with all its later rows in the first round; ``GROWTH`` times as many in the next, when few rows are left.
+PIVOTS, GROWTH = 8, 4
 #: Ids that may be broadcast to fetch their texts.
 FEW = 10_000
 
@@ -242,8 +242,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles seen most in a sample of ``texts`` (id, text), sorted, and in how many of its documents each is."""
-    share = min(1.0, ORDER_DOCS / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64(F.lit("order"), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sample = sampled(texts, min(1.0, ORDER_DOCS / max(1, texts.count())), "order", "id")
 
     def kernel():
         def work(columns):
@@ -311,51 +310,80 @@ def near_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return arrow_map(both, [F.col("own"), F.col("first"), F.col("a"), F.col("b")], pairs.select("a", "b").schema, kernel)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near copies, with all columns. In the order of ids a row stays unless a row that stays has at
-    least this Jaccard similarity to its set of word shingles: no two rows that stay are near, and whatever goes is
-    near one that stays. Rows without an id stay; rows that share an id stay or go together, by their smallest text.
+def compare(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The near ones of ``pairs`` (a, b) of ids. Only the texts of the pairs are moved."""
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
+    compared = durable(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "compared")
+    return durable(near_pairs(pairs, compared, words, similarity), "near")
 
-    Every near pair meets in a key of ``prefixes``, and in more of them the closer the sizes are: sets of n and m
-    shingles that share c keys share at most c and what either has behind its prefix, and must share
-    similarity / (1 + similarity) * (n + m). Only pairs with enough keys are compared. A round compares the first ``PIVOTS`` undecided rows of each key
-    with its later ones, so a key of n rows costs a multiple of n. A row that was a pivot of all its keys has met all
-    its candidates; it stays once no undecided smaller id is near it, and rows near it go. Decided rows leave, and the
-    smallest undecided row is decided in every round."""
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
-    of_key = Window.partitionBy("key")
-    met = prefixes(texts, words, similarity).withColumn("least", F.min("id").over(of_key)).withColumn("most", F.max("id").over(of_key))
-    alive = durable(met.where("least <> most").select("key", "id", "n").distinct(), "prefixes")
+
+def greedy(alive: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """id: the rows of ``alive`` (key, id, n), prefixes of texts, that go if a row stays unless one that stays, with a smaller id, is near it.
+
+    Sets of n and m shingles that share c keys share at most c and what either has behind its prefix, and must share
+    similarity / (1 + similarity) * (n + m), so only pairs with enough keys are compared. A round compares the smallest ids
+    of each key with its later ones, so a key of n rows costs a multiple of n. A row that was a pivot of all its keys has
+    met all its candidates; it stays once no undecided smaller id is near it, and rows near it go. Decided rows leave, and
+    the smallest undecided row is decided in every round."""
     tail = lambda n: F.ceil(F.lit(similarity) * n - 1e-9) - 1
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("n")) - 1e-9) - F.greatest(tail(F.col("m")), tail(F.col("n")))
-    gone = None
-    while True:
-        ranked = durable(alive.withColumn("rank", F.row_number().over(of_key.orderBy("id"))), "ranked")
-        pivots = ranked.where(F.col("rank") <= PIVOTS).select("key", F.col("id").alias("a"), F.col("n").alias("m"))
-        fits = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9
+    fits = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9
+    gone, n_pivots = [], PIVOTS
+    while not alive.isEmpty():
+        first = alive.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= n_pivots)  # limited before the exchange, too
+        pivots = first.groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("a"), F.col("n").alias("m"))).alias("pivots"), F.max("id").alias("bar"))
+        ranked = durable(spread_join(alive, pivots, ["key"], F.col("id"), RUNS), "ranked")
         # keys of a pair are all counted if one of the two was a pivot of all its keys; no other pair decides a row in this round
-        shared = pivots.join(ranked, "key").where((F.col("a") < F.col("id")) & fits).groupBy("a", F.col("id").alias("b"), "m", "n").agg(F.count("*").alias("c"))
-        pairs = durable(shared.where(F.col("c") >= least).select("a", "b").distinct(), "pairs")
-        wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
-        compared = durable(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "compared")
-        near = durable(near_pairs(pairs, compared, words, similarity), "near")
-        waiting = durable(ranked.where(F.col("rank") > PIVOTS).select("id").distinct(), "waiting")
-        open_ids = durable(ranked.select("id").distinct(), "undecided")
+        one = ranked.select("id", "n", F.explode("pivots").alias("p")).select(F.col("p.a").alias("a"), F.col("id").alias("b"), F.col("p.m").alias("m"), "n").where("a < b")
+        pairs = durable(one.where(fits).groupBy("a", "b", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("a", "b").distinct(), "pairs")
+        near = compare(pairs, texts, words, similarity)
+        state = durable(ranked.groupBy("id").agg(F.bool_or(F.col("id") > F.col("bar")).alias("late")), "undecided")
+        waiting, open_ids = state.where("late").select("id"), state.select("id")
         while True:
-            behind = near.select(F.col("b").alias("id")).unionByName(waiting)
-            stay = durable(open_ids.join(behind, "id", "left_anti"), "stay")
-            go = durable(near.join(stay, near["a"] == stay["id"], "left_semi").select(F.col("b").alias("id")).distinct(), "go")
+            stay = durable(open_ids.join(near.select(F.col("b").alias("id")).unionByName(waiting), "id", "left_anti"), "stay")
             if stay.isEmpty():
                 break
-            gone = go if gone is None else gone.unionByName(go)
+            go = durable(near.join(stay, near["a"] == stay["id"], "left_semi").select(F.col("b").alias("id")).distinct(), "go")
+            gone.append(go)
             decided = stay.unionByName(go)
             open_ids = durable(open_ids.join(decided, "id", "left_anti"), "undecided")
             near = durable(near.join(decided, near["a"] == decided["id"], "left_anti").join(decided, near["b"] == decided["id"], "left_anti"), "near")
-        if open_ids.isEmpty():
+        alive = durable(ranked.join(open_ids, "id", "left_semi").select("key", "id", "n"), "alive")
+        n_pivots *= GROWTH
+    return durable(union(gone), "gone") if gone else alive.select("id")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """``docs`` without near copies, with all columns. In the order of ids a row stays unless a row that stays has at
+    least this Jaccard similarity to its set of word shingles: no two rows that stay are near, and whatever goes is
+    near one that stays. Rows without an id stay; rows that share an id stay or go together, by their smallest text.
+
+    First, SimHash: rows of a component of ``radius`` that are near its smallest id go with that row's word, which takes
+    the many copies of large groups out of what follows. But most pairs of this similarity lie further apart than any
+    radius that can be searched, so the rows left also meet in ``prefixes``, where every near pair has a key in common,
+    and are decided in the order of ids. Where a row that others went for has gone itself, those come back and the
+    decisions are made again; if none has, they are those of the order of ids over all rows."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
+    found = near_duplicates(texts, "id", "text", words=words, radius=radius)
+    linked = durable(found.where("component_id < id").select(F.col("component_id").alias("a"), F.col("id").alias("b")).distinct(), "linked")
+    copies = compare(linked, texts, words, similarity)
+
+    met = durable(prefixes(texts, words, similarity), "prefixes")
+    shared_keys = durable(met.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key"), "keys")
+    every = durable(met.join(shared_keys.hint("merge"), "key", "left_semi"), "alive")
+    while True:
+        gone = greedy(every.join(copies.select(F.col("b").alias("id")), "id", "left_anti"), texts, words, similarity)
+        held = durable(copies.join(gone, copies["a"] == gone["id"], "left_anti"), "copies")
+        if held.count() == copies.count():
             break
-        alive = ranked.join(open_ids, "id", "left_semi").select("key", "id", "n")
-    if gone is None:
-        return docs
-    gone = durable(gone.select(F.col("id").alias("__gone")), "gone")
+        copies = held
+    gone = durable(gone.unionByName(copies.select(F.col("b").alias("id"))).distinct().withColumnRenamed("id", "__gone"), "gone")
     return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
