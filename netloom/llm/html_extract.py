@@ -12,8 +12,11 @@ passed together in numpy.
 Defined results: null or empty html gives an empty text; broken markup is read
 as browsers do in the common cases (missing end tags, unquoted attributes,
 pages cut short); scripts, styles and comments never give text; character
-references are decoded; pages of any length are read whole; repeated rows give
-equal results; an empty table gives an empty result.
+references are decoded; pages of any length are read whole, in time that grows
+with their length; elements that are not known as blocks are inline, and their
+text is kept (math, svg, object and iframe too); a tag that the page's end cuts
+off is dropped; repeated rows give equal results; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +37,17 @@ from .html_pages import labelled_pages
 
 MIXED, CONTENT, OTHER = 0, 1, 2
 STATES = {"m": MIXED, "c": CONTENT, "b": OTHER}
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TURN = re.compile(r"""["'>]""")
+COMMENT_END = re.compile(r"--!?>")
+ATTRIBUTE = re.compile(r"""(?<![^\s=/"'>])([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))""")
 WORD = re.compile(r"[a-z]+")
-#: Fixed values of HTML: elements without content, with raw text, and inline elements.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe object svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Fixed values of HTML: elements without content, with raw text, and blocks (what isn't one of these is inline).
+VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
+RAW = frozenset("script style template".split())
+BLOCK = frozenset(
+    "address article aside blockquote body button caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html input ins label legend li link listing main menu meta nav noscript ol optgroup option p plaintext pre search section select summary table tbody td textarea tfoot th thead title tr ul xmp".split()
+)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "optgroup": {"select"}}
 SENTENCE_END = (".", "!", "?", "…", '"', "”", ":", ";")
@@ -59,9 +67,59 @@ class Page:
         return len(self.parent) - 1
 
 
+def tag_end(source: str, at: int, dead: set[int]) -> int:
+    """Where the ``>`` is that ends a tag whose attributes begin at ``at``, outside quotes; where quotes leave none, the next ``>``; -1 if there is none.
+    ``dead``: places outside quotes from which no end was found, so that a page's quotes are followed once."""
+    begin, seen = at, []
+    while at not in dead and (m := TURN.search(source, at)):
+        if m[0] == ">":
+            return m.start()
+        seen.append(at)
+        close = source.find(m[0], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    dead.update(seen)
+    return source.find(">", begin)
+
+
+def markup(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, lower-case name, whether it closes, attributes) of every tag; comments and the like have no name. What lies between is text."""
+    dead: set[int] = set()
+    at = 0
+    while (start := source.find("<", at)) >= 0:
+        closing = source.startswith("/", start + 1)
+        name = NAME.match(source, start + 1 + closing)
+        if name:
+            end = tag_end(source, name.end(), dead)
+            end = len(source) if end < 0 else end + 1
+            cut_off = end == len(source) and source[-1] != ">"
+            yield start, end, "" if cut_off else name[0].lower(), closing, source[name.end() : end - 1]
+        elif source.startswith("<!--", start):
+            m = COMMENT_END.search(source, start + 4)
+            end = m.end() if m else len(source)
+            yield start, end, "", False, ""
+        elif source.startswith(("!", "?", "/"), start + 1):
+            end = source.find(">", start)
+            end = len(source) if end < 0 else end + 1
+            yield start, end, "", False, ""
+        else:
+            at = start + 1
+            continue
+        at = end
+        if name and not closing and name[0].lower() in RAW:
+            m = re.compile(rf"</{name[0]}(?=[\s/>])", re.I).search(source, end)
+            if not m:
+                yield end, len(source), "", False, ""
+                return
+            yield end, m.start(), "", False, ""
+            at = m.start()
+
+
 def read(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
     run: list[str] = []
     linked, in_link = 0, 0
 
@@ -71,61 +129,53 @@ def read(source: str) -> Page:
         if text:
             words = text.count(" ") + 1
             share = linked / max(1, sum(map(len, run)))
-            page.add(stack[-1][1], "#text", (f"#len{min(3, (words > 2) + (words > 7) + (words > 19))}", f"#link{(share > 0.2) + (share > 0.7)}", f"#end{text.endswith(SENTENCE_END)}", f"#in-{stack[-1][0]}"), text)
+            link = (share > 0.2) + (share > 0.7)
+            page.add(stack[-1][1], "#text", (f"#len{min(3, (words > 2) + (words > 7) + (words > 19))}", f"#link{link}", f"#end{text.endswith(SENTENCE_END)}", f"#in-{stack[-1][0]}-link{link}"), text)
         run.clear()
         linked = 0
 
-    at, end = 0, len(source)
-    while at < end:
-        m = TOKEN.search(source, at)
-        if not m:
-            run.append(source[at:])
-            break
-        if m.start() > at:
-            run.append(piece := source[at : m.start()])
+    def leave(depth: int):
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    at = 0
+    for start, end, tag, closing, attributes in markup(source):
+        if start > at:
+            run.append(piece := source[at:start])
             linked += len(piece) if in_link else 0
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        at = end
         if tag == "a":
             in_link = 0 if closing else 1
-        if tag in INLINE and tag != "ins":
-            if tag == "br":
-                run.append(" ")
-            continue
-        if tag in RAW and not closing:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            at = close.end() if close else end
-            flush()
+        if tag == "br":
+            run.append(" ")
+        if tag not in BLOCK:
             continue
         flush()
         in_link = 0
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if places[tag]:
+                leave(places[tag][-1])
             continue
         if stack[-1][0] == "p":
-            stack.pop()
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in SCOPES[tag]:
-                    break
-                if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
-                    break
+            leave(len(stack) - 1)
+        if tag in CLOSES and (own := last(CLOSES[tag])) > last(SCOPES[tag]):
+            leave(own)
         found, state = [], None
         for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
             if (name := name.lower()) in ("class", "id", "role"):
                 found += {f".{w}" for w in WORD.findall((a or b or c).lower())}
-            elif name == "y":
+            elif name == "y" and c in STATES:
                 state = STATES[c]
         node = page.add(stack[-1][1], tag, tuple(found), None, state)
         if tag not in VOID:
+            places[tag].append(len(stack))
             stack.append((tag, node))
+    if at < len(source):
+        run.append(source[at:])
+        linked += len(source) - at if in_link else 0
     flush()
     return page
 

@@ -64,16 +64,25 @@ def _words(rng: random.Random, n: int) -> str:
     return (" ".join(words).capitalize() + ".") if n >= 8 else " ".join(words)
 
 
-def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
     rng, out = random.Random(seed), []
     pick = rng.choice
     for _ in range(n):
-        inner = pick(TITLES)
+        bare, boxed = rng.random() < 0.3, rng.random() < 0.2  # blocks right under the page, blocks in boxes of their own
+        parts = [pick(TITLES)]
         for _ in range(rng.choice((1, 2, 3, 5, 8, 12))):
-            inner += pick(BLOCKS)
+            parts.append(pick(BLOCKS))
+        if boxed:
+            parts = [f"<div>{x}</div>" if x else x for x in parts]
+        if bare:
+            parts = [re.sub(r"<(h1|h2|h3|p|ul|ol|dl|table|figure|pre|div|section|blockquote|header)\b", r"<\1 y=c", x, count=0 if x.count("<h1") else 1) for x in parts]
+        with_guests = []
+        for x in parts:
+            with_guests.append(x)
             if rng.random() < 0.06:
-                inner += pick(pick((ADS, ADS, SIDES, NOTICES, FORMS)))
-        wrap = pick(WRAPS)
+                with_guests.append(pick(pick((ADS, ADS, SIDES, NOTICES, FORMS))))
+        inner = "".join(with_guests)
+        wrap = "{}" if bare else pick(WRAPS)
         if rng.random() < 0.15:
             inner += pick(COMMENTS)
         body = wrap.replace("{}", inner)
@@ -81,9 +90,15 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
         after = [pick(x) for x in (SIDES, ADS, COMMENTS, FORMS, MENUS, NOTICES) if rng.random() < 0.35]
         if rng.random() < 0.85:
             after.append(pick(FOOTERS))
+        if rng.random() < 0.3:
+            for _ in range(rng.randint(1, 3)):
+                body = f"<div y=m>{body}</div>"
         page = "".join([*before, body, *after])
         if rng.random() < 0.3:
             page = f'<div class="{pick(("page", "wrapper", "layout", "row"))}" y=m>{page}</div>'
+        if rng.random() < 0.2:
+            for _ in range(rng.randint(1, 4)):
+                page = f"<div y=m>{page}</div>"
         html = f'<!DOCTYPE html><html lang="en" y=m><head y=b><meta charset="utf-8"><title>{{6}}</title><style>p{{}}</style><script>x("</p>")</script></head><body y=m>{page}</body></html>'
         if rng.random() < 0.2:  # fragments come without the outer elements, some as the article alone
             html = page if rng.random() < 0.5 else body
