@@ -7,7 +7,7 @@ probability wins. Features are hashed byte n-grams of the whole lower-cased
 text. ``score`` is the family's calibrated probability times the winner's mean
 pairwise probability, from 0 to 1.
 
-The models are fitted on at most ``max_rows`` labelled training rows, the same
+The models are fitted on about ``max_rows`` labelled training rows, the same
 number for each language as far as there are as many, chosen by a hash of the
 id. Languages that ``FAMILIES`` doesn't name are a family each.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, trim
+from .common import arrow_map, sampled, trim
 from .linear import byte_grams, calibrate, fit, matrix, probability, squeezed, unit
 
 BITS = 12
@@ -107,7 +107,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     each = max(1, max_rows // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    chosen = sampled(known, share[F.col("lang")], "sample", "id")
 
     def kernel():
         def work(columns):

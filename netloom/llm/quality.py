@@ -2,10 +2,10 @@
 
 Rules count words, characters in words, symbols, repeated lines and words in
 repeated 8-word windows of the whole text; two of them reject outright. The
-rest is decided by a logistic regression on hashed word unigrams and byte
-trigrams, fitted on at most ``max_rows`` rows of the quality labels (chosen by
-a hash of the id), calibrated on a fourth of them that the fit doesn't see, and
-compared with a fixed probability.
+rest is decided by a logistic regression on hashed words, word pairs, and byte
+n-grams of three and four, fitted on about ``max_rows`` rows of the quality
+labels (chosen by a hash of the id), calibrated on a fourth of them that the
+fit doesn't see, and compared with a fixed probability.
 
 Defined results: null text has no words and fails; texts of any length are read
 whole; documents without a label are scored like others; an id with different
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, trim
-from .linear import byte_grams, calibrate, fit, matrix, probability, squeezed, unit
+from .common import arrow_map, sampled, trim
+from .linear import byte_grams, calibrate, fit, matrix, probability, squeezed
 from .pretok import Words, segments
 
 BITS = 12
@@ -62,15 +62,16 @@ def repeat_words(words: list[bytes], keys: np.ndarray) -> int:
 
 
 def measure(text: str | None) -> tuple[tuple[int, ...], np.ndarray]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), hashed counts of the features."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), hashed counts of word and character n-grams."""
     text = text or ""
     raw = text.encode()
     words = raw.split()
     keys = np.concatenate([Words([s.encode()]).h1 for s in segments(text)]) if words else np.zeros(0, np.uint64)
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     values = (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words, keys))
-    x = np.concatenate((np.bincount((keys >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS), byte_grams(np.frombuffer(raw, np.uint8), BITS, (3,))))
-    return values, x
+    pairs = (keys[:-1] ^ (keys[:-1] >> np.uint64(29))) * MIX[0] + keys[1:] * MIX[1]
+    hashed = np.concatenate((keys, pairs)) >> np.uint64(64 - BITS)
+    return values, np.concatenate((np.bincount(hashed.astype(np.int64), minlength=1 << BITS), byte_grams(np.frombuffer(raw, np.uint8), BITS, (3, 4))))
 
 
 class Model:
@@ -84,15 +85,20 @@ class Model:
         own = slice(cut, None) if cut < len(y) else slice(None)
         self.scale = calibrate(x[own] @ self.w + self.b, y[own])
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return probability(x @ self.w + self.b, *self.scale)
+    def margin(self, counts: np.ndarray) -> float:
+        """Of one text, over the n-grams that it has."""
+        at = np.flatnonzero(counts)
+        x = np.log1p(counts[at], dtype=np.float32)
+        return float(x @ self.w[at]) / max(float(np.sqrt(x @ x)), 1e-12) + self.b
+
+    def score(self, margins: list[float]) -> np.ndarray:
+        return probability(np.array(margins), *self.scale)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, max_rows: int = MAX_ROWS) -> Model | None:
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     agreed = named.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
-    share = max_rows / max(1, agreed.count())
-    chosen = agreed.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("id", "y")
+    chosen = sampled(agreed, max_rows / max(1, agreed.count()), "sample", "id").select("id", "y")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")  # about max_rows rows
 
     def kernel():
@@ -123,13 +129,17 @@ def judge(docs: DataFrame, model: Model | None, text_col: str = "text", *, carry
         def work(columns):
             (texts,) = columns
             out = [[] for _ in OUTPUTS]
-            for s in range(0, len(texts), 128):
-                found = [measure(t) for t in texts[s : s + 128]]
-                p = model.score(unit(np.stack([x for _, x in found]))) if model else np.ones(len(found))
-                for (values, _), q in zip(found, p.tolist(), strict=True):
-                    failed = values[0] < MIN_WORDS or 100 * values[4] > MAX_REPEAT_PERCENT * values[0]
-                    for column, value in zip(out, (*values, failed, not failed and q >= keep_from, q), strict=True):
-                        column.append(value)
+            found, margins = [], []
+            for text in texts:
+                values, counts = measure(text)
+                found.append(values)
+                if model:
+                    margins.append(model.margin(counts))
+            p = model.score(margins) if model else np.ones(len(found))
+            for values, q in zip(found, p.tolist(), strict=True):
+                failed = values[0] < MIN_WORDS or 100 * values[4] > MAX_REPEAT_PERCENT * values[0]
+                for column, value in zip(out, (*values, failed, not failed and q >= keep_from, q), strict=True):
+                    column.append(value)
             return [pa.array(c) if c else [] for c in out], None
 
         return work

@@ -172,10 +172,30 @@ def test_quality(spark, docs, nothing):
         windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
         hit = {k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}
         assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(hit))
-        assert got[i].base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w))
+        assert got[i].base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and got[i].kept == (not got[i].base_failed)
     assert quality.quality(nothing, labels).collect() == []
 
 
+def test_quality_counts():
+    text = "a # b $$ c\n\nx y\n \nx y\nx y\t\n&|<>\nx y\n" + "one two three four five six seven eight nine " * 2
+    values, _ = quality.measure(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    assert values[:4] == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)))
+    assert values[2:] == (7, 2, 18)
+
+
+def test_quality_on_held_out_labels(spark):
+    """Of labelled rows that the model has not seen, it keeps nearly all good ones and few bad ones."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL")
+    model = quality.train(docs, labels.where("doc_id % 4 <> 1"))
+    unseen = docs.join(labels.where("doc_id % 4 = 1").select("doc_id", "quality"), "doc_id")
+    rows = quality.judge(unseen, model, carry=["doc_id", "quality"]).where("NOT base_failed").collect()
+    good, bad = [r.kept for r in rows if r.quality], [r.kept for r in rows if not r.quality]
+    assert len(good) > 500 and sum(good) >= 0.99 * len(good) and len(bad) > 30 and sum(bad) <= 0.1 * len(bad)
+
+
 def test_language_model(docs, nothing):
     got = by_id(language_model.score_texts(docs))
     tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", lowered(t)), ""] for i, t in enumerate(TEXTS)}
