@@ -31,7 +31,8 @@ from .pretok import Words, segments
 
 BITS = 12
 MAX_ROWS = 3000
-KEEP_FROM = 0.7
+#: Of held-out labelled rows that pass the rules (three folds of four at sf0.1), 0.5 lost none of 2,471 good ones and kept 4 of 233 bad ones; 0.7 lost 2 and kept 3.
+KEEP_FROM = 0.5
 WINDOW = 8
 #: Fixed values of the rules.
 SYMBOLS, MIN_WORDS, MAX_REPEAT_PERCENT = "#*$%&|<>", 20, 30
