@@ -65,8 +65,10 @@ STATE = "state string, attempt int, last_ms long"
 
 
 def follow(events: DataFrame, lease_ms: int = LEASE_MS) -> DataFrame:
-    """State changes of jobs from a stream of events. The state of a job is kept by Spark, a processing-time timer
-    stands for the lease: a running job without a sign of life returns to the queue."""
+    """State changes of jobs from a stream of events. The state of a job is kept by Spark; a processing-time timeout stands
+    for the lease: a running job without a sign of life for that long returns to the queue, and the next claim is a new
+    attempt. Spark looks for expired leases in batch after batch, so a query that is to end by itself (``availableNow``)
+    needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off; leases are then checked whenever events come."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -50,22 +51,48 @@ def test_export_checks_first(spark, tmp_path):
     assert not (tmp_path / "o").exists()
 
 
-def test_grid_search_equals_broadcast(spark):
-    p = spark.range(60).select(F.col("id").alias("point_id"), (F.col("id") * 7919 % 1000).alias("x"), (F.col("id") * 104729 % 1000).alias("y"))
-    t = spark.range(25).select(F.col("id").alias("chamber_id"), (F.col("id") * 15485863 % 1000).alias("x"), (F.col("id") * 32452843 % 1000).alias("y"))
-    assert sorted(topology.nearest(p, t, 3).collect()) == sorted(topology.nearest(p, t, 3, limit=0).collect())
+def test_nearest_equals_all_pairs(spark):
+    """Even, crowded and far points; ties; fewer targets than asked for; none."""
+    p = spark.range(60).select(F.col("id").alias("point_id"), (F.col("id") * 7919 % 1000 + F.when(F.col("id") == 7, 90_000).otherwise(0)).alias("x"), (F.col("id") * 104729 % 1000).alias("y"))
+    t = spark.range(45).select(F.col("id").alias("chamber_id"), F.when(F.col("id") < 20, 500).otherwise(F.col("id") * 15485863 % 1000).alias("x"), F.when(F.col("id") < 20, 500).otherwise(F.col("id") * 32452843 % 1000).alias("y"))
+    points, targets = p.collect(), t.collect()
+    for k in (1, 3, 50):
+        want = sorted((a.point_id, c, d, r + 1) for a in points for r, (d, c) in enumerate(sorted(((a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.chamber_id) for b in targets)[:k]))
+        assert sorted(map(tuple, topology.nearest(p, t, k).collect())) == want
+    assert topology.nearest(p, t.limit(0), 2).collect() == topology.nearest(p.limit(0), t, 2).collect() == []
     seg = t.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("y").alias("bx"), F.col("x").alias("by"))
-    near = lambda n: {r.point_id: round(r.distance, 6) for r in topology.distance_to_segments(p, seg, limit=n).collect()}
-    assert near(100) == near(0)
+    ends = [tuple(r) for r in seg.collect()]
+
+    def distance(x, y, ax, ay, bx, by):
+        n = (bx - ax) ** 2 + (by - ay) ** 2
+        u = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n)) if n else 0
+        return ((x - ax - u * (bx - ax)) ** 2 + (y - ay - u * (by - ay)) ** 2) ** 0.5
+
+    got = {r.point_id: r.distance for r in topology.distance_to_segments(p, seg).collect()}
+    assert got == pytest.approx({a.point_id: min(distance(a.x, a.y, *e) for e in ends) for a in points})
+
+
+LEASE = "event_id long, ts timestamp, job_id long, kind string"
+
+
+def follow_once(spark, folder, lease_ms):
+    """What is there now, then stop: the state stays in the checkpoint."""
+    stream = spark.readStream.schema(LEASE).parquet(f"{folder}/in")
+    q = jobs.follow(stream, lease_ms).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/c").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return {(r.job_id, r.state, r.attempt) for r in spark.read.schema(jobs.OUTPUT).parquet(f"{folder}/out").collect()}
 
 
 def test_lease_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     t = datetime(2026, 1, 1)
-    rows = [(1, t, 7, "queued"), (2, t + timedelta(seconds=1), 7, "claimed"), (3, t + timedelta(seconds=2), 7, "completed"), (4, t, 8, "queued"), (5, t + timedelta(seconds=5), 8, "cancel")]
-    spark.createDataFrame(rows, "event_id long, ts timestamp, job_id long, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("event_id long, ts timestamp, job_id long, kind string").parquet(str(tmp_path / "in"))
-    q = jobs.follow(stream).writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r.job_id, r.state) for r in spark.table("changes").collect()}
-    assert got == {(7, "queued"), (7, "running"), (7, "completed"), (8, "queued"), (8, "cancelled")}
+    rows = [(1, t, 7, "queued"), (2, t + timedelta(seconds=1), 7, "claimed"), (3, t + timedelta(seconds=2), 7, "completed"), (4, t, 8, "queued"), (5, t + timedelta(seconds=5), 8, "cancel"), (6, t, 9, "queued"), (7, t, 9, "claimed")]
+    spark.createDataFrame(rows, LEASE).coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = {(7, "queued", 0), (7, "running", 1), (7, "completed", 1), (8, "queued", 0), (8, "cancelled", 0), (9, "queued", 0), (9, "running", 1)}
+    assert follow_once(spark, tmp_path, 1500) == seen
+    time.sleep(2)  # job 9 gives no sign of life, so its lease runs out; then it is claimed again
+    spark.createDataFrame([(8, t, 10, "queued")], LEASE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen |= {(10, "queued", 0), (9, "queued", 1)}
+    assert follow_once(spark, tmp_path, 1500) == seen
+    spark.createDataFrame([(9, t + timedelta(seconds=60), 9, "claimed")], LEASE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert follow_once(spark, tmp_path, 60_000) == seen | {(9, "running", 2)}
