@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import steady
+
 TABLES = "region nation customer supplier part orders lineitem events".split()
 #: SQL of each role over the tables in braces.
 ROLES = {
@@ -11,6 +13,9 @@ ROLES = {
     "points": "SELECT CAST(c_custkey AS BIGINT) AS point_id, CAST((c_custkey * 7919) % 100000 AS BIGINT) AS x, CAST((c_custkey * 104729) % 100000 AS BIGINT) AS y, CAST(1 + c_custkey % 60 AS DECIMAL(18,3)) AS flow FROM {customer}",
     "tree": "SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor((p_partkey - 1) / 2) AS BIGINT) END AS up, CAST(10 + p_size AS DECIMAL(14,3)) AS length, CAST(p_size % 7 AS DECIMAL(18,3)) AS demand FROM {part}",
     "forest": "SELECT network * 1000 + CAST(floor((n - 1) / 7) AS BIGINT) AS network, (n - 1) % 7 + 1 AS node, length, flow FROM (SELECT CAST(l_orderkey AS BIGINT) AS network, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS n, CAST(1 + l_partkey % 160 AS DECIMAL(14,3)) AS length, CAST(1 + l_quantity % 9 AS DECIMAL(18,3)) AS flow FROM {lineitem}) numbered",
+    "areas": "SELECT CAST(s_suppkey AS BIGINT) AS obstacle, CASE s_suppkey % 5 WHEN 0 THEN 'park' WHEN 1 THEN 'oks' WHEN 2 THEN 'road' WHEN 3 THEN 'tram_tracks' ELSE 'water' END AS kind, CAST((s_suppkey * 15485863) % 100000 AS DOUBLE) AS mx, CAST((s_suppkey * 32452843) % 100000 AS DOUBLE) AS my, CAST(2000 + 100 * (s_suppkey % 10) AS DOUBLE) + CAST(0.5 AS DOUBLE) AS half FROM {supplier}",
+    "mains": "SELECT CAST(s_suppkey AS BIGINT) AS utility, CAST((s_suppkey * 15485863) % 100000 AS DOUBLE) AS cx, CAST((s_suppkey * 32452843) % 100000 AS DOUBLE) AS cy, CAST((s_suppkey * 15485863) % 100000 + (s_suppkey % 7 - 3) * 2100 + 500 AS DOUBLE) AS dx, CAST((s_suppkey * 32452843) % 100000 + (s_suppkey % 5 - 2) * 2300 + 300 AS DOUBLE) AS dy FROM {supplier}",
+    "bends": "SELECT route, seq, CAST(x + CASE WHEN seq >= 2 THEN (route % 41 - 20) * 400 ELSE 0 END - CASE WHEN seq = 3 THEN (route % 37 - 18) * 300 ELSE 0 END AS DOUBLE) AS x, CAST(y + CASE WHEN seq >= 2 THEN (route % 37 - 18) * 400 ELSE 0 END + CASE WHEN seq = 3 THEN (route % 41 - 20) * 300 ELSE 0 END AS DOUBLE) AS y FROM (SELECT CAST(c_custkey AS BIGINT) AS route, CAST((c_custkey * 7919) % 100000 AS BIGINT) AS x, CAST((c_custkey * 104729) % 100000 AS BIGINT) AS y, 1 AS seq FROM {customer} UNION ALL SELECT c_custkey, (c_custkey * 7919) % 100000, (c_custkey * 104729) % 100000, 2 FROM {customer} UNION ALL SELECT c_custkey, (c_custkey * 7919) % 100000, (c_custkey * 104729) % 100000, 3 FROM {customer}) corners",
     "links": "SELECT CAST(p_partkey AS BIGINT) AS node, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 97 = 0 THEN -1 WHEN p_partkey % 89 = 0 THEN CAST(p_partkey AS BIGINT) ELSE CAST(floor((p_partkey - 1) / 3) AS BIGINT) END AS up, CAST(p_size % 5 AS INT) AS valve FROM {part}",
     "vertices": "SELECT CAST(l_orderkey AS BIGINT) AS route, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS seq, CAST(l_partkey * 37 % 1000 AS BIGINT) AS x, CAST(l_suppkey * 53 % 1000 AS BIGINT) AS y FROM {lineitem}",
     "spans": "SELECT CAST(l_orderkey AS BIGINT) AS route, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS span, CAST(l_partkey % 900 AS BIGINT) AS s, CAST(l_partkey % 900 AS BIGINT) + CAST(l_quantity AS BIGINT) AS e, CASE l_returnflag WHEN 'R' THEN 'road' WHEN 'A' THEN 'gas_pipeline' ELSE 'heat_network' END AS type FROM {lineitem}",
@@ -22,6 +27,7 @@ ROLES = {
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    steady(spark)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in ROLES[name]}
     return spark.sql(ROLES[name], **used)
 
