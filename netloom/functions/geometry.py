@@ -128,6 +128,24 @@ def utm_forward(lon: Column, lat: Column, zone: int = 37) -> tuple[Column, Colum
     return 500_000 + SCALE * radius * east, SCALE * radius * north
 
 
+def utm_inverse(east: Column, north: Column, zone: int = 37) -> tuple[Column, Column]:
+    """Longitude and latitude of a projected place: the inverse Krueger series, then fixed-point steps from the conformal latitude."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    e = 2 * math.sqrt(n) / (1 + n)
+    eta, xi = (east - 500_000) / (SCALE * radius), north / (SCALE * radius)
+    x, y = xi, eta
+    for j, b in enumerate(beta, 1):
+        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        y = y - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    conformal = F.asin(F.sin(x) / F.cosh(y))
+    goal = F.log((1 + F.sin(conformal)) / (1 - F.sin(conformal))) / 2
+    step = lambda phi, _: F.atan(F.sinh(goal + e * F.log((1 + e * F.sin(phi)) / (1 - e * F.sin(phi))) / 2))
+    latitude = F.aggregate(F.sequence(F.lit(1), F.lit(6)), conformal, step)
+    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(latitude)
+
+
 def ring_contains(px: Column, py: Column, ring: Column) -> Column:
     """Even-odd test of a point against a closed ring, an array of structs (x, y)."""
     n = F.size(ring)

@@ -85,3 +85,66 @@ def demands(features: DataFrame) -> DataFrame:
 def run_parameters(least_depth: float, greatest_depth: float) -> None:
     if not 0.7 <= least_depth <= 3.0 <= greatest_depth <= 50.0:
         raise ValueError("depths must satisfy 0.7 <= least <= 3.0 <= greatest <= 50")
+
+
+def parameter_issues(runs: DataFrame) -> DataFrame:
+    """run_id, code of stored parameters (least_depth, greatest_depth) that no run may have; an unset pair is a default one."""
+    low, high = F.col("least_depth"), F.col("greatest_depth")
+    codes = F.array_compact(F.array(F.when(low.isNull() != high.isNull(), "PARAMETER_PAIR"), F.when((low < 0.7) | (low > 3.0), "LEAST_DEPTH"), F.when((high < 3.0) | (high > 50.0), "GREATEST_DEPTH")))
+    return runs.select("run_id", F.explode(codes).alias("code"))
+
+
+INTEGRAL = r"^(BIGINT|DECIMAL\([0-9]+,0\))$"
+NUMERIC = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*)$"
+
+
+def property_issues(features: DataFrame) -> DataFrame:
+    """feature_index, code: JSON types of the properties (text): an id is text or a whole number, a flow a positive number, a
+    diameter a whole number of the catalog; broken text is one finding."""
+    v = F.try_parse_json("properties")
+    typed = features.select("feature_index", v.alias("v"))
+    for name in ("id", "flow_tph", "diameter"):
+        typed = typed.withColumn(f"t_{name}", F.schema_of_variant(F.variant_get("v", f"$.{name}", "variant")))
+    text = F.try_variant_get("v", "$.id", "string")
+    number = F.try_variant_get("v", "$.flow_tph", "double")
+    whole = F.try_variant_get("v", "$.diameter", "int")
+    there = lambda c: F.col(c).isNotNull() & (F.col(c) != "VOID")
+    codes = F.array_compact(
+        F.array(
+            F.when(F.col("v").isNull(), "INVALID_PROPERTIES"),
+            F.when(F.col("v").isNotNull() & (~there("t_id") | blank(text)), "MISSING_FIELD"),
+            F.when(there("t_id") & ~blank(text) & (F.col("t_id") != "STRING") & ~F.col("t_id").rlike(INTEGRAL), "INVALID_ID"),
+            F.when(there("t_flow_tph") & ~(F.col("t_flow_tph").rlike(NUMERIC) & F.coalesce(number > 0, F.lit(False))), "INVALID_NUMBER"),
+            F.when(there("t_diameter") & ~(F.col("t_diameter").rlike(INTEGRAL) & F.coalesce(whole.isin(DIAMETERS), F.lit(False))), "INVALID_DIAMETER"),
+        )
+    )
+    return typed.select("feature_index", F.explode(codes).alias("code"))
+
+
+def geometry_issues(polygons: DataFrame, cell: float) -> DataFrame:
+    """feature_index, code of polygons given as a ring of (lon, lat): EMPTY_GEOMETRY below four places, INVALID_COORDINATE out of
+    range or not finite, OPEN_RING, SELF_INTERSECTION of sides that are not neighbours."""
+    from .topology import segment_crossings
+
+    ring = F.col("ring")
+    n = F.size(ring)
+    finite = lambda p: p["lon"].isNotNull() & p["lat"].isNotNull() & ~F.isnan(p["lon"]) & ~F.isnan(p["lat"]) & (F.abs(p["lon"]) <= 180) & (F.abs(p["lat"]) <= 90)
+    closed = F.element_at(ring, 1) == F.element_at(ring, -1)
+    codes = F.array_compact(F.array(F.when(F.coalesce(n, F.lit(0)) < 4, "EMPTY_GEOMETRY"), F.when(~F.forall(ring, finite), "INVALID_COORDINATE"), F.when((n >= 4) & ~closed, "OPEN_RING")))
+    plain = polygons.select("feature_index", F.explode(codes).alias("code"))
+    sides = polygons.where((n >= 4) & F.forall(ring, finite)).select("feature_index", "ring", n.alias("n"), F.explode(F.sequence(F.lit(1), n - 1)).alias("id"))
+    at = lambda i, c: F.element_at("ring", i)[c]
+    segments = sides.select("feature_index", "id", "n", at(F.col("id"), "lon").alias("ax"), at(F.col("id"), "lat").alias("ay"), at(F.col("id") + 1, "lon").alias("bx"), at(F.col("id") + 1, "lat").alias("by"))
+    met = segment_crossings(segments.drop("n"), cell, group=["feature_index"]).join(segments.select("feature_index", "n").distinct(), "feature_index")
+    apart = (F.col("o_id") - F.col("id") > 1) & ~((F.col("id") == 1) & (F.col("o_id") == F.col("n") - 1))
+    return plain.unionByName(met.where(apart).select("feature_index", F.lit("SELF_INTERSECTION").alias("code")).distinct())
+
+
+def first_of_each(issues: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Issues without repetitions: of equal ``keys`` the one that comes first."""
+    return issues.groupBy(*keys).agg(F.min(order).alias(order))
+
+
+def lost_members(old: DataFrame, new: DataFrame, group: str, member: str) -> DataFrame:
+    """Members that a new set of each group no longer has: an extension is additive if there are none."""
+    return old.select(group, member).distinct().join(new.select(group, member).distinct(), [group, member], "left_anti")

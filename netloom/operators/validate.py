@@ -11,6 +11,7 @@ from .topology import segment_crossings
 
 MAX_CHAMBER_EDGES = 4
 LEAST_SECTION_M = 10.0
+#: Fields of the output contract.
 OUTPUT_FIELDS = {
     "heat_network": ["id", "object_type", "variant_id", "start_node_id", "end_node_id", "flow_tph", "diameter", "length", "laying_method", "cost"],
     "heat_chamber": ["id", "object_type", "variant_id", "diameter", "cost"],
@@ -69,6 +70,11 @@ def short_sections(edges: DataFrame, chambers: DataFrame, least: float = LEAST_S
     return edges.join(up, "up_node", "left_semi").join(down, "down_node", "left_semi").where(F.col("length") < least)
 
 
+def multiple_upstream(edges: DataFrame) -> DataFrame:
+    """variant, node: nodes that more than one upstream node feeds."""
+    return edges.groupBy("variant", F.col("down_node").alias("node")).agg(F.countDistinct("up_node").alias("n")).where("n > 1").select("variant", "node")
+
+
 def crossing_angle_issues(crossings: DataFrame) -> DataFrame:
     """Crossings (id, ux, uy, vx, vy, least) below their type's least angle, with the angle in thousandths of a degree."""
     angle = acute_angle(*map(F.col, ("ux", "uy", "vx", "vy")))
@@ -125,9 +131,3 @@ def reconcile(parts: DataFrame, summaries: DataFrame) -> DataFrame:
     """Variants whose parts (variant_id, cost) do not add up to the stored construction cost to the kopeck."""
     sums = parts.groupBy("variant_id").agg(F.sum("cost").alias("total"))
     return summaries.join(sums, "variant_id", "left").where(F.coalesce("total", F.lit(0)) != F.col("construction_cost")).select("variant_id")
-
-
-def straightness(a: DataFrame) -> DataFrame:
-    """Bearing change of consecutive segments (route, seq, dx, dy), in degrees."""
-    w = Window.partitionBy("route").orderBy("seq")
-    return a.withColumn("turn", angle_between(F.lag("dx").over(w), F.lag("dy").over(w), F.col("dx"), F.col("dy")))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import engineering, network, obstacles
+from .plans import details, engineering, network, obstacles
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | engineering.QUERIES | obstacles.QUERIES
-ORACLES: dict[str, str] = network.ORACLES | engineering.ORACLES | obstacles.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | engineering.QUERIES | obstacles.QUERIES | details.QUERIES
+ORACLES: dict[str, str] = network.ORACLES | engineering.ORACLES | obstacles.ORACLES | details.ORACLES
 FLAGSHIP = "network_slice"
