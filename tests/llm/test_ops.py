@@ -74,6 +74,27 @@ def test_vector_limits(rule):
         assert own.sum() <= 100 and len(own) <= 3 and (own.astype(float) ** 2).sum() <= 5000
 
 
+@pytest.mark.parametrize(("limits", "most"), [({"max_docs": 2}, 2), ({"max_attention": 900}, 2), ({"max_attention": 400}, 1), ({}, 3)])
+def test_limits_bind(spark, limits, most):
+    """Twelve documents of 21 tokens for sequences of 64: three fit by tokens, fewer by pieces or by attention; a piece alone always does."""
+    df = spark.range(12).selectExpr("id doc_id", "repeat('the ', 20) text")
+    bins = Counter(r.sequence_id for r in packing.pack_documents(df, WORD, capacity=64, **limits).collect())
+    assert set(bins.values()) == {most} and len(bins) == 12 // most
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(None, "a b c"), (5, "x y"), (5, "one two three"), (None, None), (3, ""), (5, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = sorted(token_files.round_trip(df, WORD).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == [None, None, 3, 5, 5, 5]
+    assert [r.start for r in ordered] == [sum(r.n_tokens for r in ordered[:i]) for i in range(6)]
+    packed = packing.pack_documents(df, WORD).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in packed) == sorted((r.doc_id or 0, r.n_tokens) for r in ordered)
+    assert len({(r.sequence_id, r.offset) for r in packed}) == 6
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(df).collect()) == [(0, 0), (0, 3), (3, 3), (5, 5), (5, 5), (5, 5)]
+    assert sorted((r.doc_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect()) == [(0, 1, True), (0, 2, False), (3, 2, True), (5, 1, True), (5, 2, True), (5, 2, True)]
+
+
 def test_token_files(docs, nothing):
     lib = Tokenizer.from_file(WORD)
     got, start = by_id(token_files.round_trip(docs, WORD)), 0

@@ -38,3 +38,18 @@ def test_long_run_groups(long_run):
     c = language_model.centres(texts)
     assert np.isfinite(c).all() and len(c) == language_model.GROUPS
     assert all(np.isfinite(r.score) for r in language_model.score_texts(long_run).collect())
+
+
+def test_model_against_its_base(spark):
+    """On held-out texts the model gives each token more than the relative frequencies do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    r = language_model.score_texts(docs).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert r.n > 1000 and r.s / r.n > r.b / r.n + 0.3
+
+
+def test_class_probabilities_add_up():
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(language_model.TABLE, language_model.CLASSES)).astype(np.float32)
+    contexts = language_model.contexts(rng.integers(0, language_model.CLASSES, 500).astype(np.uint8), np.array([200, 300]))
+    p = np.exp(language_model.log_softmax(weights, language_model.feature_rows(contexts)).astype(np.float64))
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
