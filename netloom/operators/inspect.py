@@ -75,8 +75,8 @@ def profile(features: DataFrame) -> DataFrame:
 
 
 def demands(features: DataFrame) -> DataFrame:
-    """Flow of every connection point: its own, else its building's; ``missing`` where neither has one."""
-    buildings = features.where("object_type = 'oks_future'").groupBy(F.col("feature_id").alias("reference")).agg(F.min_by("flow", "feature_index").alias("building_flow"))
+    """Flow of every connection point: its own, else the first that its building gives; ``missing`` where neither has one."""
+    buildings = features.where("object_type = 'oks_future'").groupBy(F.col("feature_id").alias("reference")).agg(F.min_by("flow", F.when(F.col("flow").isNotNull(), F.col("feature_index"))).alias("building_flow"))
     points = features.where("object_type = 'oks_connection_point'").join(buildings, "reference", "left")
     flow = F.coalesce("flow", "building_flow")
     return points.select("feature_index", "feature_id", flow.alias("flow"), flow.isNull().alias("missing"))

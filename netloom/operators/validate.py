@@ -103,12 +103,12 @@ def quality(vertices: DataFrame) -> DataFrame:
 
 
 def junction_angles(rays: DataFrame) -> DataFrame:
-    """Least angle between any two rays of each node, in thousandths of a degree: sort by bearing, then neighbours."""
+    """Least angle between any two rays of each node, in degrees: sort by bearing, then neighbours."""
     bearing = F.degrees(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")))
     w = Window.partitionBy("node").orderBy("bearing", "ray")
     turned = rays.withColumn("bearing", bearing).withColumns({"next": F.lead("bearing").over(w), "first": F.first("bearing").over(w), "n": F.count("*").over(Window.partitionBy("node"))}).where("n > 1")
     gap = F.coalesce(F.col("next") - F.col("bearing"), F.col("first") + 360 - F.col("bearing"))
-    return turned.groupBy("node").agg(F.min(F.floor(F.least(gap, 360 - gap) * 1000 + 0.5)).cast("long").alias("least_milli"))
+    return turned.groupBy("node").agg(F.min(F.least(gap, 360 - gap)).alias("least"))
 
 
 def contract_issues(features: DataFrame) -> DataFrame:

@@ -48,14 +48,15 @@ def turn_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    role_sql("vertices")
+    role_sql("vertices").replace("vertices AS (", "wide AS (", 1)
+    + ", vertices AS (SELECT route, seq, CAST(x AS DOUBLE) / 250 AS x, CAST(y AS DOUBLE) / 250 AS y FROM wide)"
     + SEG
     + """, st AS (SELECT *, sum(length) OVER (PARTITION BY route ORDER BY seq ROWS UNBOUNDED PRECEDING) - length AS station FROM ang),
 g AS (SELECT route, seq, station - lag(station) OVER (PARTITION BY route ORDER BY seq) AS gap FROM st WHERE turn > 0.5) SELECT route, seq, 'BEND_SPACING' AS code FROM g WHERE gap < CASE WHEN route % 4 = 0 THEN 2 WHEN route % 4 = 1 THEN 3 WHEN route % 4 = 2 THEN 4 ELSE 6 END * 1 - 1e-7"""
 )
 def bend_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bends closer than the diameter allows."""
-    v = role(spark, sf_dir, "vertices")
+    """Bends closer than the diameter allows, on routes of a few metres."""
+    v = role(spark, sf_dir, "vertices").withColumns({c: F.col(c).cast("double") / 250 for c in ("x", "y")})
     k = F.col("route") % 4
     d = v.select("route").distinct().withColumn("diameter", F.when(k == 0, 50).when(k == 1, 200).when(k == 2, 400).otherwise(1000))
     return validate.bend_spacing_issues(v, d)
@@ -88,10 +89,7 @@ def chamber_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(role_sql("vertices") + RAYS + ", p AS (SELECT a.node, degrees(atan2(CAST(abs(a.dx*b.dy-a.dy*b.dx) AS DOUBLE), CAST(a.dx*b.dx+a.dy*b.dy AS DOUBLE))) AS g FROM rays a JOIN rays b ON a.node = b.node AND a.ray < b.ray) SELECT node, CAST(floor(min(g) * 100 + 0.5) AS BIGINT) AS least_centi FROM p GROUP BY node")
 def junction_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: the least angle between rays of each junction."""
-    return validate.junction_angles(_rays(spark, sf_dir)).select("node", F.floor((F.col("least_milli") + 5) / 10).cast("long").alias("least_centi"))
-
-
-ORACLES["junction_angles"] = ORACLES["junction_angles"].replace("CAST(floor(min(g) * 100 + 0.5) AS BIGINT)", "CAST(floor((floor(min(g) * 1000 + 0.5) + 5) / 10) AS BIGINT)")
+    return validate.junction_angles(_rays(spark, sf_dir)).select("node", geometry.half_up(F.col("least"), 2).alias("least_centi"))
 
 
 @query(
@@ -157,7 +155,7 @@ t AS (SELECT p.point_id, s.*, p.x, p.y, coalesce(greatest(0.0, least(1.0, CAST((
 SELECT point_id, CAST(floor(min(sqrt((ax + t*(ex-ax) - x)*(ax + t*(ex-ax) - x) + (ay + t*(ey-ay) - y)*(ay + t*(ey-ay) - y))) * 100 + 0.5) AS BIGINT) AS cm FROM t GROUP BY point_id"""
 )
 def distance_to_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every point to the network. The network side is broadcast behind a size check."""
+    """distance of every point to the network, searched in grid cells."""
     c = role(spark, sf_dir, "chambers")
     seg = c.join(c.select((F.col("chamber_id") - 1).alias("chamber_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "chamber_id").select(F.col("x").alias("ax"), F.col("y").alias("ay"), "bx", "by")
     return topology.distance_to_segments(role(spark, sf_dir, "points"), seg).select("point_id", geometry.half_up(F.col("distance"), 2).alias("cm"))

@@ -166,13 +166,13 @@ def counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     role_sql("features")
-    + """, b AS (SELECT feature_id, arg_min(flow, feature_index) AS f FROM features WHERE object_type = 'oks_future' AND flow IS NOT NULL GROUP BY feature_id)
+    + """, b AS (SELECT feature_id, arg_min(flow, feature_index) FILTER (WHERE flow IS NOT NULL) AS f FROM features WHERE object_type = 'oks_future' GROUP BY feature_id)
 SELECT p.feature_index, p.feature_id, CAST(coalesce(p.flow, b.f, -999) AS BIGINT) AS flow, coalesce(p.flow, b.f) IS NULL AS missing FROM features p LEFT JOIN b ON b.feature_id = p.reference WHERE p.object_type = 'oks_connection_point'"""
 )
 def demand_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own flow, else the building's."""
     found = role(spark, sf_dir, "features")
-    demands = inspection.demands(found.where("object_type <> 'oks_future' OR flow IS NOT NULL"))
+    demands = inspection.demands(found)
     return longs(demands.fillna({"flow": -999}), "flow")
 
 
