@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import chamber_cost
-from .economics import price_edges, variant_economics
+from .economics import crossing_multiplier, price_edges, variant_economics
 from .topology import CHAMBER_CAPACITY
 
 
@@ -68,3 +68,28 @@ def comparison(edges: DataFrame, pipes: DataFrame) -> DataFrame:
     lines = priced.groupBy("variant").agg(F.count("*").alias("edges"), F.sum("length").alias("length"), F.max("length").alias("longest"), F.sum("cost").alias("pipes"))
     nodes = node_degrees(priced).groupBy("variant").agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") >= 3).alias("chambers"))
     return lines.join(nodes, "variant")
+
+
+def recheck(stored: DataFrame, pipes: DataFrame) -> DataFrame:
+    """variant, edge, code of stored edges (columns of edges, and stored_diameter, stored_cost) that no longer hold: DIAMETER_TOO_SMALL
+    for the flow, LENGTH_EXCEEDED by one edge alone, COST_MISMATCH to the kopeck for the stored pipe."""
+    catalog = F.broadcast(pipes.select(F.col("diameter").alias("stored_diameter"), "max_flow", "max_length", "rate"))  # the fixed catalog
+    row = stored.join(catalog, "stored_diameter", "left").withColumn("due", F.round(F.col("rate") * F.col("length") * crossing_multiplier(F.col("crossing")), 2))
+    codes = F.array_compact(F.array(F.when(F.coalesce(F.col("flow") > F.col("max_flow"), F.lit(True)), "DIAMETER_TOO_SMALL"), F.when(F.col("length") > F.col("max_length"), "LENGTH_EXCEEDED"), F.when(F.col("due") != F.col("stored_cost"), "COST_MISMATCH")))
+    return row.select("variant", "edge", F.explode(codes).alias("code"))
+
+
+def graph_integrity(edges: DataFrame) -> DataFrame:
+    """network, nodes, edges, roots, leaves, branches, tree: shape of networks (network, up, down). A network is a tree if it has one
+    root, every other node one upstream edge, and no cycle, which pointers from node to node tell at any depth."""
+    from .trees import chase
+
+    key = lambda c: F.struct("network", F.col(c).alias("node"))
+    ends = edges.select("network", F.col("up").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select("network", F.col("down").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    degree = ends.groupBy("network", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    shape = degree.groupBy("network").agg(F.count("*").alias("nodes"), F.sum("i").alias("edges"), F.count_if(F.col("i") == 0).alias("roots"), F.count_if(F.col("o") == 0).alias("leaves"), F.count_if(F.col("i") + F.col("o") >= 3).alias("branches"), F.max("i").alias("most"))
+    up = edges.groupBy("network", "down").agg(F.min("up").alias("up")).select(key("down").alias("node"), key("up").alias("up"))
+    reached = chase(up).select("node.network").groupBy("network").agg(F.count("*").alias("reached"))
+    found = shape.join(reached, "network", "left")
+    tree = (F.col("roots") == 1) & (F.col("most") <= 1) & (F.coalesce("reached", F.lit(0)) == F.col("nodes") - 1)
+    return found.select("network", "nodes", "edges", "roots", "leaves", "branches", tree.alias("tree"))

@@ -327,16 +327,6 @@ def discrete_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solve.discrete_choice(o, conflicts).where("cost IS NOT NULL").select("problem", "cost")
 
 
-@query()
-def network_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C-8: cheapest arborescence of many small problems (checked by exhaustive search in the tests)."""
-    e = role(spark, sf_dir, "variant_edges").where("up_node <> down_node")
-    arcs = e.select(F.col("variant").alias("problem"), F.col("edge").cast("string").alias("arc"), F.col("up_node").cast("string").alias("up"), F.col("down_node").cast("string").alias("down"), F.lit(1000).alias("capacity"), F.col("length").cast("long").alias("cost"))
-    first = e.groupBy(F.col("variant").alias("problem")).agg(F.min_by("up_node", "edge").cast("string").alias("node"))
-    last = e.groupBy(F.col("variant").alias("problem")).agg(F.max_by("down_node", "edge").cast("string").alias("node")).withColumn("units", F.lit(1))
-    return solve.solve_networks(arcs, last, first)
-
-
 @query()
 def root_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demands matched to roots with limited places, one row per problem with the number of placed demands."""

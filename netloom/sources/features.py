@@ -121,6 +121,17 @@ def multiply(features: DataFrame, copies: int, step: float) -> DataFrame:
     return spread.withColumns(moved | {"feature_id": F.concat_ws(":", F.col("copy").cast("string"), "feature_id")}).drop("copy")
 
 
+def curate(features: DataFrame, properties: str = "properties") -> DataFrame:
+    """Reference features as they are kept: a map of properties without colours and without empty values; the origin stays."""
+    empty = lambda v: F.coalesce(F.regexp_replace(v, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "") == "", F.lit(True))
+    return features.withColumn(properties, F.map_filter(properties, lambda k, v: ~F.lower(k).contains("color") & ~empty(v)))
+
+
+def in_memory(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A feature table from rows that a caller holds, with the columns of a stored one: every scan above reads it as well."""
+    return spark.createDataFrame(rows, schema)
+
+
 def to_geojson(rows: DataFrame, geometry: str = "geometry", properties: str = "properties") -> DataFrame:
     """One GeoJSON feature text per row."""
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.col(geometry).alias("geometry"), F.col(properties).alias("properties"))).alias("value"))
