@@ -295,16 +295,31 @@ def near_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float
     return arrow_map(both, [F.col("own"), F.col("first"), F.col("a"), F.col("b")], pairs.select("a", "b").schema, kernel)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The near ones of ``pairs`` (a, b) of ids. Only the texts of the pairs are moved."""
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
-    compared = durable(texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "compared")
-    return durable(near_pairs(pairs, compared, words, similarity), "near")
-
-
-def greedy(alive: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """id: the rows of ``alive`` (key, id, n) that go if a row stays unless one that stays, with a smaller id, is near it.
+class Comparison:
+    """Which pairs of ids are near. Every pair is compared once; only the texts of new pairs are moved."""
+
+    def __init__(self, texts: DataFrame, words: int, similarity: float):
+        self.texts, self.words, self.similarity = texts, words, similarity
+        self.tested: list[DataFrame] = []
+        self.near: list[DataFrame] = []
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The near ones of ``pairs`` (a, b)."""
+        known = None
+        if self.tested:
+            known = union(self.near).join(pairs.hint("merge"), ["a", "b"], "left_semi")
+            pairs = durable(pairs.join(union(self.tested).hint("merge"), ["a", "b"], "left_anti"), "fresh")
+        wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
+        compared = durable(self.texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "compared")
+        near = durable(near_pairs(pairs, compared, self.words, self.similarity), "near")
+        self.tested.append(pairs)
+        self.near.append(near)
+        return near if known is None else durable(near.unionByName(known), "near")
+
+
+def greedy(alive: DataFrame, compare: Comparison, similarity: float) -> DataFrame:
+    """id, by: the rows of ``alive`` (key, id, n) that go if a row stays unless one that stays, ``by``, with a smaller id, is near it.
 
     Rows meet in keys; sizes n and m below the similarity of each other cannot be near. A round compares the smallest ids
     of each key with its later ones, so a key of n rows costs a multiple of n. A row that was a pivot of all its keys has
@@ -318,21 +333,21 @@ def greedy(alive: DataFrame, texts: DataFrame, words: int, similarity: float) ->
         ranked = durable(spread_join(alive, pivots, ["key"], F.col("id"), RUNS), "ranked")
         one = ranked.select("id", "n", F.explode("pivots").alias("p")).select(F.col("p.a").alias("a"), F.col("id").alias("b"), F.col("p.m").alias("m"), "n").where("a < b")
         pairs = durable(one.where(fits).select("a", "b").distinct(), "pairs")
-        near = compare(pairs, texts, words, similarity)
+        near = compare(pairs)
         state = durable(ranked.groupBy("id").agg(F.bool_or(F.col("id") > F.col("bar")).alias("late")), "undecided")
         waiting, open_ids = state.where("late").select("id"), state.select("id")
         while True:
             stay = durable(open_ids.join(near.select(F.col("b").alias("id")).unionByName(waiting), "id", "left_anti"), "stay")
             if stay.isEmpty():
                 break
-            go = durable(near.join(stay, near["a"] == stay["id"], "left_semi").select(F.col("b").alias("id")).distinct(), "go")
+            go = durable(near.join(stay, near["a"] == stay["id"], "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("by")), "go")
             gone.append(go)
-            decided = stay.unionByName(go)
+            decided = stay.unionByName(go.select("id"))
             open_ids = durable(open_ids.join(decided, "id", "left_anti"), "undecided")
             near = durable(near.join(decided, near["a"] == decided["id"], "left_anti").join(decided, near["b"] == decided["id"], "left_anti"), "near")
         alive = durable(ranked.join(open_ids, "id", "left_semi").select("key", "id", "n"), "alive")
         n_pivots *= GROWTH
-    return durable(union(gone), "gone") if gone else alive.select("id")
+    return durable(union(gone), "gone") if gone else alive.select("id", F.col("id").alias("by"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -350,21 +365,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     First, SimHash: rows of a component of ``radius`` that are near its smallest id go with that row's word, which takes
     the many copies of large groups out of what follows. But most pairs of this similarity lie further apart than any
     radius that can be searched, so the rows left also meet in ``bands``, where hardly a near pair in ten million has no
-    key in common, are compared exactly, and are decided in the order of ids. Where a row that others went for has gone itself, those come back and the
-    decisions are made again; if none has, they are those of the order of ids over all rows."""
+    key in common, are compared exactly, and are decided in the order of ids. Where a row that others went for has gone
+    itself, those go on with the row that it went for, or come back, and the decisions are made again; if none has, they are
+    those of the order of ids over all rows."""
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
     found = near_duplicates(texts, "id", "text", words=words, radius=radius)
     linked = durable(found.where("component_id < id").select(F.col("component_id").alias("a"), F.col("id").alias("b")).distinct(), "linked")
-    copies = compare(linked, texts, words, similarity)
+    compare = Comparison(texts, words, similarity)
+    copies = compare(linked)
 
     met = durable(bands(texts, words), "bands")
     shared_keys = durable(met.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key"), "keys")
     every = durable(met.join(shared_keys.hint("merge"), "key", "left_semi"), "alive")
     while True:
-        gone = greedy(every.join(copies.select(F.col("b").alias("id")), "id", "left_anti"), texts, words, similarity)
-        held = durable(copies.join(gone, copies["a"] == gone["id"], "left_anti"), "copies")
-        if held.count() == copies.count():
+        gone = greedy(every.join(copies.select(F.col("b").alias("id")), "id", "left_anti"), compare, similarity)
+        lost = durable(copies.join(gone.withColumnRenamed("id", "a"), "a"), "lost")
+        if lost.isEmpty():
             break
-        copies = held
-    gone = durable(gone.unionByName(copies.select(F.col("b").alias("id"))).distinct().withColumnRenamed("id", "__gone"), "gone")
+        # what went for such a row is mostly near the row that this one has gone for
+        moved = compare(durable(lost.select(F.col("by").alias("a"), "b").distinct(), "pairs"))
+        copies = durable(copies.join(lost.select("a", "b"), ["a", "b"], "left_anti").unionByName(moved), "copies")
+    gone = durable(gone.select("id").unionByName(copies.select(F.col("b").alias("id"))).distinct().withColumnRenamed("id", "__gone"), "gone")
     return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
