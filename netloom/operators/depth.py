@@ -59,8 +59,10 @@ def settle(domains: list[Domain], links: list[tuple[int, int, int]], start: list
         near[i].append((j, gap))
         near[j].append((i, gap))
     values, waiting = list(start), deque(range(len(domains)))
+    queued = [True] * len(domains)
     while waiting:
         i = waiting.popleft()
+        queued[i] = False
         for j, gap in near[i]:
             limit = values[i] - gap if upwards else values[i] + gap
             if (values[j] >= limit) if upwards else (values[j] <= limit):
@@ -69,7 +71,8 @@ def settle(domains: list[Domain], links: list[tuple[int, int, int]], start: list
             if moved is None:
                 return None
             values[j] = moved
-            if j not in waiting:
+            if not queued[j]:
+                queued[j] = True
                 waiting.append(j)
     return values
 

@@ -225,12 +225,19 @@ def crossing_plateaus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth.crossing_plateaus(s)
 
 
-@query()
+@query(
+    role_sql("vertices")
+    + """, p AS (SELECT route, seq, 700 + x * 3 AS lo, 2000 + y * 4 + x * 3 AS hi FROM vertices), v AS (SELECT a.route, a.seq, any_value(a.hi) AS hi, max(b.lo - 1500 * abs(a.seq - b.seq)) AS least FROM p a JOIN p b ON a.route = b.route GROUP BY a.route, a.seq),
+w AS (SELECT *, least(hi, greatest(least, 3000)) AS cap, bool_and(least <= hi) OVER (PARTITION BY route) AS fits FROM v), u AS (SELECT a.route, a.seq, any_value(a.least) AS least, any_value(a.fits) AS fits, min(b.cap + 1500 * abs(a.seq - b.seq)) AS deepest FROM w a JOIN w b ON a.route = b.route GROUP BY a.route, a.seq)
+SELECT route, CAST(seq * 15000 AS BIGINT) AS station_mm, CAST(CASE WHEN fits THEN least ELSE -1 END AS BIGINT) AS least_mm, CAST(CASE WHEN fits THEN deepest ELSE -1 END AS BIGINT) AS depth_mm FROM u"""
+)
 def depth_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least and preferred depth profiles under the slope limit (checked by brute force in the tests)."""
+    """Least and preferred depth profiles under the slope limit. With one interval a point both have a closed form,
+    which the SQL states; several intervals are searched exhaustively in the tests."""
     v = role(spark, sf_dir, "vertices")
     lo, hi = (700 + F.col("x") * 3).cast("long"), (2000 + F.col("y") * 4 + F.col("x") * 3).cast("long")
-    return depth.close_profiles(v.select("route", (F.col("seq") * 15_000).cast("long").alias("station_mm"), F.array(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("domain")))
+    found = depth.close_profiles(v.select("route", (F.col("seq") * 15_000).cast("long").alias("station_mm"), F.array(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("domain")))
+    return found.fillna({"least_mm": -1, "depth_mm": -1})
 
 
 @query(
