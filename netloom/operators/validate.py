@@ -30,10 +30,11 @@ def turn_issues(vertices: DataFrame, least_turn: float = 60.0) -> DataFrame:
 
 
 def bend_spacing_issues(vertices: DataFrame, diameters: DataFrame) -> DataFrame:
-    """Neighbouring bends closer than the diameter's least distance: running stations, then a lag over the bends only."""
+    """Neighbouring bends closer than the diameter's least distance: running stations, then a lag over the bends only. A
+    repeated vertex is no bend."""
     segments = vertices_to_segments(vertices, "route", "seq")
     w = Window.partitionBy("route").orderBy("seq")
-    stationed = segments.withColumn("station", F.sum("length").over(w) - F.col("length")).where("turn > 0.5")
+    stationed = segments.withColumns({"station": F.sum("length").over(w) - F.col("length"), "before": F.lag("length").over(w)}).where("turn > 0.5 AND length > 0 AND before > 0")
     spaced = stationed.withColumn("gap", F.col("station") - F.lag("station").over(w)).join(diameters, "route")
     return spaced.where(F.col("gap") < bend_distance(F.col("diameter")) - 1e-7).select("route", "seq", F.lit("BEND_SPACING").alias("code"))
 

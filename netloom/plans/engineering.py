@@ -52,7 +52,7 @@ def turn_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", vertices AS (SELECT route, seq, CAST(x AS DOUBLE) / 250 AS x, CAST(y AS DOUBLE) / 250 AS y FROM wide)"
     + SEG
     + """, st AS (SELECT *, sum(length) OVER (PARTITION BY route ORDER BY seq ROWS UNBOUNDED PRECEDING) - length AS station FROM ang),
-g AS (SELECT route, seq, station - lag(station) OVER (PARTITION BY route ORDER BY seq) AS gap FROM st WHERE turn > 0.5) SELECT route, seq, 'BEND_SPACING' AS code FROM g WHERE gap < CASE WHEN route % 4 = 0 THEN 2 WHEN route % 4 = 1 THEN 3 WHEN route % 4 = 2 THEN 4 ELSE 6 END * 1 - 1e-7"""
+g AS (SELECT route, seq, station - lag(station) OVER (PARTITION BY route ORDER BY seq) AS gap FROM st WHERE turn > 0.5 AND length > 0 AND before > 0) SELECT route, seq, 'BEND_SPACING' AS code FROM g WHERE gap < CASE WHEN route % 4 = 0 THEN 2 WHEN route % 4 = 1 THEN 3 WHEN route % 4 = 2 THEN 4 ELSE 6 END * 1 - 1e-7"""
 )
 def bend_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bends closer than the diameter allows, on routes of a few metres."""
