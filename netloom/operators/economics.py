@@ -51,22 +51,19 @@ def rebuild_cost(edges: DataFrame, pipes: DataFrame) -> DataFrame:
     return needed.join(rates, "needed").withColumn("cost", F.round(F.col("rebuild_rate") * F.col("length"), 2).cast(MONEY))
 
 
-def chamber_costs(edges: DataFrame) -> DataFrame:
-    """variant, cost of the chambers at nodes where three or more edges meet, by the largest diameter there."""
-    ends = edges.select("variant", F.explode(F.array("up_node", "down_node")).alias("node"), "diameter")
-    nodes = ends.groupBy("variant", "node").agg(F.max("diameter").alias("diameter"), F.count("*").alias("degree")).where("degree >= 3")
-    return nodes.groupBy("variant").agg(F.sum(chamber_cost(F.col("diameter"))).cast(MONEY).alias("chambers"))
-
-
 def variant_economics(edges: DataFrame, unconnected: DataFrame, pipes: DataFrame, roots: Column) -> DataFrame:
     """One row per variant: pipes, chambers, tie-ins (edges that leave an existing chamber, ``roots``), penalty, cost, length, score.
-    Edges are exchanged once by variant; the other sums reuse that partitioning."""
-    priced = price_edges(edges, pipes)
-    sums = priced.groupBy("variant").agg(F.sum("cost").cast(MONEY).alias("pipes"), F.sum("length").cast(LENGTH).alias("length"), F.count_if(roots).alias("tie_ins"))
-    penalty = unconnected.groupBy("variant").agg(F.sum(F.when(F.col("unconnected") > 0, unconnected_penalty(F.col("unconnected_flow"))).otherwise(0)).cast(MONEY).alias("penalty"))
+    Edges are exchanged once, by variant: each counts with its first end, nodes are added up first, then variants."""
+    priced = price_edges(edges, pipes).withColumn("tie", roots).repartition("variant")
+    end = lambda c, first: F.struct(F.col(c).alias("node"), F.lit(first).alias("first"))
+    ends = priced.select("variant", F.explode(F.array(end("up_node", True), end("down_node", False))).alias("e"), "diameter", "cost", "length", "tie")
+    own = F.col("e.first")
+    nodes = ends.groupBy("variant", F.col("e.node").alias("node")).agg(F.max("diameter").alias("diameter"), F.count("*").alias("degree"), F.sum(F.when(own, F.col("cost"))).alias("pipes"), F.sum(F.when(own, F.col("length"))).alias("length"), F.count_if(own & F.col("tie")).alias("tie_ins"))
     zero = F.lit(0).cast(MONEY)
-    out = sums.join(chamber_costs(priced), "variant", "left").join(penalty, "variant", "left")
-    out = out.withColumns({"chambers": F.coalesce("chambers", zero), "penalty": F.coalesce("penalty", zero)})
+    chambers = F.coalesce(F.sum(F.when(F.col("degree") >= 3, chamber_cost(F.col("diameter")))).cast(MONEY), zero)
+    sums = nodes.groupBy("variant").agg(F.sum("pipes").cast(MONEY).alias("pipes"), F.sum("length").cast(LENGTH).alias("length"), F.sum("tie_ins").alias("tie_ins"), chambers.alias("chambers"))
+    penalty = unconnected.groupBy("variant").agg(F.sum(F.when(F.col("unconnected") > 0, unconnected_penalty(F.col("unconnected_flow"))).otherwise(0)).cast(MONEY).alias("penalty"))
+    out = sums.join(penalty, "variant", "left").withColumn("penalty", F.coalesce("penalty", zero))
     out = out.withColumn("construction", (F.col("pipes") + F.col("chambers") + F.col("tie_ins") * F.lit(TIE_IN_COST)).cast(MONEY))
     out = out.withColumn("cost", (F.col("construction") + F.col("penalty")).cast(MONEY))
     return out.withColumn("score", score(F.col("cost"), F.col("length")))

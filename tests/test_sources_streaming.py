@@ -44,6 +44,17 @@ def test_utm_equator_scale(spark):
     assert abs(r.x - 500_000) < 1e-6 and abs(r.y) < 1e-6
 
 
+def test_source_in_memory(spark):
+    """Scans read rows that a caller holds as they read stored ones; an empty one has the same columns."""
+    schema = "feature_id string, object_type string, minx double, maxx double, miny double, maxy double"
+    rows = [{"feature_id": f"f{i}", "object_type": ("source", "restriction")[i % 2], "minx": i * 10.0, "maxx": i * 10.0 + 5, "miny": 0.0, "maxy": 5.0} for i in range(6)]
+    held = features.in_memory(spark, rows, schema)
+    assert [r.feature_id for r in features.typed(held).orderBy("feature_id").collect()] == ["f0", "f2", "f4"]
+    assert {r.feature_id for r in features.in_window(held, 12, 0, 33, 1).collect()} == {"f1", "f2", "f3"}
+    assert [r.feature_id for r in features.page(held, "f3", 2).collect()] == ["f4", "f5"]
+    assert features.in_memory(spark, [], schema).columns == held.columns
+
+
 def test_export_checks_first(spark, tmp_path):
     rows = spark.createDataFrame([("g", "p")], "geometry string, properties string")
     with pytest.raises(ValueError, match="contract"):
