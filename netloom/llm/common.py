@@ -155,6 +155,14 @@ def arrow_map(
     return chosen.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, with underscores before it until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def sampled(rows: DataFrame, share: float | Column, purpose: str, *key: str) -> DataFrame:
     """About this share of ``rows``, chosen by a hash of their key; the share may be as small as the table is large."""
     place = F.xxhash64(F.lit(purpose), *key).cast("double") / F.lit(2.0**64) + F.lit(0.5)

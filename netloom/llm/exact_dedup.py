@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable
+from .common import ascii_lower, durable, free_name
 
 KEY = ["digest", "check", "n_bytes"]
 #: Rows of one text that a task may get at the leaves before another level is added.
@@ -78,11 +78,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that survive, with all their columns. The join is a merge at every size, so what moves grows
-    with the input and with nothing else."""
-    found = exact_dedup(docs, id_col, text_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each text of ``docs``, with all its columns. A row is decided by its text and its place, so no text is
+    lost where ids are null or repeated: rows of one text that share the surviving id leave one row.
+
+    Rows get a number that a written table makes last; the smallest number of a text's rows with the surviving id stays.
+    The join is a merge at every size, so what moves grows with the input and with nothing else."""
+    row, gone = free_name(docs, "row"), free_name(docs, "gone")
+    own = durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key, least = F.col(f"`{id_col}`"), options.get("keep", "max") == "min"
+    rid = F.struct((key.isNull() if least else key.isNotNull()).alias("known"), key.alias("id"), (F.col(row) if least else -F.col(row)).alias("place"))
+    found = exact_dedup(own.select(rid.alias("rid"), F.col(f"`{text_col}`").alias("text")), "rid", "text", **options)
+    dropped = found.where(~F.col("kept")).select(F.abs(F.col("rid.place")).alias(gone))
+    return own.join(dropped.hint("merge"), F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 ORACLE_SQL = """

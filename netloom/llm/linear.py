@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -60,22 +61,40 @@ def fit(x: np.ndarray, y: np.ndarray, loss: str, penalty: float = 1e-4, steps: i
     return w, bias
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Platt's a, b of the probability 1 / (1 + exp(-(a * margin + b))), with his smoothed targets, by damped Newton steps."""
-    pos, neg = (y > 0).sum(), (y < 0).sum()
+def calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Platt's a, b of the probability 1 / (1 + exp(-(a * margin + b))), with his smoothed targets: Newton steps on the convex
+    loss, each halved until the loss falls. Margins that are all equal, or higher for the negative rows, can't be scaled
+    to a rising probability: they keep a = 1, b = 0, with a warning, as does a fit whose gradient doesn't come near zero."""
+    margin, pos, neg = np.asarray(margin, float), float((y > 0).sum()), float((y < 0).sum())
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
+    spread = float(np.abs(margin).max(initial=0.0)) or 1.0
+    m, ridge = margin / spread, 1e-6
+
+    def loss(a: float, b: float) -> float:
+        z = a * m + b
+        return float((np.logaddexp(0, z) - t * z).sum() + ridge * a * a / 2)
+
+    a, b = 0.0, float(np.log((pos + 1) / (neg + 1)))
+    now = loss(a, b)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        d, h = p - t, np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(d * margin).sum() + 1e-3 * a, d.sum()])
-        hessian = np.array([[(h * margin * margin).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hessian, g)
-        step *= min(1.0, 5 / (np.abs(step).max() + 1e-12))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
+        p = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
+        d, h = p - t, p * (1 - p)
+        g = np.array([(d * m).sum() + ridge * a, d.sum()])
+        if np.abs(g).max() < 1e-7 * max(1.0, len(m)):
+            break
+        hessian = np.array([[(h * m * m).sum() + ridge, (h * m).sum()], [(h * m).sum(), h.sum() + 1e-9]])
+        step, size = np.linalg.solve(hessian + 1e-12 * np.eye(2), g), 1.0
+        while size > 1e-10 and loss(a - size * step[0], b - size * step[1]) > now - 1e-4 * size * float(g @ step):
+            size /= 2
+        if size <= 1e-10:
             break
-    return max(float(a), 1e-3), float(b)
+        a, b = a - size * step[0], b - size * step[1]
+        now = loss(a, b)
+    p = 1 / (1 + np.exp(-np.clip(a * m + b, -500, 500)))
+    if max(abs(float(((p - t) * m).sum() + ridge * a)), abs(float((p - t).sum()))) > 1e-3 * max(1.0, len(m)) or a <= 1e-6:
+        warnings.warn("margins could not be calibrated; they are used as they are", RuntimeWarning, stacklevel=2)
+        return 1.0, 0.0
+    return float(a / spread), float(b)
 
 
 def probability(margin: np.ndarray, a: float, b: float) -> np.ndarray:

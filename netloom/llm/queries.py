@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, language_model, packing, quality, sentencepiece_scan, simhash, token_counts, token_files
+from . import alignment, exact_dedup, hard_negatives, html_extract, language_id, language_model, packing, quality, sentencepiece_scan, simhash, token_counts, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, number = F.col("label").cast("long"), F.col("vec_id")
+    shifted = F.when(number % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", shifted, number % 100 == 0)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.train(url_filter.labelled_urls(spark))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), weights, url_filter.RULES, carry=["page_id"])
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -65,7 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_html_main_text": op9_html_main_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_url_filter": op12_url_filter,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_url_filter": url_filter.ORACLE_SQL,
 }

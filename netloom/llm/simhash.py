@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, durable, spread_join, trim
+from .common import arrow_map, durable, free_name, spread_join, trim
 
 SHARD = 4096
 BATCH = 1 << 16
@@ -385,5 +385,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         # what went for such a row is mostly near the row that this one has gone for
         moved = compare(durable(lost.select(F.col("by").alias("a"), "b").distinct(), "pairs"))
         copies = durable(copies.join(lost.select("a", "b"), ["a", "b"], "left_anti").unionByName(moved), "copies")
-    gone = durable(gone.select("id").unionByName(copies.select(F.col("b").alias("id"))).distinct().withColumnRenamed("id", "__gone"), "gone")
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    name = free_name(docs, "gone")
+    gone = durable(gone.select("id").unionByName(copies.select(F.col("b").alias("id"))).distinct().withColumnRenamed("id", name), "gone")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col(name), "left_anti")
