@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import exact_dedup, language_id, packing, quality, simhash
-from netloom.llm.common import durable, release, written
+from netloom.llm.common import durable, free_name, release, written
 
 #: A document goes if its language is undetermined or its language's score is below this.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -20,18 +20,22 @@ LEAST_LANGUAGE_SCORE = 0.25
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model knows with some certainty. Null texts, texts without a letter and, where nothing is labelled, all texts go; repeated rows share their fate; an empty table stays empty."""
     model = language_id.train(docs)
-    found = language_id.predict(docs, model, ("__lang", "__score"), carry=docs.columns)
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    found = language_id.predict(docs, model, (lang, score), carry=docs.columns)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and the quality model. Null and very short texts go; without labels of both kinds only the rules decide; repeated rows share their fate; an empty table stays empty."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, model, carry=docs.columns, prefix="__").where("__kept").select(*docs.columns)
+    prefix = "verdict_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return quality.judge(docs, model, carry=docs.columns, prefix=prefix).where(F.col(f"{prefix}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the largest id, of each group of texts equal but for the case of A-Z; null texts count as one group of empty ones, and rows without an id stay."""
+    """One document, that with the largest id, of each group of texts equal but for the case of A-Z; null texts count as one group of empty ones. Rows without an id go before rows that have one; no text is lost."""
     return exact_dedup.keep_one(docs)
 
 
