@@ -1,10 +1,11 @@
-"""Cutting the lineage of iterative operators at a reliable checkpoint in the shared folder."""
+"""Cutting the lineage of iterative operators at tables in the shared folder."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,16 +16,23 @@ def steady(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from files that all executors can read; a temporary folder stands in only in local mode, where the session names none."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one stands in only in local mode, where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="netloom-")
         atexit.register(shutil.rmtree, folder, True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-        spark.sparkContext.setCheckpointDir(f"file://{folder}")
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+        found = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a table written once to files that all executors can read. A checkpoint would compute it twice, and would
+    hand its constraints on to the next plan, which in loops makes them grow beyond measure."""
+    steady(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/netloom-cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,16 +7,13 @@ trees at once (``trees``).
 
 from __future__ import annotations
 
-from collections import defaultdict
-from decimal import Decimal
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import DIAMETERS, FLOW, LENGTH, MAX_FLOW, MAX_LENGTH
-from .groups import map_groups
-from .trees import chase, subtree_sums
+from ..functions.dims import DIAMETERS, FLOW, LENGTH, MAX_LENGTH, diameter_for
+from .lineage import cut
+from .trees import chase, subtree_max, subtree_sums
+
 
 def demand_by_node(demands: DataFrame) -> DataFrame:
     return demands.groupBy("node").agg(F.sum("flow").cast(FLOW).alias("flow"))
@@ -58,100 +55,91 @@ def chamber_diameter(edges: DataFrame, existing: DataFrame | None = None) -> Dat
     return ends.groupBy("node").agg(F.max("diameter").alias("diameter"))
 
 
-SIZED = "network string, edge string, flow decimal(18,3), diameter int, continuous decimal(14,3), issue string"
-
-
-def size_network(edges: list[tuple[str, str, str, Decimal]], demand: dict[str, Decimal]) -> list[tuple[str | None, Decimal | None, int | None, Decimal | None, str | None]]:
-    """(edge, flow, diameter, continuous length, issue) of one network; edges are (id, up, down, length).
-
-    Edges with equal flow in a row take one diameter: the smallest that carries the flow, is no smaller than what
-    follows it, and whose longest run of that diameter stays within its limit.
-    """
-    issues: list[tuple[str, str]] = []
-    by_down: dict[str, tuple] = {}
-    seen: set[str] = set()
-    for e in edges:
-        if e[0] in seen:
-            issues.append(("DUPLICATE_EDGE_ID", e[0]))
-        seen.add(e[0])
-        if e[2] in by_down:
-            issues.append(("MULTIPLE_UPSTREAM_EDGES", e[2]))
-        else:
-            by_down[e[2]] = e
-    issues += [("INVALID_DEMAND_FLOW", n) for n, f in demand.items() if f is None or f < 0]
-    children: dict[str, list[tuple]] = defaultdict(list)
-    for e in by_down.values():
-        children[e[1]].append(e)
-    order, stack = [], [n for n in children if n not in by_down]
-    while stack:
-        for e in children.get(stack.pop(), ()):
-            order.append(e)
-            stack.append(e[2])
-    if len(order) < len(by_down):
-        issues.append(("NETWORK_CYCLE", min(e[0] for e in by_down.values() if e not in order)))
-    if issues:
-        return [(key, None, None, None, code) for code, key in issues]
-
-    flow = {e[0]: demand.get(e[2], Decimal(0)) for e in order}
-    for e in reversed(order):
-        parent = by_down.get(e[1])
-        if parent:
-            flow[parent[0]] += flow[e[0]]
-    group: dict[str, str] = {}
-    members: dict[str, list[tuple]] = defaultdict(list)
-    for e in order:
-        parent = by_down.get(e[1])
-        group[e[0]] = group[parent[0]] if parent and flow[parent[0]] == flow[e[0]] else e[0]
-        members[group[e[0]]].append(e)
-    diameter: dict[str, int] = {}
-    suffix: dict[str, Decimal] = {}
-    out_issue: dict[str, str] = {}
-    for head in reversed(list(members)):
-        own = members[head]
-        least = max((diameter.get(c[0], 0) for e in own for c in children.get(e[2], ()) if group[c[0]] != head), default=0)
-        chosen, trial = None, {}
-        for d in DIAMETERS:
-            if d < least or MAX_FLOW[d] < flow[head]:
-                continue
-            chosen, trial = d, {}
-            for e in reversed(own):
-                below = [trial[c[0]] if group[c[0]] == head else suffix[c[0]] for c in children.get(e[2], ()) if group[c[0]] == head or diameter.get(c[0]) == d]
-                trial[e[0]] = e[3] + max(below, default=Decimal(0))
-            if trial[own[0][0]] <= MAX_LENGTH[d]:
-                break
-        else:
-            if chosen is None:
-                out_issue |= {e[0]: "FLOW_EXCEEDS_CATALOG" for e in own}
-                continue
-            out_issue[own[0][0]] = "MAX_CONTINUOUS_LENGTH_EXCEEDED"
-        for e in own:
-            diameter[e[0]], suffix[e[0]] = chosen, trial[e[0]]
-    run: dict[str, Decimal] = {}
-    rows = []
-    for e in order:
-        parent = by_down.get(e[1])
-        before = run.get(parent[0], Decimal(0)) if parent and diameter.get(parent[0]) == diameter.get(e[0]) else Decimal(0)
-        run[e[0]] = before + e[3]
-        rows.append((e[0], flow[e[0]], diameter.get(e[0]), run[e[0]], out_issue.get(e[0])))
-    return rows
+def length_limit(diameter: Column) -> Column:
+    """Longest run of a pipe; the catalog is folded into one CASE."""
+    out = F.when(diameter == DIAMETERS[0], F.lit(MAX_LENGTH[DIAMETERS[0]]))
+    for d in DIAMETERS[1:]:
+        out = out.when(diameter == d, F.lit(MAX_LENGTH[d]))
+    return out
+
+
+def next_diameter(diameter: Column) -> Column:
+    """The pipe after this one; null after the last."""
+    out = F.when(diameter == DIAMETERS[0], DIAMETERS[1])
+    for d, after in zip(DIAMETERS[1:], DIAMETERS[2:], strict=False):
+        out = out.when(diameter == d, after)
+    return out
+
+
+def network_faults(edges: DataFrame, demands: DataFrame, rooted: DataFrame) -> DataFrame:
+    """network, key, issue: what forbids sizing. ``rooted``: the edges (network, edge) from which a source is reached."""
+    key = lambda name: F.col(name).cast("string").alias("key")
+    repeated = edges.groupBy("network", "edge").count().where("count > 1").select("network", key("edge"), F.lit("DUPLICATE_EDGE_ID").alias("issue"))
+    fed = edges.groupBy("network", "down").count().where("count > 1").select("network", key("down"), F.lit("MULTIPLE_UPSTREAM_EDGES").alias("issue"))
+    invalid = demands.where("flow IS NULL OR flow < 0").select("network", key("node"), F.lit("INVALID_DEMAND_FLOW").alias("issue")).distinct()
+    lost = edges.join(rooted, ["network", "edge"], "left_anti").groupBy("network").agg(F.min("edge").alias("edge"))
+    return repeated.unionByName(fed).unionByName(invalid).unionByName(lost.select("network", key("edge"), F.lit("NETWORK_CYCLE").alias("issue")))
 
 
 def size_networks(edges: DataFrame, demands: DataFrame) -> DataFrame:
-    """Size every network apart: edges (network, edge, up, down, length), demands (network, node, flow). A network is one
-    connected system, as a root's tree is; ``networks_by_root`` gives the trees of a forest that has no such key."""
-    demand_rows = demands.select("network", F.lit(None).cast("string").alias("edge"), F.lit(None).cast("string").alias("up"), F.col("node").alias("down"), F.lit(None).cast("decimal(14,3)").alias("length"), F.col("flow").cast(FLOW).alias("flow"))
-    parts = edges.select("network", "edge", "up", "down", F.col("length").cast(LENGTH), F.lit(None).cast(FLOW).alias("flow")).unionByName(demand_rows)
-
-    def kernel(table: pd.DataFrame) -> list[tuple]:
-        lines, demand = [], {}
-        for edge, up, down, length, flow in zip(table.edge, table.up, table.down, table.length, table.flow, strict=True):
-            if edge is None:
-                demand[down] = demand.get(down, Decimal(0)) + flow
-            else:
-                lines.append((edge, up, down, length))
-        return [(table.network.iloc[0], *r) for r in size_network(lines, demand)]
-
-    return map_groups(parts, "network", ["edge"], kernel, SIZED, ["network", "edge", "flow", "diameter", "continuous", "issue"])
+    """network, edge, flow, diameter, continuous, issue of edges (network, edge, up, down, length) under demands (network, node,
+    flow). Networks may be many or one of any size: every step is a join over all edges.
+
+    Neighbouring edges of equal flow form a section, which has one diameter: the least that carries the flow, is no less
+    than what follows, and whose longest run of that diameter keeps to its limit. Sections start from the diameter of
+    their flow. Flows never grow downstream, so diameters don't either, and the run below a section, at its present
+    diameter, is the farthest end among the sections below that have the same one, less its own start; the distance
+    from the source makes that one largest value of a subtree. Where a run is too long its section takes the next
+    diameter. A run that is too long under least values stays so, whence nothing is raised in vain, and what
+    has the same diameter above is too long as well, so all of them rise together: 18 rounds at most.
+
+    A faulty network gives only its issues (``network_faults``, its key in ``edge``). Beyond the catalog's flow there is no
+    diameter and FLOW_EXCEEDS_CATALOG on each edge; where even the last pipe's run is too long the section's first edge has
+    MAX_CONTINUOUS_LENGTH_EXCEEDED."""
+    at = lambda name: F.struct("network", F.col(name).alias("node"))
+    lines = cut(edges.select("network", "edge", "up", "down", F.col("length").cast(LENGTH)))
+    asked = demands.select("network", "node", F.col("flow").cast(FLOW))
+    fed = lines.groupBy("network", "down").agg(F.min(F.struct("edge", "up", "length")).alias("e"))
+    tree = fed.select(at("down").alias("node"), F.struct("network", F.col("e.up").alias("node")).alias("up"), F.col("e.edge").alias("edge"), F.col("e.length").alias("length"))
+    ends = chase(tree, weight="length").select("node", F.col("total").alias("distance"))
+    placed = cut(tree.join(ends, "node"))
+    faults = cut(network_faults(lines, asked, placed.select("node.network", "edge")))
+    sound = placed.join(faults.select("network").distinct(), placed["node.network"] == faults["network"], "left_anti")
+    demand = asked.groupBy(at("node").alias("node")).agg(F.sum("flow").alias("demand"))
+    links = cut(sound.join(demand, "node", "left"))
+    flows = subtree_sums(links, "demand", FLOW).withColumnRenamed("total", "flow")
+    heads = same_flow_components(links, flows)
+    own = cut(links.drop("demand").join(flows, "node").join(heads, "node"))
+
+    parts = own.groupBy("head").agg(F.max("flow").alias("flow"), F.max("distance").alias("bottom"))
+    first = own.where("node = head").select("head", "up", (F.col("distance") - F.col("length")).alias("top"))
+    above = own.select(F.col("node").alias("up"), F.col("head").alias("parent"))
+    sections = first.join(above, "up", "left").join(parts, "head").select(F.col("head").alias("node"), F.col("parent").alias("up"), "flow", "top", "bottom", diameter_for(F.col("flow")).alias("diameter"))
+    state = cut(sections)
+    while True:
+        runs = same_diameter(state.where("diameter IS NOT NULL"))
+        far = subtree_max(runs, "bottom", "decimal(28,3)").withColumnRenamed("total", "far")
+        long = F.coalesce(F.col("far") - F.col("top") > length_limit(F.col("diameter")), F.lit(False))
+        measured = cut(state.join(far, "node", "left").withColumn("long", long).drop("far"))
+        if measured.where(F.col("long") & next_diameter(F.col("diameter")).isNotNull()).isEmpty():
+            break
+        raised = F.when(F.col("long"), F.coalesce(next_diameter(F.col("diameter")), F.col("diameter"))).otherwise(F.col("diameter"))
+        state = cut(measured.withColumn("diameter", raised).drop("long"))
+
+    starts = chase(same_diameter(measured)).select("node", F.col("end").alias("start"))
+    run = starts.join(measured.select(F.col("node").alias("start"), F.col("top").alias("run_top")), "start").select(F.col("node").alias("head"), "run_top")
+    chosen = run.join(measured.select(F.col("node").alias("head"), "diameter", "long"), "head")
+    issue = F.when(F.col("diameter").isNull(), "FLOW_EXCEEDS_CATALOG").when(F.col("long") & (F.col("node") == F.col("head")), "MAX_CONTINUOUS_LENGTH_EXCEEDED")
+    sized = own.join(chosen, "head").select("node.network", "edge", "flow", "diameter", (F.col("distance") - F.col("run_top")).cast(LENGTH).alias("continuous"), issue.alias("issue"))
+    nothing = faults.select("network", F.col("key").alias("edge"), F.lit(None).cast(FLOW).alias("flow"), F.lit(None).cast("int").alias("diameter"), F.lit(None).cast(LENGTH).alias("continuous"), "issue")
+    return sized.withColumn("edge", F.col("edge").cast("string")).unionByName(nothing)
+
+
+def same_diameter(sections: DataFrame) -> DataFrame:
+    """``sections`` with ``up`` only where the section above has the same diameter, or like it none."""
+    above = sections.select(F.col("node").alias("up"), F.col("diameter").alias("wider"), F.lit(True).alias("known"))
+    linked = sections.join(above, "up", "left")
+    return linked.withColumn("up", F.when(F.col("known") & F.col("diameter").eqNullSafe(F.col("wider")), F.col("up"))).drop("wider", "known")
 
 
 def networks_by_root(tree: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ cycle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -20,33 +22,46 @@ def rounds(forest: DataFrame) -> int:
     return max(1, forest.count().bit_length())
 
 
-def chase(links: DataFrame, node: str = "node", up: str = "up") -> DataFrame:
-    """node, end, hops: where the pointers of every node lead, and in how many steps. ``links`` has one row a node; nodes on or
+def chase(links: DataFrame, node: str = "node", up: str = "up", weight: str | None = None) -> DataFrame:
+    """node, end, hops: where the pointers of every node lead, and in how many steps; with ``weight`` also ``total``, the sum of the
+    weights of the nodes left on the way, the first among them and the end not. ``links`` has one row a node; nodes on or
     below a cycle are left out. A pointer out of the table ends there."""
-    base = links.select(F.col(node).alias("node"), F.col(up).alias("next"))
-    now = cut(base.select("node", F.coalesce("next", "node").alias("end"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("next").isNull().alias("done")))
+    base = links.select(F.col(node).alias("node"), F.col(up).alias("next"), (F.col(weight).cast("decimal(28,3)") if weight else F.lit(0)).alias("own"))
+    leaves = F.col("next").isNotNull()
+    now = cut(base.select("node", F.coalesce("next", "node").alias("end"), leaves.cast("long").alias("hops"), F.when(leaves, F.col("own")).otherwise(0).alias("total"), (~leaves).alias("done")))
+    kind = now.schema["total"].dataType
     for _ in range(rounds(now)):
         if now.where("NOT done").isEmpty():
             break
-        there = now.select(F.col("node").alias("end"), F.col("end").alias("far"), F.col("hops").alias("more"), F.col("done").alias("stops"))
+        there = now.select(F.col("node").alias("end"), F.col("end").alias("far"), F.col("hops").alias("more"), F.col("total").alias("further"), F.col("done").alias("stops"))
         open_rows = now.where("NOT done").join(there, "end", "left")
-        moved = open_rows.select("node", F.coalesce("far", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("stops", F.lit(True)).alias("done"))
+        moved = open_rows.select("node", F.coalesce("far", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), (F.col("total") + F.coalesce("further", F.lit(0))).cast(kind).alias("total"), F.coalesce("stops", F.lit(True)).alias("done"))
         now = cut(now.where("done").unionByName(moved))
-    return now.where("done").select("node", "end", "hops")
+    return now.where("done").select("node", "end", "hops", *["total"] * (weight is not None))
 
 
 def subtree_sums(forest: DataFrame, value: str, kind: str) -> DataFrame:
-    """node, total: the sum of ``value`` over the subtree of each node of ``forest`` (node, up, value).
+    """node, total: the sum of ``value`` over the subtree of each node of ``forest`` (node, up, value)."""
+    return subtree(forest, value, kind, F.sum, lambda own, gain: own + F.coalesce(gain, F.lit(0)), F.lit(0))
+
+
+def subtree_max(forest: DataFrame, value: str, kind: str) -> DataFrame:
+    """node, total: the largest ``value`` in the subtree of each node of ``forest`` (node, up, value)."""
+    return subtree(forest, value, kind, F.max, F.greatest, F.lit(None))
+
+
+def subtree(forest: DataFrame, value: str, kind: str, gather: Callable[[str], Column], combine: Callable[[Column, Column], Column], missing: Column) -> DataFrame:
+    """node, total: ``value`` gathered over the subtree of each node.
 
-    After k rounds a node holds the sum of its descendants less than 2^k steps below it, and points 2^k steps up; what
+    After k rounds a node holds what its descendants less than 2^k steps below it give, and points 2^k steps up; what
     its descendants at exactly that distance hold is what it lacks. A cycle raises NETWORK_CYCLE."""
-    now = cut(forest.select("node", F.col("up").alias("at"), F.coalesce(F.col(value), F.lit(0)).cast(kind).alias("total")))
+    now = cut(forest.select("node", F.col("up").alias("at"), F.coalesce(F.col(value), missing).cast(kind).alias("total")))
     for _ in range(rounds(now) + 1):
         climbing = now.where("at IS NOT NULL")
         if climbing.isEmpty():
             return now.select("node", "total")
-        gained = climbing.groupBy(F.col("at").alias("node")).agg(F.sum("total").alias("gain"))
-        above = now.where("at IS NOT NULL").select(F.col("node").alias("at"), F.col("at").alias("far"))
-        summed = now.join(gained, "node", "left").select("node", "at", (F.col("total") + F.coalesce("gain", F.lit(0))).cast(kind).alias("total"))
+        gained = climbing.groupBy(F.col("at").alias("node")).agg(gather("total").alias("gain"))
+        above = climbing.select(F.col("node").alias("at"), F.col("at").alias("far"))
+        summed = now.join(gained, "node", "left").select("node", "at", combine(F.col("total"), F.col("gain")).cast(kind).alias("total"))
         now = cut(summed.join(above, "at", "left").select("node", F.col("far").alias("at"), "total"))
     raise ValueError("NETWORK_CYCLE")

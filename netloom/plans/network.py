@@ -371,12 +371,42 @@ def size_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = role(spark, sf_dir, "forest").withColumns({"id": F.col("network") * 10 + F.col("node"), "above": F.when(F.col("node") > 1, F.col("network") * 10 + F.floor(F.col("node") / 2))})
     roots = sizing.networks_by_root(t.select(F.col("id").alias("node"), F.col("above").alias("up")))
     named = t.join(roots.withColumnsRenamed({"node": "id", "network": "root"}), "id")
-    edges = named.select(F.col("root").cast("string").alias("network"), F.col("id").cast("string").alias("edge"), F.coalesce(F.col("above").cast("string"), F.lit("source")).alias("up"), F.col("id").cast("string").alias("down"), "length")
-    demand = named.select(F.col("root").cast("string").alias("network"), F.col("id").cast("string").alias("node"), "flow")
+    edges = named.select(F.col("root").alias("network"), F.col("id").alias("edge"), F.coalesce("above", F.lit(-1)).alias("up"), F.col("id").alias("down"), "length")
+    demand = named.select(F.col("root").alias("network"), F.col("id").alias("node"), "flow")
     sized = sizing.size_networks(edges, demand).where("issue IS NULL")
     return longs(doubles(sized.select(F.floor(F.col("edge").cast("long") / 10).alias("network"), (F.col("edge").cast("long") % 10).alias("node"), "flow", "diameter", "continuous"), "flow", "continuous"), "diameter")
 
 
+@query(
+    role_sql("tree")
+    + CLOSURE
+    + f""", above AS (SELECT node, ancestor FROM up), line AS (SELECT u.node, sum(t.length) AS far FROM above u JOIN tree t ON t.node = u.ancestor GROUP BY u.node),
+nxt AS (SELECT t.node, CASE WHEN f.flow = g.flow THEN t.up END AS up FROM tree t JOIN flows f USING (node) LEFT JOIN flows g ON g.node = t.up),
+w(node, cur) AS (SELECT node, node FROM nxt UNION ALL SELECT w.node, n.up FROM w JOIN nxt n ON n.node = w.cur WHERE n.up IS NOT NULL),
+head AS (SELECT w.node, w.cur AS head FROM w JOIN nxt n ON n.node = w.cur WHERE n.up IS NULL),
+section AS MATERIALIZED (SELECT h.head, max(f.flow) AS flow, max(l.far) AS bottom, any_value(s.far - t.length) AS top FROM head h JOIN flows f USING (node) JOIN line l USING (node) JOIN tree t ON t.node = h.head JOIN line s ON s.node = h.head GROUP BY h.head),
+below AS MATERIALIZED (SELECT DISTINCT b.head AS over, a.head FROM above u JOIN head a ON a.node = u.node JOIN head b ON b.node = u.ancestor),
+pipe AS (SELECT *, row_number() OVER (ORDER BY diameter) AS n FROM {P}),
+stage(k, head, du, long) AS (
+  SELECT CAST(0 AS BIGINT), head, CAST(NULL AS INTEGER), false FROM section
+  UNION ALL
+  SELECT s.k + 1, s.head, CASE WHEN s.du IS NULL AND c.flow <= p.max_flow AND (r.far - c.top <= p.max_length OR p.n = 18) THEN p.diameter ELSE s.du END,
+         s.long OR (s.du IS NULL AND c.flow <= p.max_flow AND p.n = 18 AND r.far - c.top > p.max_length)
+  FROM stage s JOIN pipe p ON p.n = s.k + 1 JOIN section c ON c.head = s.head
+  LEFT JOIN (SELECT b.over, max(c2.bottom) AS far FROM below b JOIN stage s2 ON s2.head = b.head AND s2.du IS NULL JOIN section c2 ON c2.head = b.head GROUP BY b.over) r ON r.over = s.head),
+done AS (SELECT h.node, t.length, s.du, s.long AND h.node = h.head AS long FROM head h JOIN stage s ON s.head = h.head AND s.k = 18 JOIN tree t ON t.node = h.node)
+SELECT d.node, CAST(any_value(f.flow) AS DOUBLE) AS flow, CAST(any_value(d.du) AS BIGINT) AS diameter, CAST(sum(a.length) FILTER (WHERE a.du IS NOT DISTINCT FROM d.du) AS DOUBLE) AS continuous,
+       CASE WHEN any_value(d.du) IS NULL THEN 'FLOW_EXCEEDS_CATALOG' WHEN any_value(d.long) THEN 'MAX_CONTINUOUS_LENGTH_EXCEEDED' END AS issue
+FROM done d JOIN flows f USING (node) JOIN above u ON u.node = d.node JOIN done a ON a.node = u.ancestor GROUP BY d.node"""
+)
+def size_one_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as one connected network, sized by joins over all of its edges; the SQL goes pipe by pipe instead."""
+    t = role(spark, sf_dir, "tree")
+    edges = t.select(F.lit("all").alias("network"), F.col("node").alias("edge"), F.coalesce("up", F.lit(-1)).alias("up"), F.col("node").alias("down"), "length")
+    sized = sizing.size_networks(edges, t.select(F.lit("all").alias("network"), "node", F.col("demand").alias("flow")))
+    return longs(doubles(sized.select(F.col("edge").cast("long").alias("node"), "flow", "diameter", "continuous", "issue"), "flow", "continuous"), "diameter")
+
+
 @query(
     role_sql("tree")
     + CLOSURE

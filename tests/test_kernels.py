@@ -4,88 +4,11 @@ import itertools
 import random
 from decimal import Decimal
 
-from netloom.functions.dims import DIAMETERS, MAX_FLOW, MAX_LENGTH
 from netloom.operators import depth, routing, solve
-from netloom.operators.sizing import size_network
 
 D = Decimal
 
 
-def sized(edges, demand):
-    return {r[0]: r for r in size_network([(e, u, d, D(str(n))) for e, u, d, n in edges], {k: D(str(v)) for k, v in demand.items()})}
-
-
-def share(d, part):
-    """A flow that ``part`` of a pipe's capacity carries, to the gram."""
-    return (MAX_FLOW[d] * D(str(part))).quantize(D("0.001"))
-
-
-def test_three_taps_on_a_main():
-    """A main with a tap at each node carries what is left after it, and its pipes grow towards the source."""
-    taps = [share(50, 0.9), share(80, 0.5), share(100, 0.5)]
-    out = sized([("m1", "plant", "p", 7), ("m2", "p", "q", 7), ("m3", "q", "r", 7)], {"p": taps[0], "q": taps[1], "r": taps[2]})
-    flows = [sum(taps), sum(taps[1:]), taps[2]]
-    assert [out[e][1] for e in ("m1", "m2", "m3")] == flows
-    assert [out[e][2] for e in ("m1", "m2", "m3")] == [min(d for d in DIAMETERS if MAX_FLOW[d] >= f) for f in flows]
-
-
-def test_a_run_of_equal_flow_takes_one_pipe():
-    """Two edges in a row, each within the limit of the smallest pipe and beyond it together, both take the next."""
-    small, following = DIAMETERS[0], DIAMETERS[1]
-    half = MAX_LENGTH[small] * D("0.6")
-    out = sized([("near", "plant", "bend", half), ("far", "bend", "house", half)], {"house": share(small, 0.8)})
-    assert [out[e][2] for e in ("near", "far")] == [following, following] and out["far"][3] == 2 * half
-
-
-def test_a_larger_pipe_starts_a_new_run():
-    small = DIAMETERS[0]
-    limit = MAX_LENGTH[small]
-    out = sized([("main", "plant", "fork", limit), ("twig", "fork", "hut", limit), ("limb", "fork", "hall", 3)], {"hut": share(small, 0.7), "hall": share(small, 0.7)})
-    assert out["twig"][2] == small and out["twig"][3] == limit and out["main"][2] > small and out["main"][3] == limit
-
-
-def test_length_boundary_and_errors():
-    small, following = DIAMETERS[:2]
-    for length, want in ((MAX_LENGTH[small], small), (MAX_LENGTH[small] + D("0.001"), following)):
-        assert sized([("e", "plant", "house", length)], {"house": share(small, 1)})["e"][2] == want
-    codes = {r[4] for r in size_network([("a", "p", "q", D(4)), ("b", "q", "p", D(4)), ("c", "s", "q", D(4))], {"q": D(2)})}
-    assert codes == {"MULTIPLE_UPSTREAM_EDGES", "NETWORK_CYCLE"}
-    codes = {r[4] for r in size_network([("a", "p", "q", D(4)), ("a", "q", "r", D(4))], {"q": D(-2)})}
-    assert codes == {"DUPLICATE_EDGE_ID", "INVALID_DEMAND_FLOW"}
-
-
-def test_sizing_is_least_of_all_assignments():
-    rng = random.Random(20261128)
-    lengths = [D(1)] + [MAX_LENGTH[d] * D(f) for d in DIAMETERS[:3] for f in ("0.5", "1")] + [MAX_LENGTH[DIAMETERS[1]] + D("0.001")]
-    flows = [D(0)] + [share(d, f) for d in (*DIAMETERS[:4], DIAMETERS[-2]) for f in ("0.5", "1")]
-    few = DIAMETERS[:6] + DIAMETERS[-3:]
-    compared = 0
-    for _ in range(60):
-        n = rng.randint(1, 3)
-        parent = [None] + [rng.randrange(i) for i in range(1, n)]
-        edges = [(f"e{i}", "plant" if parent[i] is None else f"n{parent[i]}", f"n{i}", rng.choice(lengths)) for i in range(n)]
-        demand = {f"n{i}": rng.choice(flows) for i in range(n)}
-        out = sized(edges, demand)
-        flow = {i: out[f"e{i}"][1] for i in range(n)}
-        if any(r[4] for r in out.values()):
-            continue
-        good = []
-        for choice in itertools.product(DIAMETERS if n < 3 else sorted({*few, *(out[f"e{i}"][2] for i in range(n))}), repeat=n):
-            if any(MAX_FLOW[d] < flow[i] for i, d in enumerate(choice)):
-                continue
-            if any(p is not None and (choice[p] < choice[i] or flow[p] == flow[i] and choice[p] != choice[i]) for i, p in enumerate(parent)):
-                continue
-            run = []
-            for i, p in enumerate(parent):
-                run.append(D(str(edges[i][3])) + (run[p] if p is not None and choice[p] == choice[i] else 0))
-            if all(r <= MAX_LENGTH[d] for r, d in zip(run, choice, strict=True)):
-                good.append(choice)
-        if good:
-            compared += 1
-            assert [out[f"e{i}"][2] for i in range(n)] == [min(c[i] for c in good) for i in range(n)]
-    assert compared > 20
-
-
 def test_depth_closure_is_least():
     rng = random.Random(3)
     for _ in range(80):
