@@ -5,21 +5,18 @@ Depths and stations of the solver are whole millimetres, so closures are exact.
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .groups import map_groups
 from .intervals import merge_intervals
+from .lineage import cut
 
 PLATEAU_M = 2.0
 SLOPE = 0.10
+#: The slope in percent, for whole-number division.
+SLOPE_PERCENT = 10
 ORDINARY_MM = 3000
 
-Domain = list[tuple[int, int]]
-
 
 def crossing_plateaus(crossings: DataFrame, key: str = "route") -> DataFrame:
     """Stations of utility crossings (route, station, length) widened to level stretches and merged."""
@@ -34,76 +31,125 @@ def depth_floors(inside: DataFrame, key: str = "route") -> DataFrame:
     return merge_intervals(own, "k").select(f"k.{key}", "k.floor", "s", "e")
 
 
-def at_least(domain: Domain, value: int) -> int | None:
-    """The smallest allowed depth from ``value`` on."""
-    return min((max(lo, value) for lo, hi in domain if hi >= value), default=None)
-
-
-def at_most(domain: Domain, value: int) -> int | None:
-    return max((min(hi, value) for lo, hi in domain if lo <= value), default=None)
-
-
-def meet(a: Domain, b: Domain) -> Domain:
-    return sorted((max(x[0], y[0]), min(x[1], y[1])) for x in a for y in b if max(x[0], y[0]) <= min(x[1], y[1]))
-
-
-def crossing_domain(top: int, bottom: int, clearance: int, height: int, least: int, greatest: int) -> Domain:
-    """Depths of the axis' envelope top that pass above or below a utility between ``top`` and ``bottom``."""
-    return [d for d in ((least, min(greatest, top - clearance - height)), (max(least, bottom + clearance), greatest)) if d[0] <= d[1]]
-
-
-def settle(domains: list[Domain], links: list[tuple[int, int, int]], start: list[int], upwards: bool) -> list[int] | None:
-    """Move every value the least that the slope links |v_i - v_j| <= gap and the domains ask for, one way only."""
-    near: list[list[tuple[int, int]]] = [[] for _ in domains]
-    for i, j, gap in links:
-        near[i].append((j, gap))
-        near[j].append((i, gap))
-    values, waiting = list(start), deque(range(len(domains)))
-    queued = [True] * len(domains)
-    while waiting:
-        i = waiting.popleft()
-        queued[i] = False
-        for j, gap in near[i]:
-            limit = values[i] - gap if upwards else values[i] + gap
-            if (values[j] >= limit) if upwards else (values[j] <= limit):
-                continue
-            moved = at_least(domains[j], limit) if upwards else at_most(domains[j], limit)
-            if moved is None:
-                return None
-            values[j] = moved
-            if not queued[j]:
-                queued[j] = True
-                waiting.append(j)
-    return values
-
-
-def least_depths(domains: list[Domain], links: list[tuple[int, int, int]]) -> list[int] | None:
-    start = [at_least(d, -(1 << 31)) for d in domains]
-    return None if None in start else settle(domains, links, start, True)
-
-
-def prefer_ordinary(domains: list[Domain], links: list[tuple[int, int, int]], least: list[int], ordinary: int = ORDINARY_MM) -> list[int] | None:
-    """The deepest profile that costs no more: up to the ordinary depth where the least one is above it."""
-    same_cost = [meet(d, [(v, max(v, ordinary))]) for d, v in zip(domains, least, strict=True)]
-    start = [at_most(d, 1 << 31) for d in same_cost]
-    return None if None in start else settle(same_cost, links, start, False)
+DOMAIN = "array<struct<lo:bigint,hi:bigint>>"
+
+
+def interval(lo: Column, hi: Column) -> Column:
+    return F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+
+
+def meet(a: Column, b: Column) -> Column:
+    """The depths of two domains, arrays of intervals, that both allow."""
+    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: interval(F.greatest(x["lo"], y["lo"]), F.least(x["hi"], y["hi"])))))
+    return F.filter(pairs, lambda x: x["lo"] <= x["hi"])
+
+
+def at_least(domain: Column, value: Column) -> Column:
+    """The smallest depth of a domain from ``value`` on; null if there is none."""
+    return F.array_min(F.transform(F.filter(domain, lambda x: x["hi"] >= value), lambda x: F.greatest(x["lo"], value)))
+
+
+def crossing_domain(top: Column, bottom: Column, clearance: Column, height: Column, least: int, greatest: int) -> Column:
+    """Depths (mm) of the pipes' top that pass above or below a utility between ``top`` and ``bottom``."""
+    above = interval(F.lit(least), F.least(F.lit(greatest), top - clearance - height))
+    below = interval(F.greatest(F.lit(least), bottom + clearance), F.lit(greatest))
+    return F.filter(F.array(above, below), lambda x: x["lo"] <= x["hi"])
+
+
+def level_stretches(crossings: DataFrame, least: int, greatest: int) -> DataFrame:
+    """network, edge, s, e, domain: crossings (network, edge, s, e, top, bottom, clearance, height, all mm) whose level stretches
+    touch or overlap are one stretch, which keeps to what all of them allow."""
+    w = Window.partitionBy("network", "edge").orderBy("s", "e")
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = crossings.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(w))
+    own = numbered.withColumn("domain", crossing_domain(F.col("top"), F.col("bottom"), F.col("clearance"), F.col("height"), least, greatest))
+    everything = F.array(interval(F.lit(least), F.lit(greatest)))
+    met = F.aggregate(F.collect_list("domain"), everything, meet)
+    return own.groupBy("network", "edge", "stretch").agg(F.min("s").alias("s"), F.max("e").alias("e"), met.alias("domain")).drop("stretch")
+
+
+def profile_points(edges: DataFrame, crossings: DataFrame, floors: DataFrame, pins: DataFrame, least: int, greatest: int) -> DataFrame:
+    """network, edge, k, node, s, e, domain: along each edge (network, edge, up, down, length in mm) its upstream node, its level
+    stretches, the ends of its floors (network, edge, s, e, depth) outside of these, and its downstream node. Floors
+    bind the stretches that they touch, ``pins`` (network, node, depth) hold a node at a depth."""
+    key = ["network", "edge"]
+    stretches = level_stretches(crossings, least, greatest)
+    reach = floors.select(*key, F.col("s").alias("fs"), F.col("e").alias("fe"), "depth")
+    deepest = stretches.join(reach, key).where("s <= fe AND e >= fs").groupBy(*key, "s").agg(F.max("depth").alias("floor"))
+    bound = stretches.join(deepest, [*key, "s"], "left").select(*key, F.lit(None).cast("string").alias("node"), "s", "e", F.when(F.col("floor").isNull(), F.col("domain")).otherwise(meet(F.col("domain"), F.array(interval(F.col("floor"), F.lit(greatest))))).alias("domain"))
+    ends = floors.select(*key, F.explode(F.array_distinct(F.array("s", "e"))).alias("at")).distinct()
+    free = ends.join(stretches, (ends["network"] == stretches["network"]) & (ends["edge"] == stretches["edge"]) & (F.col("at") >= F.col("s")) & (F.col("at") <= F.col("e")), "left_anti")
+    active = free.join(reach, key).where("at >= fs AND at <= fe").groupBy(*key, "at").agg(F.max("depth").alias("floor"))
+    corners = active.select(*key, F.lit(None).cast("string").alias("node"), F.col("at").alias("s"), F.col("at").alias("e"), F.array(interval(F.greatest(F.lit(least), F.col("floor")), F.lit(greatest))).alias("domain"))
+    two = edges.select(*key, F.explode(F.array(F.struct(F.col("up").cast("string").alias("node"), F.lit(0).cast("long").alias("s")), F.struct(F.col("down").cast("string").alias("node"), F.col("length").cast("long").alias("s")))).alias("p"))
+    fixed = pins.select("network", F.col("node").cast("string").alias("node"), F.col("depth").alias("pin"))
+    whole = F.array(interval(F.lit(least), F.lit(greatest)))
+    nodes = two.select(*key, "p.*").join(fixed, ["network", "node"], "left").select(*key, "node", "s", F.col("s").alias("e"), F.when(F.col("pin").isNull(), whole).otherwise(meet(whole, F.array(interval(F.col("pin"), F.col("pin"))))).alias("domain"))
+    points = nodes.unionByName(bound).unionByName(corners)
+    first = F.when(F.col("node").isNull(), 1).when(F.col("s") == 0, 0).otherwise(2)
+    return points.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(first, "s")) - 1)
+
+
+def relax(points: DataFrame) -> DataFrame:
+    """``points`` (network, edge, k, node, at, domain) with ``v``: the least values within the domains such that along an edge two
+    points differ by no more than they lie apart (``at``), and an edge's end has its node's one value; null throughout a
+    network for which there is none.
+
+    A round takes the nodes' values over, runs along each edge in both directions by running maxima of v + at and v - at,
+    and moves on to the next allowed value. Values only rise, and only edges that moved, or that meet a node that
+    moved, take part in the next round; a value reaches no farther than its excess over the least one lasts."""
+    key = ["network", "edge"]
+    ahead = Window.partitionBy(*key).orderBy("k")
+    behind = Window.partitionBy(*key).orderBy(F.desc("k"))
+
+    def pass_along(df: DataFrame) -> DataFrame:
+        run = F.greatest(F.max(F.col("v") + F.col("at")).over(ahead) - F.col("at"), F.max(F.col("v") - F.col("at")).over(behind) + F.col("at"))
+        return df.withColumn("low", run).withColumn("v", F.when(~F.col("none"), at_least(F.col("domain"), F.col("low")))).drop("low").withColumn("none", F.col("none") | F.col("v").isNull())
+
+    start = at_least(F.col("domain"), F.lit(-(1 << 40)).cast("long"))
+    state = cut(points.select(*key, "k", "node", "at", "domain", start.alias("v")).withColumn("none", F.col("v").isNull()).withColumn("moved", F.lit(True)))
+    while True:
+        lost = state.where("none").select("network").distinct()
+        open_rows = state.join(lost, "network", "left_anti")
+        moved = open_rows.where("moved")
+        if moved.isEmpty():
+            break
+        touched = open_rows.join(moved.where("node IS NOT NULL").select("network", "node").distinct(), ["network", "node"], "left_semi").select(*key)
+        active = cut(moved.select(*key).unionByName(touched).distinct())
+        work, rest = open_rows.join(active, key, "left_semi"), open_rows.join(active, key, "left_anti").withColumn("moved", F.lit(False))
+        shared = work.where("node IS NOT NULL").groupBy("network", "node").agg(F.max("v").alias("shared"))
+        taken = work.withColumn("before", F.col("v")).join(shared, ["network", "node"], "left").withColumn("v", F.greatest("v", "shared")).drop("shared")
+        done = pass_along(pass_along(taken)).withColumn("moved", F.coalesce(F.col("v") > F.col("before"), F.lit(False))).drop("before")
+        columns = state.columns
+        closed = state.join(lost, "network", "left_semi").withColumns({"moved": F.lit(False), "none": F.lit(True)})
+        state = cut(done.select(*columns).unionByName(rest.select(*columns)).unionByName(closed.select(*columns)))
+    hopeless = state.where("none").select("network").distinct().withColumn("hopeless", F.lit(True))
+    values = state.join(hopeless, "network", "left").withColumn("v", F.when(F.col("hopeless").isNull(), F.col("v")))
+    return values.select(*key, "k", "node", "at", "domain", "v")
+
+
+def network_depths(points: DataFrame, ordinary: int = ORDINARY_MM) -> DataFrame:
+    """network, edge, k, node, s, e, least_mm, depth_mm of ``profile_points``: the least depth of every node and stretch of a network under
+    the slope limit, and the deepest profile that costs no more: what lies above the ordinary depth sinks to it where the
+    others allow. Sinking is rising with the signs of depths and domains turned."""
+    key = ["network", "edge"]
+    w = Window.partitionBy(*key).orderBy("k")
+    gap = F.floor((F.col("s") - F.lag("e").over(w)) * F.lit(SLOPE_PERCENT) / 100).cast("long")
+    placed = cut(points.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("at", F.sum("gap").over(w)).drop("gap"))
+    least = relax(placed)
+    room = meet(F.col("domain"), F.array(interval(F.col("v"), F.greatest(F.col("v"), F.lit(ordinary)))))
+    turned = F.transform(room, lambda x: interval(-x["hi"], -x["lo"]))
+    sunk = relax(least.where("v IS NOT NULL").select(*key, "k", "node", "at", turned.alias("domain")))
+    chosen = sunk.select(*key, "k", (-F.col("v")).alias("depth_mm"))
+    return placed.select(*key, "k", "node", "s", "e").join(least.select(*key, "k", F.col("v").alias("least_mm")), [*key, "k"]).join(chosen, [*key, "k"], "left")
 
 
 def close_profiles(points: DataFrame, key: str = "route") -> DataFrame:
-    """Depth of every point (route, station_mm, domain: array of (lo, hi) in mm) under the slope limit: the least one and
-    the preferred one. Each route is a chain of its own."""
-    kind = points.schema[key].dataType.simpleString()
-
-    def kernel(table: pd.DataFrame) -> list[tuple]:
-        stations = table.station_mm.tolist()
-        domains = [[(int(d["lo"]), int(d["hi"])) for d in ds] for ds in table.domain]
-        links = [(i, i + 1, int((b - a) * SLOPE)) for i, (a, b) in enumerate(zip(stations, stations[1:], strict=False))]
-        least = least_depths(domains, links)
-        chosen = prefer_ordinary(domains, links, least) if least else None
-        none = [None] * len(stations)
-        return list(zip(table[key], stations, least or none, chosen or none, strict=True))
-
-    return map_groups(points, key, ["station_mm"], kernel, f"{key} {kind}, station_mm long, least_mm long, depth_mm long", [key, "station_mm", "least_mm", "depth_mm"])
+    """Depth of every point (route, station_mm, domain) of routes that are profiles of their own: the least one and the
+    preferred one, null where a route has none."""
+    w = Window.partitionBy(key).orderBy("station_mm")
+    named = points.select(F.col(key).alias("network"), F.col(key).alias("edge"), F.lit(None).cast("string").alias("node"), F.col("station_mm").cast("long").alias("s"), F.col("station_mm").cast("long").alias("e"), F.col("domain").cast(DOMAIN).alias("domain"), (F.row_number().over(w) - 1).alias("k"))
+    return network_depths(named).select(F.col("network").alias(key), F.col("s").alias("station_mm"), "least_mm", "depth_mm")
 
 
 def profile_issues(profile: DataFrame, key: str = "route", least: int = 700, greatest: int = 50_000) -> DataFrame:

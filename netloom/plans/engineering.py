@@ -232,14 +232,65 @@ w AS (SELECT *, least(hi, greatest(least, 3000)) AS cap, bool_and(least <= hi) O
 SELECT route, CAST(seq * 15000 AS BIGINT) AS station_mm, CAST(CASE WHEN fits THEN least ELSE -1 END AS BIGINT) AS least_mm, CAST(CASE WHEN fits THEN deepest ELSE -1 END AS BIGINT) AS depth_mm FROM u"""
 )
 def depth_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least and preferred depth profiles under the slope limit. With one interval a point both have a closed form,
-    which the SQL states; several intervals are searched exhaustively in the tests."""
+    """Least and preferred depth profiles under the slope limit. With one interval a point both have a closed form, which the SQL
+    states."""
     v = role(spark, sf_dir, "vertices")
     lo, hi = (700 + F.col("x") * 3).cast("long"), (2000 + F.col("y") * 4 + F.col("x") * 3).cast("long")
     found = depth.close_profiles(v.select("route", (F.col("seq") * 15_000).cast("long").alias("station_mm"), F.array(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("domain")))
     return found.fillna({"least_mm": -1, "depth_mm": -1})
 
 
+#: Crossings, floors and pins of the forest's edges, the same in both engines: lengths in mm, stretches of 4 m in the middle.
+NETWORK_LINES = "SELECT network, node, CAST(floor(node / 2) AS BIGINT) AS up, CAST(length * 1000 AS BIGINT) AS length, CAST(floor(CAST(length * 500 AS BIGINT)) AS BIGINT) AS mid, 900 + (node * 37 + network) % 5 * 500 AS top, CASE WHEN node % 2 = 0 THEN 500 ELSE 200 END AS clearance, CASE WHEN node % 3 = 0 THEN 315 WHEN node % 3 = 1 THEN 180 ELSE 125 END AS height FROM forest"
+RELAXED = """{name}(k, network, v, d) AS (
+  SELECT 0, network, v, d FROM {start}
+  UNION ALL
+  SELECT s.k + 1, s.network, s.v, coalesce((SELECT min(greatest(i.lo, w)) FROM (SELECT unnest(p.domain) AS i) WHERE i.hi >= w), 1000000000)
+  FROM (SELECT s.k, s.network, s.v, greatest(s.d, coalesce(max(t.d - l.gap), s.d)) AS w, any_value(s.d) AS d FROM {name} s LEFT JOIN link l ON l.network = s.network AND l.a = s.v LEFT JOIN {name} t ON t.network = l.network AND t.v = l.b
+        WHERE s.k < 40 GROUP BY s.k, s.network, s.v, s.d) s JOIN {points} p ON p.network = s.network AND p.v = s.v
+)"""
+
+
+@query(
+    role_sql("forest")
+    + f""", line AS ({NETWORK_LINES}),
+floor_at AS (SELECT network, node, CAST(0 AS BIGINT) AS s, mid AS e, 1000 AS depth FROM line WHERE node % 3 = 1 UNION ALL SELECT network, node, mid - mid % 10, length, 1200 FROM line WHERE node % 6 = 1),
+stretch AS (SELECT network, node, mid - 2000 AS s, mid + 2000 AS e, top - clearance - height AS above, top + 300 + clearance AS below,
+  (SELECT max(depth) FROM floor_at f WHERE f.network = line.network AND f.node = line.node AND f.s <= line.mid + 2000 AND f.e >= line.mid - 2000) AS least FROM line WHERE length >= 8000),
+corner AS (SELECT DISTINCT f.network, f.node, place, (SELECT max(depth) FROM floor_at g WHERE g.network = f.network AND g.node = f.node AND g.s <= place AND g.e >= place) AS least
+  FROM (SELECT network, node, unnest([s, e]) AS place FROM floor_at) f LEFT JOIN stretch t ON t.network = f.network AND t.node = f.node AND place BETWEEN t.s AND t.e WHERE t.network IS NULL),
+point AS (
+  SELECT network, node AS edge, 'n' || up AS v, 0 AS o, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, [{{'lo': 700, 'hi': 6000}}] AS domain FROM line
+  UNION ALL SELECT network, node, 'n' || node, 2, length, length, [{{'lo': CASE WHEN node = 7 AND network % 3 = 0 THEN 2000 ELSE 700 END, 'hi': CASE WHEN node = 7 AND network % 3 = 0 THEN 2000 ELSE 6000 END}}] FROM line
+  UNION ALL SELECT network, node, 'c' || node, 1, s, e, list_filter([{{'lo': greatest(700, coalesce(least, 0)), 'hi': least(6000, above)}}, {{'lo': greatest(700, below, coalesce(least, 0)), 'hi': 6000}}], lambda i: i.lo <= i.hi) FROM stretch
+  UNION ALL SELECT network, node, 'f' || node || ' ' || place, 1, place, place, [{{'lo': least, 'hi': 6000}}] FROM corner),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY network, edge ORDER BY o, s) - 1 AS k FROM point),
+pair AS (SELECT network, v AS b, lag(v) OVER w AS a, CAST(floor((s - lag(e) OVER w) / 10) AS BIGINT) AS gap FROM ordered WINDOW w AS (PARTITION BY network, edge ORDER BY k)),
+link AS MATERIALIZED (SELECT network, a, b, gap FROM pair WHERE a IS NOT NULL UNION ALL SELECT network, b, a, gap FROM pair WHERE a IS NOT NULL),
+own AS MATERIALIZED (SELECT network, v, any_value(domain) FILTER (WHERE len(domain) = 0 OR domain[1].lo > 700 OR domain[1].hi < 6000) AS narrow, any_value(domain) AS domain FROM ordered GROUP BY network, v),
+own2 AS MATERIALIZED (SELECT network, v, coalesce(narrow, domain) AS domain FROM own),
+start AS (SELECT network, v, coalesce(list_min(list_transform(domain, lambda i: i.lo)), 1000000000) AS d FROM own2),
+{RELAXED.format(name="up", start="start", points="own2")},
+least AS MATERIALIZED (SELECT network, v, d FROM up WHERE k = 40),
+bad AS (SELECT DISTINCT network FROM least WHERE d >= 500000000),
+turned AS MATERIALIZED (SELECT o.network, o.v, list_filter(list_transform(o.domain, lambda i: {{'lo': -least(i.hi, greatest(l.d, 3000)), 'hi': -greatest(i.lo, l.d)}}), lambda i: i.lo <= i.hi) AS domain FROM own2 o JOIN least l USING (network, v) WHERE o.network NOT IN (SELECT network FROM bad)),
+start2 AS (SELECT network, v, list_min(list_transform(domain, lambda i: i.lo)) AS d FROM turned),
+{RELAXED.format(name="down", start="start2", points="turned")}
+SELECT o.network, o.edge, CAST(o.k AS BIGINT) AS k, o.s, o.e, CAST(CASE WHEN b.network IS NULL THEN l.d ELSE -1 END AS BIGINT) AS least_mm, CAST(CASE WHEN b.network IS NULL THEN -f.d ELSE -1 END AS BIGINT) AS depth_mm
+FROM ordered o JOIN least l ON l.network = o.network AND l.v = o.v LEFT JOIN bad b ON b.network = o.network LEFT JOIN down f ON f.k = 40 AND f.network = o.network AND f.v = o.v"""
+)
+def network_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths of whole networks with shared nodes, utilities to pass above or below, floors and pinned nodes."""
+    t = spark.sql(NETWORK_LINES.replace("FROM forest", "FROM {forest}"), forest=role(spark, sf_dir, "forest"))
+    named = t.select("network", F.col("node").alias("edge"), "up", F.col("node").alias("down"), "length", "mid", "top", "clearance", "height")
+    crossings = named.where("length >= 8000").select("network", "edge", (F.col("mid") - 2000).alias("s"), (F.col("mid") + 2000).alias("e"), "top", (F.col("top") + 300).alias("bottom"), "clearance", "height")
+    half = named.where("edge % 3 = 1").select("network", "edge", F.lit(0).cast("long").alias("s"), F.col("mid").alias("e"), F.lit(1000).cast("long").alias("depth"))
+    rest = named.where("edge % 6 = 1").select("network", "edge", (F.col("mid") - F.col("mid") % 10).alias("s"), F.col("length").alias("e"), F.lit(1200).cast("long").alias("depth"))
+    pins = named.where("edge = 7 AND network % 3 = 0").select("network", F.col("edge").alias("node"), F.lit(2000).cast("long").alias("depth"))
+    found = depth.network_depths(depth.profile_points(named, crossings, half.unionByName(rest), pins, 700, 6000))
+    return found.select("network", "edge", F.col("k").cast("long").alias("k"), "s", "e", "least_mm", "depth_mm").fillna({"least_mm": -1, "depth_mm": -1})
+
+
 @query(
     role_sql("vertices")
     + """, p AS (SELECT route, seq AS point, CAST(seq * 1000 - x % 3 * 600 AS BIGINT) AS st, CAST(600 + x * 2 AS BIGINT) AS d FROM vertices), l AS (SELECT *, st - lag(st) OVER w AS ds, abs(d - lag(d) OVER w) AS dd FROM p WINDOW w AS (PARTITION BY route ORDER BY point))
