@@ -19,20 +19,22 @@ def map_groups(df: DataFrame, key: str, order: list[str], kernel: Callable[[pd.D
     """``kernel`` gets the rows of one key, sorted by ``order``, and returns result rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # of one key that may go on, put together once
         for frame in frames:
-            table = frame if held is None or not len(held) else pd.concat([held, frame], ignore_index=True)
-            if not len(table):
+            if not len(frame):
                 continue
-            values = table[key].to_numpy()
-            edges = np.flatnonzero(values[1:] != values[:-1]) + 1
-            if len(edges):
-                yield finish(table.iloc[: edges[-1]], edges[:-1])
-                held = table.iloc[edges[-1] :].reset_index(drop=True)
-            else:
-                held = table
-        if held is not None and len(held):
-            yield finish(held, np.zeros(0, int))
+            values = frame[key].to_numpy()
+            edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()]
+            if held and held[-1][key].iloc[-1] != values[0]:
+                yield finish(pd.concat(held, ignore_index=True), np.zeros(0, int))
+                held = []
+            if len(edges) > 1:
+                table = pd.concat([*held, frame.iloc[: edges[-1]]], ignore_index=True)
+                yield finish(table, np.array(edges[1:-1], int) + (len(table) - edges[-1]))
+                held = []
+            held.append(frame.iloc[edges[-1] :])
+        if held:
+            yield finish(pd.concat(held, ignore_index=True), np.zeros(0, int))
 
     def finish(table: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
         rows: list[tuple] = []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, geometry
-from ..operators import catalog, evaluate, lines, obstacles, statistics, topology, validate
+from ..operators import catalog, evaluate, lines, obstacles, polygons, statistics, topology, validate
 from ..operators import inspect as inspection
 from .network import ECON, PRICED, doubles, longs
 from .network import ORACLES as NETWORK
@@ -59,6 +59,30 @@ def geometry_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspection.geometry_issues(a.select(F.col("obstacle").alias("feature_index"), ring.alias("ring")), 1.0)
 
 
+@query(
+    role_sql("areas")
+    + """, k AS (SELECT obstacle AS feature_index, obstacle % 12 AS c FROM areas)
+SELECT feature_index, CASE c WHEN 1 THEN 'HOLE_OUTSIDE_SHELL' WHEN 2 THEN 'SELF_INTERSECTION' WHEN 3 THEN 'NESTED_HOLES' WHEN 4 THEN 'DISCONNECTED_INTERIOR' WHEN 5 THEN 'NESTED_SHELLS' WHEN 6 THEN 'SELF_INTERSECTION' WHEN 7 THEN 'EMPTY_GEOMETRY' WHEN 8 THEN 'OPEN_RING' END AS code
+FROM k WHERE c BETWEEN 1 AND 8"""
+)
+def polygon_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-polygons with holes around every area. Sound ones stand at 0 and 9 to 11: a hole, a hole that touches its shell once,
+    a part in another's hole, two parts that touch at a corner."""
+    a = role(spark, sf_dir, "areas").select(F.col("obstacle").alias("feature_index"), "mx", "my", (F.col("obstacle") % 12).alias("c"))
+    ring = lambda *at: F.array(*[F.struct((F.col("mx") + x).alias("x"), (F.col("my") + y).alias("y")) for x, y in at])
+    box = lambda x, y, w: ring((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))
+    shell = box(0, 0, 20)
+    cases = [
+        F.array(F.array(shell, box(5, 5, 3))), F.array(F.array(shell, box(30, 5, 3))), F.array(F.array(shell, box(15, 5, 10))), F.array(F.array(shell, box(5, 5, 10), box(7, 7, 2))),
+        F.array(F.array(shell, ring((0, 10), (10, 0), (10, 10), (0, 10)))), F.array(F.array(shell), F.array(box(5, 5, 5))), F.array(F.array(ring((0, 0), (10, 10), (10, 0), (0, 10), (0, 0)))), F.array(F.array(ring((0, 0), (9, 0), (0, 0)))),
+        F.array(F.array(ring((0, 0), (9, 0), (9, 9), (0, 9)))), F.array(F.array(shell, ring((0, 10), (5, 8), (5, 12), (0, 10)))), F.array(F.array(shell, box(2, 2, 15)), F.array(box(5, 5, 5))), F.array(F.array(shell), F.array(box(20, 20, 5))),
+    ]
+    parts = F.when(F.col("c") == 0, cases[0])
+    for c, case in enumerate(cases[1:], 1):
+        parts = parts.when(F.col("c") == c, case)
+    return polygons.polygon_issues(a.select("feature_index", parts.alias("parts")), 8.0, (1e6, 1e6))
+
+
 @query("SELECT * FROM (" + NETWORK["inspect_issues"] + ") WHERE code NOT IN ('MISSING_EXISTING_NETWORK_VALUE', 'MISSING_EXISTING_NETWORK_LINK', 'MISSING_CHAMBER_DIAMETER') ORDER BY feature_index, code, feature_id LIMIT 100")
 def first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first errors of a report in a total order, here 100; warnings don't count."""

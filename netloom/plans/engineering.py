@@ -139,13 +139,18 @@ def road_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.road_crossing_issues(rows)
 
 
-@query(f"WITH x AS (SELECT diameter, row_number() OVER (ORDER BY diameter) AS n FROM {P}), y AS (SELECT type FROM {C}) SELECT y.type, CAST(x.diameter AS BIGINT) AS diameter, (CASE WHEN y.type = 'oks' THEN CASE WHEN diameter < 500 THEN 5000 WHEN diameter < 900 THEN 7000 ELSE 9000 END WHEN y.type IN ('gas_pipeline','power_cable') THEN 2000 WHEN y.type IN ('road','tram_tracks') THEN 1500 ELSE 1000 END) + CAST([400,430,470,510,600,650,880,1050,1150,1370,1670,1850,2050,2250,2450,2650,3100,3450][n] / 2 AS BIGINT) + CASE y.type WHEN 'gas_pipeline' THEN 200 WHEN 'power_cable' THEN 100 WHEN 'heat_network' THEN 200 ELSE 0 END AS clearance_mm FROM x, y")
+@query(
+    role_sql("spans", "variant_edges")
+    + f""", x AS (SELECT diameter, row_number() OVER (ORDER BY diameter) AS n, max_flow FROM {P}), e AS (SELECT v.variant, v.edge, s.type, (SELECT min(diameter) FROM x WHERE max_flow >= v.flow * (1 + v.variant % 300)) AS diameter FROM variant_edges v JOIN spans s ON s.route = v.variant AND s.span = v.edge)
+SELECT e.variant, e.edge, e.type, CAST(e.diameter AS BIGINT) AS diameter, (CASE WHEN e.type = 'gas_pipeline' THEN 2000 WHEN e.type = 'road' THEN 1500 ELSE 1000 END) + CAST([400,430,470,510,600,650,880,1050,1150,1370,1670,1850,2050,2250,2450,2650,3100,3450][n] / 2 AS BIGINT) + CASE e.type WHEN 'gas_pipeline' THEN 200 WHEN 'heat_network' THEN 200 ELSE 0 END AS clearance_mm FROM e JOIN x ON x.diameter = e.diameter"""
+)
 def axis_clearances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clearance of every pipe to every constraint type beside an existing DU 50 pair; both catalogs are fixed and small."""
-    both = dims.constraints(spark).crossJoin(dims.pipes(spark).select("diameter", "pair_width"))
-    half = F.col("pair_width").cast("double") / 2
-    c = geometry.axis_clearance(F.col("type"), F.col("horizontal"), dims.building_clearance(F.col("diameter")), half, F.lit(0.2))
-    return longs(both.select("type", "diameter", geometry.half_up(c).alias("clearance_mm")), "diameter")
+    """how far the axis of every edge, at its pipe, must keep from what it passes, beside an existing DU 50 pair."""
+    flow = (F.col("flow") * (1 + F.col("variant") % 300)).cast(dims.FLOW)
+    e = role(spark, sf_dir, "variant_edges").withColumn("diameter", dims.diameter_for(flow)).join(role(spark, sf_dir, "spans").select(F.col("route").alias("variant"), F.col("span").alias("edge"), "type"), ["variant", "edge"])
+    known = e.join(F.broadcast(dims.constraints(spark).select("type", "horizontal")), "type").join(F.broadcast(dims.pipes(spark).select("diameter", "pair_width")), "diameter")  # fixed catalogs
+    c = geometry.axis_clearance(F.col("type"), F.col("horizontal"), dims.building_clearance(F.col("diameter")), F.col("pair_width").cast("double") / 2, F.lit(0.2))
+    return longs(known.select("variant", "edge", "type", "diameter", geometry.half_up(c).alias("clearance_mm")), "diameter")
 
 
 @query(
@@ -369,6 +374,19 @@ def corridor_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.corridor_grid(v, b).groupBy(F.col("problem").alias("route")).agg(F.count("*").alias("n"), F.sum(F.col("x") + F.col("y")).alias("total"))
 
 
+@query(
+    role_sql("vertices", "spans")
+    + """, b AS (SELECT route % 10 AS p, route % 1000 * 50 + s AS x1, route % 1000 * 50 + e AS x2, s AS y1, s + 30 AS y2 FROM spans), ax AS (SELECT route % 10 AS p, CAST(route % 1000 * 50 + x AS DOUBLE) AS v FROM vertices UNION SELECT p, CAST(x1 AS DOUBLE) FROM b UNION SELECT p, CAST(x2 AS DOUBLE) FROM b), ay AS (SELECT route % 10 AS p, CAST(y AS DOUBLE) AS v FROM vertices UNION SELECT p, CAST(y1 AS DOUBLE) FROM b UNION SELECT p, CAST(y2 AS DOUBLE) FROM b),
+c AS (SELECT p, 'x' AS axis, count(DISTINCT floor(v / 2.5)) AS found FROM ax GROUP BY p UNION ALL SELECT p, 'y', count(DISTINCT floor(v / 2.5)) FROM ay GROUP BY p) SELECT p, axis, found, 'AXES_TRUNCATED' AS code FROM c WHERE found > 96"""
+)
+def truncated_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9, C-4: districts of many routes, whose grids can't have all of their axes."""
+    shift = F.col("route") % 1000 * 50
+    v = role(spark, sf_dir, "vertices").select((F.col("route") % 10).alias("p"), (shift + F.col("x")).alias("x"), "y")
+    b = role(spark, sf_dir, "spans").select((F.col("route") % 10).alias("p"), (shift + F.col("s")).alias("x1"), (shift + F.col("e")).alias("x2"), F.col("s").alias("y1"), (F.col("s") + 30).alias("y2"))
+    return catalog.truncated_grids(v, b, "p")
+
+
 @query(
     """WITH o AS (SELECT l_orderkey AS problem, l_linenumber % 3 AS slot, l_partkey AS opt, min(CAST(l_quantity AS BIGINT)) AS cost FROM lineitem GROUP BY 1, 2, 3),
 a AS (SELECT * FROM o WHERE slot = 0), b AS (SELECT * FROM o WHERE slot = 1), c AS (SELECT * FROM o WHERE slot = 2), s AS (SELECT problem, count(DISTINCT slot) AS n FROM o GROUP BY problem)

@@ -91,13 +91,21 @@ def by_ids(features: DataFrame, ids: DataFrame, key: str = "feature_id") -> Data
 
 
 def routing_window(features: DataFrame, anchors: DataFrame, margin: float = WINDOW_MARGIN_M) -> DataFrame:
-    """Core features and everything that meets the anchors' box widened by the margin, once each. The box is one
-    aggregated row of four numbers; put into the filter as values it is pushed to the scan."""
+    """Core features and everything that meets the anchors' box widened by the margin, once each; rows of one id that differ raise
+    CONFLICTING_FEATURE. The box is one aggregated row of four numbers; put into the filter as values it is pushed to the scan."""
     box = anchors.agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
     if box[0] is None:
         return typed(features)
     near = in_window(features, box[0] - margin, box[1] - margin, box[2] + margin, box[3] + margin)
-    return typed(features).unionByName(near).dropDuplicates(["feature_id"])
+    return once(typed(features).unionByName(near))
+
+
+def once(features: DataFrame, key: str = "feature_id") -> DataFrame:
+    """One row of each key; CONFLICTING_FEATURE if two rows of a key are not equal."""
+    row = F.struct(*features.columns)
+    both = features.groupBy(key).agg(F.min(row).alias("low"), F.max(row).alias("high"))
+    conflict = F.raise_error(F.concat(F.lit("CONFLICTING_FEATURE "), F.col(key).cast("string")))
+    return both.select(F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(conflict).alias("row")).select("row.*")
 
 
 def map_view(features: DataFrame, rings: DataFrame, minx: float, miny: float, maxx: float, maxy: float, limit: int = MAP_LIMIT) -> DataFrame:
