@@ -325,14 +325,16 @@ def greedy(alive: DataFrame, compare: Comparison, similarity: float) -> DataFram
     of each key with its later ones, so a key of n rows costs a multiple of n. A row that was a pivot of all its keys has
     met all its candidates; it stays once no undecided smaller id is near it, and rows near it go. Decided rows leave, and
     the smallest undecided row is decided in every round."""
-    fits = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9
+    fits = lambda m, n: F.least(m, n) >= F.lit(similarity) * F.greatest(m, n) - 1e-9
     gone, n_pivots = [], PIVOTS
     while not alive.isEmpty():
         first = alive.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= n_pivots)  # limited before the exchange, too
         pivots = first.groupBy("key").agg(F.collect_list(F.struct(F.col("id").alias("a"), F.col("n").alias("m"))).alias("pivots"), F.max("id").alias("bar"))
         ranked = durable(spread_join(alive, pivots, ["key"], F.col("id"), RUNS), "ranked")
-        one = ranked.select("id", "n", F.explode("pivots").alias("p")).select(F.col("p.a").alias("a"), F.col("id").alias("b"), F.col("p.m").alias("m"), "n").where("a < b")
-        pairs = durable(one.where(fits).select("a", "b").distinct(), "pairs")
+        # a row meets a pivot once, in however many keys
+        earlier = F.filter("pivots", lambda p: (p["a"] < F.col("id")) & fits(p["m"], F.col("n")))
+        met = ranked.groupBy("id", "n").agg(F.array_distinct(F.flatten(F.collect_list(earlier))).alias("pivots"))
+        pairs = durable(met.select(F.col("id").alias("b"), F.explode("pivots.a").alias("a")).select("a", "b").distinct(), "pairs")
         near = compare(pairs)
         state = durable(ranked.groupBy("id").agg(F.bool_or(F.col("id") > F.col("bar")).alias("late")), "undecided")
         waiting, open_ids = state.where("late").select("id"), state.select("id")
