@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, geometry
 from ..functions.dims import constraints_sql, pipes_sql
-from ..operators import catalog, depth, economics, reconstruct, routing, sizing, solve, statistics, topology, validate
+from ..operators import catalog, depth, economics, pieces, reconstruct, routing, sizing, solve, statistics, topology, validate
 from ..sources import features as sources
 from ..streaming import jobs
 from .network import doubles, longs
@@ -314,6 +314,75 @@ def node_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depth.node_depth_issues(e.select(F.explode(F.array((F.col("variant") * 10 + F.col("up_node")), (F.col("variant") * 10 + F.col("down_node")))).alias("node"), (F.col("flow").cast("long") % 5).alias("depth_mm")))
 
 
+# ---- export pieces ------------------------------------------------------------------------------------------------
+#: A route of each order: crossings and length from its lines, depth 2.0 to 5.5 m at both ends and in the middle.
+PIECE_ROUTES = "SELECT route, CAST(max(e) + 1 AS BIGINT) * 1000 AS length, CAST(route % 400 AS DECIMAL(18,3)) AS flow FROM spans GROUP BY route"
+PIECE_SQL = f""", r AS (SELECT *, (SELECT min(diameter) FROM {P} WHERE max_flow >= r.flow) AS diameter FROM ({PIECE_ROUTES}) r),
+x AS (SELECT o.route, o.type, o.span AS id, o.s % 91 AS angle, greatest(0, o.s * 1000 - CASE WHEN type = 'road' THEN 3000 ELSE 2000 END) AS s, least(r.length, o.e * 1000 + CASE WHEN type = 'road' THEN 3000 ELSE 2000 END) AS e FROM spans o JOIN r USING (route)),
+prof AS (SELECT route, CAST(0 AS BIGINT) AS st, 2000 + route % 8 * 500 AS d FROM r WHERE route % 10 > 0 UNION ALL SELECT route, length - length % 2000 - CAST((length - length % 2000) / 2 AS BIGINT), 2000 + route % 5 * 700 FROM r WHERE route % 10 > 0 UNION ALL SELECT route, length, 2000 + route % 7 * 550 FROM r WHERE route % 10 > 0),
+leg0 AS (SELECT * FROM (SELECT route, st AS s, lead(st) OVER w AS e, d AS ds, lead(d) OVER w AS de FROM prof WINDOW w AS (PARTITION BY route ORDER BY st)) WHERE e > s),
+leg1 AS (SELECT *, CASE WHEN (ds - 3000) * (de - 3000) < 0 THEN CAST(floor(s + (e - s) * ((3000 - ds) / CAST(de - ds AS DOUBLE)) + 0.5) AS BIGINT) END AS m FROM leg0),
+leg AS (SELECT route, s, e, ds, de FROM leg1 WHERE m IS NULL OR m <= s OR m >= e UNION ALL SELECT route, s, m, ds, 3000 FROM leg1 WHERE m > s AND m < e UNION ALL SELECT route, m, e, 3000, de FROM leg1 WHERE m > s AND m < e),
+cutting AS (SELECT route, s AS a FROM x UNION SELECT route, e FROM x UNION SELECT route, s FROM leg UNION SELECT route, e FROM leg UNION SELECT route, 0 FROM r UNION SELECT route, length FROM r),
+piece AS (SELECT * FROM (SELECT route, a, lead(a) OVER w AS b, row_number() OVER w AS i FROM cutting WINDOW w AS (PARTITION BY route ORDER BY a)) WHERE b IS NOT NULL),
+typed AS (SELECT p.route, p.i, string_agg(DISTINCT x.type, '+' ORDER BY x.type) AS types, min(x.angle) AS angle, count(DISTINCT x.id) AS ids FROM piece p JOIN x ON x.route = p.route AND x.s <= p.a AND x.e >= p.b GROUP BY p.route, p.i),
+deep AS (SELECT p.route, p.i, CAST(floor(ds + (de - ds) * ((p.a - l.s) / CAST(l.e - l.s AS DOUBLE)) + 0.5) AS BIGINT) AS d0, CAST(floor(ds + (de - ds) * ((p.b - l.s) / CAST(l.e - l.s AS DOUBLE)) + 0.5) AS BIGINT) AS d1 FROM piece p JOIN leg l ON l.route = p.route AND l.s <= p.a AND l.e >= p.b),
+priced_piece AS (SELECT p.route, p.i, p.a, p.b, coalesce(t.types, 'base') AS types, t.angle, coalesce(t.ids, 0) AS ids, r.diameter, r.length, coalesce(d.d0, 3000) AS d0, coalesce(d.d1, 3000) AS d1,
+  round(CAST(c.rate AS DECIMAL(20,0)) * CAST(p.b - p.a AS DECIMAL(8,0)) * CAST(CASE WHEN t.types LIKE '%road%' THEN 1.60 WHEN t.types LIKE '%gas%' THEN 1.25 WHEN t.types IS NOT NULL THEN 1.05 ELSE 1 END AS DECIMAL(4,2)) * CAST(20000 + greatest(0, coalesce(d.d0 + d.d1, 6000) - 6000) AS DECIMAL(6,0)) * CAST(0.00000005 AS DECIMAL(9,8)), 2) AS cost
+  FROM piece p JOIN r USING (route) JOIN {P} c ON c.diameter = r.diameter LEFT JOIN typed t ON t.route = p.route AND t.i = p.i LEFT JOIN deep d ON d.route = p.route AND d.i = p.i)"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    spans = role(spark, sf_dir, "spans")
+    routes = spark.sql(PIECE_ROUTES.replace("FROM spans", "FROM {spans}"), spans=spans).withColumn("diameter", dims.diameter_for(F.col("flow")))
+    metres = lambda c: (F.col(c) * 1000).alias(c)
+    crossings = spans.select("route", metres("s"), metres("e"), "type", F.col("span").alias("id"), (F.col("s") % 91).alias("angle"))
+    r, even = F.col("route"), F.col("length") - F.col("length") % 2000
+    points = F.array(*[F.struct(at.cast("long").alias("station"), d.cast("long").alias("depth")) for at, d in ((F.lit(0), 2000 + r % 8 * 500), (even - even / 2, 2000 + r % 5 * 700), (F.col("length"), 2000 + r % 7 * 550))])
+    profile = routes.where("route % 10 > 0").select("route", F.explode(points).alias("p")).select("route", "p.*")
+    return pieces.route_pieces(routes, crossings, profile, dims.pipes(spark)), routes
+
+
+@query(role_sql("spans") + PIECE_SQL + " SELECT route, CAST(i AS BIGINT) AS i, a, b, types, CAST(coalesce(angle, -1) AS BIGINT) AS angle, ids, CAST(diameter AS BIGINT) AS diameter, d0, d1, CAST(cost AS DOUBLE) AS cost FROM priced_piece")
+def route_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crossings with their extensions, depth and its cost steps laid over each route, every piece priced."""
+    found, _ = _pieces(spark, sf_dir)
+    ids = F.when(F.col("ids") == "", 0).otherwise(F.size(F.split("ids", r"\+"))).cast("long")
+    return longs(doubles(found.select("route", "i", "a", "b", "types", F.coalesce("angle", F.lit(-1)).cast("long").alias("angle"), ids.alias("ids"), "diameter", F.col("depth_start").alias("d0"), F.col("depth_end").alias("d1"), "cost"), "cost"), "i", "diameter")
+
+
+@query(
+    role_sql("spans")
+    + PIECE_SQL
+    + """, f AS (SELECT route % 50 AS variant, 'heat_network' AS object_type, CASE WHEN a = 0 THEN concat(route % 50, ':n', route) ELSE concat(route % 50, ':', route, ':', a) END AS start_node, CASE WHEN b = length THEN concat(route % 50, ':n', route + 1) ELSE concat(route % 50, ':', route, ':', b) END AS end_node, b - a AS length_mm, cost FROM priced_piece
+UNION ALL SELECT route % 50, 'technical_node', NULL, NULL, NULL, NULL FROM priced_piece WHERE b < length)
+SELECT variant, object_type, count(*) AS n, count(DISTINCT start_node) AS starts, count(DISTINCT end_node) AS ends, CAST(coalesce(sum(length_mm), -1) AS BIGINT) AS length_mm, CAST(coalesce(sum(cost), -1) AS DOUBLE) AS cost FROM f GROUP BY variant, object_type"""
+)
+def piece_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces as pipes and technical nodes, added up by variant."""
+    found, routes = _pieces(spark, sf_dir)
+    r = F.col("route")
+    features = pieces.piece_features(found, routes.withColumns({"variant": r % 50, "up_node": r, "down_node": r + 1}))
+    return doubles(features.groupBy("variant", "object_type").agg(F.count("*").alias("n"), F.count_distinct("start_node").alias("starts"), F.count_distinct("end_node").alias("ends"), F.sum("length_mm").alias("length_mm"), F.sum("cost").alias("cost")), "cost").fillna({"length_mm": -1, "cost": -1.0})
+
+
+@query(
+    role_sql("spans")
+    + PIECE_SQL
+    + """, s AS (SELECT route % 50 AS variant, CAST(sum(cost) AS DECIMAL(30,2)) AS pipes FROM priced_piece GROUP BY 1)
+SELECT variant, CAST(pipes + 8000000 AS DOUBLE) AS pieces, CAST(pipes + 8000000 + CASE WHEN variant % 9 = 0 THEN 0.01 ELSE 0 END AS DOUBLE) AS declared FROM s WHERE variant % 9 = 0"""
+)
+def unreconciled_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants whose declared construction cost is a kopeck off the sum of their pieces."""
+    found, routes = _pieces(spark, sf_dir)
+    r, off = F.col("route"), F.when(F.col("variant") % 9 == 0, F.lit("0.01")).otherwise("0").cast("decimal(3,2)")
+    named = routes.withColumns({"variant": r % 50, "up_node": r, "down_node": r + 1})
+    whole = found.join(named.select("route", "variant"), "route").groupBy("variant").agg(F.sum("cost").alias("pipes"))
+    money = lambda v: F.lit(v).cast("decimal(12,2)")
+    declared = whole.select("variant", money(3_000_000).alias("chambers"), money(5_000_000).alias("tie_in_cost"), (F.col("pipes") + 8_000_000 + off).cast(dims.MONEY).alias("construction"))
+    return doubles(pieces.unreconciled(pieces.piece_features(found, named), declared), "pieces", "declared")
+
+
 # ---- reconstruction -----------------------------------------------------------------------------------------------
 @query(
     role_sql("tree")
