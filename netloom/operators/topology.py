@@ -75,7 +75,7 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = MAX_CANDIDATES, *, p
     width = max(extent[2], spread[1]) - min(extent[1], spread[0]) + 1
     height = max(extent[4], spread[3]) - min(extent[3], spread[2]) + 1
     radius = first_radius(targets, "x", "y", k, (extent[2] - extent[1], extent[4] - extent[3]), extent[0])
-    todo, done = points.select(*keys, "x", "y"), []
+    todo, done = points.select(*dict.fromkeys([*keys, "x", "y"])), []  # what is carried may be a coordinate
     right = targets.select(target, "x", "y")
     rank = F.row_number().over(Window.partitionBy(point).orderBy("distance2", target))
     while True:
