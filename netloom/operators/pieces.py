@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import MONEY
 from .economics import crossing_multiplier
+from .lineage import cut
 
 #: Metres by which the special method goes on beyond a crossing.
 EXTENSION_M = {"road": 3, "tram_tracks": 3, "gas_pipeline": 2, "power_cable": 2, "heat_network": 2}
@@ -69,10 +70,9 @@ def route_pieces(routes: DataFrame, crossings: DataFrame, profile: DataFrame, ra
     the pieces of routes (route, length, diameter) by crossings (route, s, e, type, id, angle), with their extensions, and depth
     profiles (route, station, depth); a route without a profile lies at the ordinary depth. Every common part of crossings
     is a piece of its own."""
-    special = extended(crossings, routes, key)
-    legs = profile_legs(profile, key)
+    special, legs = cut(extended(crossings, routes, key)), cut(profile_legs(profile, key))
     whole = routes.select(key, F.lit(0).cast("long").alias("s"), F.col("length").alias("e"))
-    cuts = numbered_cuts([whole, special, legs], key)
+    cuts = cut(numbered_cuts([whole, special, legs], key))  # read by every layer
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "+")
     named = over_pieces(special, cuts, key).groupBy(key, "i").agg(joined("type").alias("types"), joined(F.col("id").cast("string")).alias("ids"), F.min("angle").alias("angle"))
     deep = over_pieces(legs, cuts, key).join(cuts, [key, "i"])
