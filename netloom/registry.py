@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import details, engineering, network, obstacles, search
+from .plans import details, engineering, network, obstacles, rings, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | engineering.QUERIES | obstacles.QUERIES | details.QUERIES | search.QUERIES
-ORACLES: dict[str, str] = network.ORACLES | engineering.ORACLES | obstacles.ORACLES | details.ORACLES | search.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = network.QUERIES | engineering.QUERIES | obstacles.QUERIES | details.QUERIES | search.QUERIES | rings.QUERIES
+ORACLES: dict[str, str] = network.ORACLES | engineering.ORACLES | obstacles.ORACLES | details.ORACLES | search.ORACLES | rings.ORACLES
 FLAGSHIP = "network_slice"
