@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import boxes_overlap, point_segment_distance
+from ..functions.geometry import boxes_overlap
 from .lineage import cut
 from .polygons import rings_around
 from .topology import box_cells, cells, within_distance
@@ -36,14 +36,14 @@ def turns(quadrant: int) -> list[tuple[int, bool, float, float]]:
 
 
 def capsules(sides: DataFrame, quadrant: int) -> DataFrame:
-    """``sides`` (feature_index, piece, distance, ax, ay, bx, by) with ``corners``, counter-clockwise. A side of no length gives a disc; a
+    """``sides`` (feature_index, piece, distance, ax, ay, bx, by) with their direction (ux, uy) and ``corners``, counter-clockwise. A side of no length gives a disc; a
     distance that is null or not above zero, or a coordinate that is null, gives no row."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     n = F.sqrt(dx * dx + dy * dy)
     unit = sides.where("distance > 0").withColumns({"ux": F.when(n == 0, 1.0).otherwise(dx / n), "uy": F.when(n == 0, 0.0).otherwise(dy / n)}).where("ux IS NOT NULL")
     ux, uy, d = F.col("ux"), F.col("uy"), F.col("distance")
     corner = lambda end, c, s: F.struct((F.col("bx" if end else "ax") + d * (ux * c - uy * s)).alias("x"), (F.col("by" if end else "ay") + d * (ux * s + uy * c)).alias("y"))
-    return unit.withColumn("corners", F.array(*[corner(end, c, s) for _, end, c, s in turns(quadrant)])).drop("ux", "uy")
+    return unit.withColumn("corners", F.array(*[corner(end, c, s) for _, end, c, s in turns(quadrant)]))
 
 
 def edges_of(shapes: DataFrame) -> DataFrame:
@@ -103,21 +103,22 @@ def covered(pieces: DataFrame, shapes: DataFrame, cell: float, quadrant: int) ->
     asked = pieces.select(*EDGE, "no", mx.alias("mx"), my.alias("my"), (F.col("bx") - F.col("ax")).alias("dx"), (F.col("by") - F.col("ay")).alias("dy"))
     asked = asked.withColumn("cell", cells(F.col("mx"), F.col("my"), cell))
     spread = shapes.withColumn("cell", F.explode(box_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), cell, F.col("distance") + NEAR)))
-    shape = spread.select("feature_index", "cell", F.col("piece").alias("o_piece"), "ax", "ay", "bx", "by", "distance", "corners")
-    gap = point_segment_distance(F.col("mx"), F.col("my"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    pair = asked.join(shape, ["feature_index", "cell"]).where("piece <> o_piece").withColumn("gap", gap).where(F.col("gap") <= F.col("distance") + NEAR)
-
-    def reach(v: Column, i: Column) -> Column:
-        w = F.element_at("corners", ((i + 1) % F.size("corners") + 1).cast("int"))
-        ex, ey = w["x"] - v["x"], w["y"] - v["y"]
-        n = F.sqrt(ex * ex + ey * ey)
-        return F.when(n > NEAR, F.struct(((ex * (F.col("my") - v["y"]) - ey * (F.col("mx") - v["x"])) / n).alias("depth"), (ex * F.col("dx") + ey * F.col("dy")).alias("along")))
-
-    # the corners decide only between the chords and the arcs; an array of one keeps the least reach from being worked out more than once
-    least = F.array(F.array_min(F.array_compact(F.transform("corners", reach))))
-    hidden = lambda r: (r["depth"] > NEAR) | ((r["depth"] >= -NEAR) & ((r["along"] < 0) | (F.col("o_piece") < F.col("piece"))))
-    deep = F.col("gap") < F.col("distance") * cos(pi / (4 * quadrant)) - 2 * NEAR
-    return pair.where(F.when(deep, F.lit(True)).otherwise(F.exists(least, hidden))).select(*EDGE, "no").distinct()
+    shape = spread.select("feature_index", "cell", F.col("piece").alias("o_piece"), "ax", "ay", "bx", "by", "distance", "ux", "uy")
+    n = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    turned = lambda x, y: (x * F.col("ux") + y * F.col("uy"), F.col("ux") * y - F.col("uy") * x)
+    s, h = turned(F.col("mx") - F.col("ax"), F.col("my") - F.col("ay"))
+    du, dh = turned(F.col("dx"), F.col("dy"))
+    pair = asked.join(shape, ["feature_index", "cell"]).where("piece <> o_piece").select(*EDGE, "no", "o_piece", "distance", s.alias("s"), h.alias("h"), n.alias("n"), du.alias("du"), dh.alias("dh"))
+    # beyond an end, both seen from it with the side behind, the chord of the sector that a place lies in is the nearest edge
+    end, step = F.when(F.col("s") > F.col("n"), 1.0).otherwise(-1.0), pi / (2 * quadrant)
+    e, g = F.when(F.col("s") > F.col("n"), F.col("s") - F.col("n")).otherwise(-F.col("s")), end * F.col("h")
+    sector = F.least(F.lit(2 * quadrant - 1), F.greatest(F.lit(0), F.floor((F.atan2(g, e) + pi / 2) / step)))
+    middle = (sector + 0.5) * step - pi / 2
+    beside = F.col("s").between(0.0, F.col("n"))
+    pair = pair.withColumns({"beside": beside, "end": end, "e": e, "g": g, "middle": middle})
+    depth = F.when(F.col("beside"), F.col("distance") - F.abs("h")).otherwise(F.col("distance") * cos(step / 2) - F.col("e") * F.cos("middle") - F.col("g") * F.sin("middle"))
+    along = F.when(F.col("beside"), F.when(F.col("h") > 0, -F.col("du")).otherwise(F.col("du"))).otherwise(F.col("end") * (F.cos("middle") * F.col("dh") - F.sin("middle") * F.col("du")))
+    return pair.where((depth > NEAR) | ((depth >= -NEAR) & ((along < 0) | (F.col("o_piece") < F.col("piece"))))).select(*EDGE, "no").distinct()
 
 
 def boundary(sides: DataFrame, cell: float, quadrant: int = 8, polygon: DataFrame | None = None) -> DataFrame:
