@@ -194,11 +194,26 @@ def giant_ids(giants: DataFrame, data: bytes, chunk: int) -> DataFrame:
     longest = loaded(data).longest
     tasks = giants.agg(F.sum(F.ceil((F.char_length("text") + 1) / chunk))).first()[0]
     tasks = max(1, -(-(tasks or 0) // TASK_CHUNKS))
+    # windows are cut where the text is read, out of about as many blocks as each block has chunks: only they are exchanged, and no
+    # window is sought from the start of the whole text
     marked = giants.select("key", F.concat(F.lit(SPACE), F.translate("text", " ", SPACE)).alias("s")).withColumn("n", F.char_length("s"))
-    parts = marked.select("key", "s", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("k"))
-    begin = F.greatest(F.lit(0), F.col("k") * chunk - longest)
-    stop = F.least(F.col("n"), (F.col("k") + 1) * chunk)
-    windows = durable(parts.repartition(tasks, "key", "k").select(F.col("s").substr(begin + 1, stop + longest - begin).alias("window"), "key", "k", (F.col("k") * chunk - begin).cast("int").alias("entry"), (stop - begin).cast("int").alias("stop"), begin.cast("int").alias("begin")), "chunks")
+    marked = marked.withColumn("wide", (F.ceil(F.sqrt(F.col("n") / chunk)) * chunk).cast("int"))
+
+    def block(j):
+        lead = F.least(j * F.col("wide"), F.lit(longest)).cast("int")
+        return F.struct((j * F.col("wide")).cast("int").alias("at"), lead.alias("lead"), F.col("s").substr((j * F.col("wide") - lead + 1).cast("int"), lead + F.col("wide") + longest).alias("text"))
+
+    count = lambda n, size: F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
+    blocks = marked.select("key", "n", "wide", F.explode(F.transform(count(F.col("n"), F.col("wide")), block)).alias("b"))
+
+    def window(i):
+        first = F.col("b.at") + i * chunk
+        begin, stop = F.greatest(F.lit(0), first - longest), F.least(F.col("n"), first + chunk)
+        text = F.col("b.text").substr((begin - F.col("b.at") + F.col("b.lead") + 1).cast("int"), (stop + longest - begin).cast("int"))
+        return F.struct(text.alias("window"), (first / chunk).cast("int").alias("k"), (first - begin).cast("int").alias("entry"), (stop - begin).cast("int").alias("stop"), begin.cast("int").alias("begin"))
+
+    parts = blocks.select("key", F.explode(F.transform(count(F.least(F.col("wide"), F.col("n") - F.col("b.at")), F.lit(chunk)), window)).alias("w")).select("w.window", "key", "w.k", "w.entry", "w.stop", "w.begin")
+    windows = durable(parts.repartition(tasks, "key", "k"), "chunks")
 
     def matrices():
         def work(columns):

@@ -239,6 +239,17 @@ def test_sentencepiece(docs, nothing):
     assert sentencepiece_scan.round_trip(nothing, PIECE).collect() == []
 
 
+def test_sentencepiece_windows(spark):
+    """Many blocks of chunks, with characters of any width, give what the library gives."""
+    text = " ".join(f"wörd{i % 7} 🙂🙂 {'unbrokenletters' * (i % 5)} 語{i}" for i in range(1500))
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    docs = spark.createDataFrame([(1, text), (2, text[:5001])], "doc_id long, text string")
+    got = by_id(sentencepiece_scan.round_trip(docs, PIECE, giant=5000, chunk=300))
+    for i, t in ((1, text), (2, text[:5001])):
+        ids = lib.encode(t)
+        assert (got[i].n_tokens, got[i].ids_crc32, got[i].decoded_equal) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=/>Home</a></nav><div class='cookie-banner'><p>We use cookies on this page today.</p></div><article><h1>A &amp; B</h1><p>First  line<br>goes on here for a while.<p>Second one is here.</article><div class=comments><p>I like this very much, thanks.</p></div><footer>&copy; x</footer>"
     df = spark.createDataFrame([(1, "u", page), (2, "v", None), (3, "w", ""), (4, "x", "<script>var a='<p>no</p>'</script>"), (5, "y", "<article><p>cut off in the mid")], "page_id long, url string, html string")
