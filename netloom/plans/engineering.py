@@ -215,14 +215,14 @@ def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- depth --------------------------------------------------------------------------------------------------------
-@query(role_sql("spans") + """, w AS (SELECT route, CASE type WHEN 'road' THEN 1.0 END AS floor, s, e FROM spans WHERE type IN ('road','tram_tracks')), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY route, floor ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM w), i AS (SELECT *, sum(n) OVER (PARTITION BY route, floor ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
+@query(role_sql("spans") + """, w AS (SELECT route, span, CASE type WHEN 'road' THEN 1.0 END AS floor, s, e FROM spans WHERE type IN ('road','tram_tracks')), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY route, floor ORDER BY s, e, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM w), i AS (SELECT *, sum(n) OVER (PARTITION BY route, floor ORDER BY s, e, span ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT route, CAST(floor AS DOUBLE) AS floor, min(s) AS s, max(e) AS e FROM i GROUP BY route, floor, k""")
 def depth_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least depths under roads and tram tracks."""
     return depth.depth_floors(role(spark, sf_dir, "spans"))
 
 
-@query(role_sql("spans") + """, w AS (SELECT route, greatest(0.0, (s + e) / 2.0 - 2) AS s, least(900.0, (s + e) / 2.0 + 2) AS e FROM spans), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY route ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM w), i AS (SELECT *, sum(n) OVER (PARTITION BY route ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
+@query(role_sql("spans") + """, w AS (SELECT route, span, greatest(0.0, (s + e) / 2.0 - 2) AS s, least(900.0, (s + e) / 2.0 + 2) AS e FROM spans), m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY route ORDER BY s, e, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM w), i AS (SELECT *, sum(n) OVER (PARTITION BY route ORDER BY s, e, span ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT route, CAST(min(s) AS DOUBLE) AS s, CAST(max(e) AS DOUBLE) AS e FROM i GROUP BY route, k""")
 def crossing_plateaus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level stretches at utility crossings."""
