@@ -564,7 +564,7 @@ def uncovered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged_sql(name: str, where: str) -> str:
-    return f"{name} AS (SELECT route, min(s) AS s, max(e) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY route ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY route ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM spans WHERE {where})) GROUP BY route, k)"
+    return f"{name} AS (SELECT route, min(s) AS s, max(e) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY route ORDER BY s, e, span ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY route ORDER BY s, e, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM spans WHERE {where})) GROUP BY route, k)"
 
 
 @query(role_sql("spans") + ", " + _merged_sql("l", "span % 2 = 0") + ", " + _merged_sql("r", "span % 2 = 1") + " SELECT l.route, greatest(l.s, r.s) AS s, least(l.e, r.e) AS e FROM l JOIN r USING (route) WHERE greatest(l.s, r.s) <= least(l.e, r.e)")
