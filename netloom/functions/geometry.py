@@ -38,15 +38,16 @@ def orientation(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy:
     return F.signum(((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)).cast("double"))
 
 
-def segments_intersect(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
-    """Whether two closed segments share a point; exact on whole coordinates."""
+def straddle(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Whether neither of two segments lies wholly on one side of the other's line."""
     o1, o2 = orientation(ax, ay, bx, by, cx, cy), orientation(ax, ay, bx, by, dx, dy)
     o3, o4 = orientation(cx, cy, dx, dy, ax, ay), orientation(cx, cy, dx, dy, bx, by)
+    return (o1 * o2 <= 0) & (o3 * o4 <= 0)
 
-    def on(px, py, qx, qy, rx, ry):
-        return (rx >= F.least(px, qx)) & (rx <= F.greatest(px, qx)) & (ry >= F.least(py, qy)) & (ry <= F.greatest(py, qy))
 
-    return ((o1 != o2) & (o3 != o4)) | ((o1 == 0) & on(ax, ay, bx, by, cx, cy)) | ((o2 == 0) & on(ax, ay, bx, by, dx, dy)) | ((o3 == 0) & on(cx, cy, dx, dy, ax, ay)) | ((o4 == 0) & on(cx, cy, dx, dy, bx, by))
+def segments_intersect(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Whether two closed segments share a point: their boxes overlap, and neither lies on one side of the other. Exact on whole coordinates."""
+    return boxes_overlap(ax, ay, bx, by, cx, cy, dx, dy) & straddle(ax, ay, bx, by, cx, cy, dx, dy)
 
 
 def boxes_overlap(ax, ay, bx, by, cx, cy, dx, dy) -> Column:

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def steady(spark: SparkSession) -> None:
     """Switch off that Spark 4.1 takes a union of equally partitioned tables as partitioned: adaptive execution may merge the
-    partitions of each side differently, and rows of one key then lie apart (seen in ``inside_intervals``)."""
+    partitions of each side differently, and rows of one key then lie apart (seen in ``inside_intervals``). Geometry makes
+    methods of more than 8,000 bytes, which Java never compiles and runs many times slower; such stages are split."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` dealt by ``key`` into a fixed number of partitions. Adaptive execution merges partitions by their bytes, but in a
+    join of cells each small row meets very many others, and merged ones leave all of that to one or two tasks."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a table written once to files that all executors can read. A checkpoint would compute it twice, and would
     hand its constraints on to the next plan, which in loops makes them grow beyond measure."""

@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import acute_angle, boxes_overlap, point_segment_distance, ring_contains, satisfies_least_angle, segments_intersect, vertices_to_segments
-from .depth import crossing_plateaus, depth_floors
+from ..functions.geometry import acute_angle, boxes_overlap, point_segment_distance, ring_contains, satisfies_least_angle, segments_intersect, straddle, vertices_to_segments
+from .depth import FLOORS, crossing_plateaus, depth_floors
 from .intervals import merge_intervals
-from .lineage import cut
+from .lineage import cut, dealt
 from .topology import box_cells, cells
 
 FORBIDDEN = ["park", "social_area", "prohibited_site", "water", "railway", "oks"]
@@ -43,7 +43,7 @@ def ring_edges(obstacles: DataFrame) -> DataFrame:
 def pairs_in_reach(segments: DataFrame, lines: DataFrame, cell: float, reach: float = 0.0) -> DataFrame:
     """Pairs of segments (ax .. by) and lines (cx .. dy) whose boxes come within ``reach``, each once."""
     a, c = [F.col(n) for n in A], [F.col(n) for n in C]
-    left = segments.withColumn("cell", F.explode(box_cells(*a, cell, reach)))
+    left = dealt(segments.withColumn("cell", F.explode(box_cells(*a, cell, reach))), "cell")
     right = lines.withColumn("cell", F.explode(box_cells(*c, cell)))
     lower = cells(F.greatest(F.least(a[0], a[2]) - reach, F.least(c[0], c[2])), F.greatest(F.least(a[1], a[3]) - reach, F.least(c[1], c[3])), cell)
     grown = [F.least(a[0], a[2]) - reach, F.least(a[1], a[3]) - reach, F.greatest(a[0], a[2]) + reach, F.greatest(a[1], a[3]) + reach]
@@ -55,15 +55,26 @@ def crossings(segments: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
     a, c = [F.col(n) for n in A], [F.col(n) for n in C]
     ux, uy, vx, vy = a[2] - a[0], a[3] - a[1], c[2] - c[0], c[3] - c[1]
     t = ((c[0] - a[0]) * vy - (c[1] - a[1]) * vx) / F.nullif((ux * vy - uy * vx).cast("double"), F.lit(0.0))
-    return pairs_in_reach(segments, lines, cell).where(segments_intersect(*a, *c)).withColumn("t", t)
+    # the boxes of these pairs overlap, so what is left of ``segments_intersect`` is that neither lies on one side of the other
+    return pairs_in_reach(segments, lines, cell).where(straddle(*a, *c)).withColumn("t", t)
 
 
 def points_in_rings(points: DataFrame, obstacles: DataFrame, cell: float, *keys: str) -> DataFrame:
     """Keys of points (x, y) with each obstacle that contains them."""
+    met = points_and_boxes(points, obstacles, cell)
+    return met[0].join(met[1], "cell").where(IN_BOX).where(ring_contains(F.col("x"), F.col("y"), F.col("ring"))).select(*keys, "obstacle", "kind")
+
+
+#: Whether a point is in the box of a ring, which spares most points the walk round it.
+IN_BOX = "x >= box_x1 AND x <= box_x2 AND y >= box_y1 AND y <= box_y2"
+
+
+def points_and_boxes(points: DataFrame, obstacles: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Points by cell, and obstacles with their boxes in each cell that these touch."""
     side = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    boxes = obstacles.withColumn("cell", F.explode(box_cells(side(F.array_min, "x"), side(F.array_min, "y"), side(F.array_max, "x"), side(F.array_max, "y"), cell)))
-    met = points.withColumn("cell", cells(F.col("x"), F.col("y"), cell)).join(boxes, "cell")
-    return met.where(ring_contains(F.col("x"), F.col("y"), F.col("ring"))).select(*keys, "obstacle", "kind")
+    boxed = obstacles.withColumns({"box_x1": side(F.array_min, "x"), "box_y1": side(F.array_min, "y"), "box_x2": side(F.array_max, "x"), "box_y2": side(F.array_max, "y")})
+    boxes = boxed.withColumn("cell", F.explode(box_cells(*[F.col(f"box_{c}") for c in ("x1", "y1", "x2", "y2")], cell)))
+    return dealt(points.withColumn("cell", cells(F.col("x"), F.col("y"), cell)), "cell"), boxes
 
 
 def routes_on_obstacles(vertices: DataFrame, obstacles: DataFrame, cell: float) -> DataFrame:
