@@ -210,4 +210,4 @@ def inside_intervals(vertices: DataFrame, obstacles: DataFrame, cell: float) ->
 
 def floors_from_areas(vertices: DataFrame, obstacles: DataFrame, cell: float) -> DataFrame:
     """route, floor, s, e: where routes run inside roads and tracks, with the least depth there."""
-    return depth_floors(inside_intervals(vertices, obstacles, cell))
+    return depth_floors(inside_intervals(vertices, obstacles.where(F.col("kind").isin(*FLOORS)), cell))
