@@ -67,3 +67,11 @@ def test_segments_intersect_on_a_grid(spark, size):
 
     df = spark.createDataFrame([(*s, *t, meet(s, t)) for s in pairs for t in pairs], "ax int, ay int, bx int, by int, cx int, cy int, dx int, dy int, wanted boolean")
     assert df.where(geometry.segments_intersect(*[F.col(c) for c in "ax ay bx by cx cy dx dy".split()]) != F.col("wanted")).count() == 0
+
+
+def test_short_stretches_are_violations(spark):
+    """Near stretches that round to one millimetre stay, unless they are allowed."""
+    schema = "route long, utility long, s long, e long"
+    near = spark.createDataFrame([(1, 7, 5, 5), (1, 7, 10, 30), (2, 7, 5, 5), (2, 8, 5, 5), (3, 7, 3, 3), (4, 7, 9, 9)], schema)
+    allowed = spark.createDataFrame([(1, 7, 15, 20), (2, 7, 0, 9), (3, 7, 3, 8), (4, 7, 0, 5)], schema)
+    assert sorted(map(tuple, obstacles.clearance_violations(near, allowed).collect())) == [(1, 7, 5, 5), (1, 7, 10, 15), (1, 7, 20, 30), (2, 8, 5, 5), (4, 7, 9, 9)]
