@@ -3,7 +3,8 @@
 P(token | history) = P(class | history) * P(token | class). Classes join a
 group of words that occur in similar documents with a band of frequency; the
 end of a text and unknown words have classes of their own. The class softmax is
-log-linear in hashed features of the class history: the last class, the last
+log-linear in hashed features of the history: of its words the last one, the one
+before it (a skip) and the two together; of its classes the last one, the last
 two, skips over them, and the group three back. Within a class words have their
 smoothed relative frequency, the closed form of a model with one bias a word.
 Unknown words get the mass of words seen once, so the probabilities of all
@@ -17,7 +18,10 @@ tokens add up to one.
    are all that the likelihood depends on.
 4. Training: each task adds up observed and expected counts over its contexts,
    tables of fixed size are summed by slices, and the driver takes a step.
-5. Scoring: distinct contexts of a block in sparse numpy batches.
+   The features of words then get one step of iterative scaling over all training
+   tokens, from the expectations of the model so far; their table grows with the
+   number of tokens, up to ``WORD_BITS``.
+5. Scoring: each token by its context's row and those of the words before it.
 
 The groups of documents begin from about ``SAMPLE`` training texts and are moved
 by passes over all of them; all counts cover every training text.
@@ -30,22 +34,27 @@ unknown; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, sampled, slices, small_batches, trim
-from .linear import byte_grams, matrix, squeezed, unit
-from .pretok import Cached, Words, segments
+from .common import durable, sampled, slices, small_batches, trim
+from .linear import matrix, squeezed, unit
+from .pretok import CUT, Cached, Words, segments
 from .pretok import groups as pieces
 
 GROUPS, BANDS = 8, 8
 END, UNKNOWN = GROUPS * BANDS, GROUPS * BANDS + 1
 CLASSES = GROUPS * BANDS + 2
 START = CLASSES
-BITS = 12
+#: Contexts of classes; see ``contexts``.
+CONTEXTS = (GROUPS + 3) * (CLASSES + 1) ** 2
+#: Bits of the byte pairs by which texts fall into groups.
+BITS = 11
 #: Texts that give the first centres of document groups, passes over all training texts that move them, and lanes in which a pass adds up.
 SAMPLE, PASSES, LANES = 600, 2, 64
 BLOCK_BYTES = 1 << 23
@@ -56,19 +65,40 @@ TABLE = 1 << 13
 STEPS = 10
 PENALTY = 0.1
 SLICES = 16
+#: The word table has a row for about ``ROW_TOKENS`` training tokens, 2**WORD_BITS at most, each of whose features is one of WORD_KINDS.
+WORD_BITS, ROW_TOKENS, WORD_KINDS = 15, 2048, 3
+#: What a weight of a word's feature takes both counts to have been more.
+WORD_PRIOR = 1.0
+#: Words are known to these features by a hash of 16 bits; before a text's first word is BEFORE.
+BEFORE = 1 << 16
+
+
+def byte_pairs(texts: list[bytes]) -> np.ndarray:
+    """Counts of the hashed byte pairs of each text."""
+    out = np.zeros((len(texts), 1 << BITS), np.float32)
+    for i, text in enumerate(texts):
+        b = np.frombuffer(text, np.uint8).astype(np.uint32)
+        if len(b) > 1:
+            out[i] = np.bincount((((b[:-1] << np.uint32(8)) | b[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+    return out
+
+
+def raw_text() -> Column:
+    """The bytes of ``text``; Python lower-cases the A-Z of bytes much faster than Spark does those of strings."""
+    return F.col("text").cast("binary").alias("text")
 
 
 def centres(texts: DataFrame) -> np.ndarray:
     """Centres of document groups: k-means on byte n-grams. A bounded sample of training texts gives the places to begin
     from; ``PASSES`` passes over every training text move them, each task adding up the texts nearest to each centre."""
     spark = texts.sparkSession
-    learned = texts.where("NOT held AND text <> ''")
+    learned = texts.where("NOT held AND length(text) > 0").select("id", raw_text())
     sample = sampled(learned, min(1.0, SAMPLE / max(1, texts.count())), "sample", "id")
 
     def run(batches):
         for batch in batches:
             for s in slices(batch, 0):
-                yield pa.RecordBatch.from_pydict({"x": pa.array([squeezed(byte_grams(np.frombuffer(t.encode(), np.uint8), BITS)) for t in s.column(0).to_pylist()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"x": pa.array([squeezed(byte_pairs([t.lower()])[0]) for t in s.column(0).to_pylist()], pa.binary())})
 
     rows = sorted(bytes(r.x) for r in sample.select("text").mapInArrow(run, "x binary").collect())
     if not rows:
@@ -90,7 +120,7 @@ def centres(texts: DataFrame) -> np.ndarray:
                 for s in slices(batch, 0):
                     own = s.column(0).to_pylist()
                     for k in range(0, len(own), 128):
-                        x = unit(np.stack([byte_grams(np.frombuffer(t.encode(), np.uint8), BITS) for t in own[k : k + 128]]))
+                        x = unit(byte_pairs([t.lower() for t in own[k : k + 128]]))
                         at = (x @ now.value.T).argmax(1)
                         for g in np.unique(at).tolist():
                             sums[g] += x[at == g].sum(0)
@@ -145,8 +175,8 @@ def blocks(texts: DataFrame, c: np.ndarray) -> DataFrame:
 
         for batch in batches:
             for s in slices(batch, 0, SLICE):
-                own = s.column(0).to_pylist()
-                parts = [(i, p.encode()) for i, t in enumerate(own) for p in segments(t)]
+                own = [t.lower() for t in s.column(0).to_pylist()]
+                parts = [(i, p) for i, t in enumerate(own) for p in ([t] if len(t) <= CUT else [p.encode() for p in segments(t.decode())])]
                 found, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for first, some in pieces([p for _, p in parts]):
                     w = Words(some)
@@ -166,8 +196,7 @@ def blocks(texts: DataFrame, c: np.ndarray) -> DataFrame:
                 ids += s.column(1).to_pylist()
                 held += s.column(2).to_pylist()
                 for k in range(0, len(own), 128):
-                    x = [byte_grams(np.frombuffer(t.encode(), np.uint8), BITS) for t in own[k : k + 128]]
-                    groups += (unit(np.stack(x)) @ c.T).argmax(1).tolist()
+                    groups += (unit(byte_pairs(own[k : k + 128])) @ c.T).argmax(1).tolist()
                 size += sum(len(p) for _, p in parts)
                 if size >= BLOCK_BYTES:
                     yield close()
@@ -177,7 +206,7 @@ def blocks(texts: DataFrame, c: np.ndarray) -> DataFrame:
             yield close()
         trim()
 
-    return texts.select("text", "id", "held").mapInArrow(run, BLOCKS)
+    return texts.select(raw_text(), "id", "held").mapInArrow(run, BLOCKS)
 
 
 def group_rows(stored: DataFrame) -> DataFrame:
@@ -220,11 +249,11 @@ def rare_rows(stored: DataFrame, common) -> DataFrame:
     return stored.select("block", "words").mapInArrow(run, "block long, pos int, word string")
 
 
-CODED = "id long, held boolean, n_tokens long, n_known long, base double, within double, classes binary"
+CODED = "id long, held boolean, n_tokens long, n_known long, base double, within double, classes binary, hashes binary"
 
 
 def coded(stored: DataFrame, dictionary: DataFrame, common, n_train: int, v_train: int, class_size: np.ndarray) -> DataFrame:
-    """Per text: counts, base score, log10 probability within classes and the class of each token. ``class_size``: n + 0.5 V of each class."""
+    """Per text: counts, base score, log10 probability within classes, and the class and the hash of each token. ``class_size``: n + 0.5 V of each class."""
     floor = n_train + 0.5 * (v_train + 1)
     own_log = np.log10(np.maximum(class_size, 1e-9))
 
@@ -244,10 +273,11 @@ def coded(stored: DataFrame, dictionary: DataFrame, common, n_train: int, v_trai
             first = np.cumsum(lengths) - lengths
             classes = cls[flat]
             known = np.add.reduceat((c[flat] > 0).astype(np.int64), first)
+            hashes = np.array([zlib.crc32(w.encode()) & 0xFFFF for w in own], "<u2")[flat].tobytes()
             raw, ends = classes.tobytes(), np.cumsum(lengths).tolist()
-            out = [left.column("ids")[0].values, left.column("held")[0].values, pa.array(lengths), pa.array(known), pa.array(np.add.reduceat(base[flat], first)), pa.array(np.add.reduceat(within[flat], first)), pa.array([raw[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)], pa.binary())]
-        names = ["id", "held", "n_tokens", "n_known", "base", "within", "classes"]
-        return pa.table(dict(zip(names, out, strict=True))) if out else pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()), strict=True)})
+            out = [left.column("ids")[0].values, left.column("held")[0].values, pa.array(lengths), pa.array(known), pa.array(np.add.reduceat(base[flat], first)), pa.array(np.add.reduceat(within[flat], first)), pa.array([raw[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)], pa.binary()), pa.array([hashes[2 * (e - n) : 2 * e] for e, n in zip(ends, lengths.tolist(), strict=True)], pa.binary())]
+        names = ["id", "held", "n_tokens", "n_known", "base", "within", "classes", "hashes"]
+        return pa.table(dict(zip(names, out, strict=True))) if out else pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()), strict=True)})
 
     left = stored.select("block", "ids", "held", "lengths", "tokens", "words")
     return left.groupBy("block").cogroup(dictionary.groupBy("block")).applyInArrow(run, CODED)
@@ -263,6 +293,20 @@ def contexts(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return (third * (CLASSES + 1) + c2) * (CLASSES + 1) + c1
 
 
+def word_rows(hashes: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of the word table that the history of each token switches on: the last word, the one before it, both; hashed. A column each."""
+    n = len(hashes)
+    place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    padded = np.concatenate((np.full(2, BEFORE, np.uint64), hashes.astype(np.uint64)))
+    last, other = (np.where(place >= k, padded[2 - k : 2 - k + n], np.uint64(BEFORE)) for k in (1, 2))
+    out = np.empty((WORD_KINDS, n), np.uint16)
+    for kind, value in enumerate((last, other, (last << np.uint64(17)) | other)):
+        h = (value * np.uint64(WORD_KINDS) + np.uint64(kind + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out[kind] = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
+    return out
+
+
 def feature_rows(context: np.ndarray) -> np.ndarray:
     """Rows of the weight table that a context switches on: bias, last class, skip, third's group, pairs and the triple, hashed."""
     c1, rest = context % (CLASSES + 1), context // (CLASSES + 1)
@@ -287,13 +331,16 @@ def statistics(texts: DataFrame) -> DataFrame:
     """ctx, cls, n over the tokens of all training texts."""
 
     def run(batches):
+        total = np.zeros(CONTEXTS * CLASSES, np.int64)
         for batch in batches:
             for s in slices(batch, 0, 1 << 20):
                 raw = s.column(0).to_pylist()
                 classes = np.frombuffer(b"".join(raw), np.uint8)
-                key = contexts(classes, np.fromiter(map(len, raw), np.int64, len(raw))) * CLASSES + classes
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key // CLASSES), pa.array((key % CLASSES).astype(np.int32)), pa.array(n)], names=["ctx", "cls", "n"])
+                total += np.bincount(contexts(classes, np.fromiter(map(len, raw), np.int64, len(raw))) * CLASSES + classes, minlength=len(total))
+        key = np.flatnonzero(total)
+        for i in range(0, len(key), 1 << 16):
+            own = key[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own // CLASSES), pa.array((own % CLASSES).astype(np.int32)), pa.array(total[own])], names=["ctx", "cls", "n"])
 
     return texts.where("NOT held").select("classes").mapInArrow(run, "ctx long, cls int, n long").groupBy("ctx", "cls").agg(F.sum("n").alias("n"))
 
@@ -351,30 +398,94 @@ def train(spark: SparkSession, stats: DataFrame) -> np.ndarray:
     return weights.astype(np.float32)
 
 
-def scored(texts: DataFrame, spark: SparkSession, weights: np.ndarray, unknown: float, n_train: int) -> DataFrame:
+def word_bits(n_train: int) -> int:
+    return min(WORD_BITS, max(10, (n_train // ROW_TOKENS).bit_length()))
+
+
+def word_weights(texts: DataFrame, spark: SparkSession, weights: np.ndarray, bits: int) -> np.ndarray:
+    """The table of the words' features after one step of iterative scaling over all training tokens: the logarithm of observed
+    to expected counts, by the number of features that a token has, which cannot lower the likelihood. A few tasks add up,
+    so that what they hand on does not grow with the input."""
     now = spark.sparkContext.broadcast(weights)
+    n = 1 << bits
 
     def run(batches):
+        p = np.exp(log_softmax(now.value, feature_rows(np.arange(CONTEXTS))))
+        seen, made, any_rows = np.zeros(n * CLASSES), np.zeros((n, CLASSES)), False
         for batch in batches:
-            for s in slices(batch, 0, 1 << 20):
+            for s in slices(batch, 0, 1 << 17):
+                raw = s.column(0).to_pylist()
+                lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+                classes = np.frombuffer(b"".join(raw), np.uint8)
+                rows = word_rows(np.frombuffer(b"".join(s.column(1).to_pylist()), "<u2"), lengths, bits)
+                context = contexts(classes, lengths)
+                for own in rows:
+                    seen += np.bincount(own.astype(np.int64) * CLASSES + classes, minlength=len(seen))
+                    for i in range(0, len(own), 1 << 17):
+                        part = own[i : i + (1 << 17)]
+                        order = np.argsort(part, kind="stable")
+                        part = part[order]
+                        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                        made[part[first]] += np.add.reduceat(p[context[i : i + (1 << 17)][order]], first, 0)
+                any_rows = True
+        if any_rows:
+            for i, (a, b) in enumerate(zip(np.split(seen.astype(np.float32), SLICES), np.split(made.astype(np.float32).ravel(), SLICES), strict=True)):
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["slice", "observed", "expected"])
+        trim()
+
+    def step(key, table):
+        observed, expected = (sum(np.frombuffer(x.as_buffer(), np.float32).astype(float) for x in table.column(name)) for name in ("observed", "expected"))
+        own = (np.log((observed + WORD_PRIOR) / (expected + WORD_PRIOR)) / WORD_KINDS).astype(np.float32)
+        return pa.table({"slice": [key[0].as_py()], "own": pa.array([own.tobytes()], pa.binary())})
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    added = texts.where("NOT held").select("classes", "hashes").coalesce(tasks).mapInArrow(run, "slice long, observed binary, expected binary")
+    rows = sorted(added.groupBy("slice").applyInArrow(step, "slice long, own binary").collect(), key=lambda r: r.slice)  # 2**WORD_BITS x CLASSES floats at most
+    now.unpersist()
+    table = np.concatenate([np.frombuffer(r.own, np.float32) for r in rows]).reshape(n, CLASSES) if rows else np.zeros((n, CLASSES), np.float32)
+    table[:, UNKNOWN] = 0
+    return table
+
+
+def class_logs(base: np.ndarray, table: np.ndarray, context: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of each token's class after its context and the words before it."""
+    out = np.empty(len(context))
+    for i in range(0, len(context), 1 << 12):
+        z = base[context[i : i + (1 << 12)]]
+        for own in rows:
+            z += table[own[i : i + (1 << 12)]]
+        z -= z.max(1, keepdims=True)
+        mine = z[np.arange(len(z)), classes[i : i + (1 << 12)]]
+        out[i : i + (1 << 12)] = mine - np.log(np.exp(z, out=z).sum(1))
+    return out
+
+
+def scored(texts: DataFrame, spark: SparkSession, weights: np.ndarray, table: np.ndarray, unknown: float, n_train: int) -> DataFrame:
+    now = spark.sparkContext.broadcast((weights, table))
+    bits = len(table).bit_length() - 1
+
+    def run(batches):
+        weights, table = now.value
+        base = log_softmax(weights, feature_rows(np.arange(CONTEXTS)))
+        for batch in batches:
+            for s in slices(batch, 0, 1 << 18):
                 raw = s.column(0).to_pylist()
                 lengths = np.fromiter(map(len, raw), np.int64, len(raw))
                 classes = np.frombuffer(b"".join(raw), np.uint8)
-                distinct, at = np.unique(contexts(classes, lengths), return_inverse=True)
-                log_p = np.concatenate([log_softmax(now.value, feature_rows(distinct[i : i + (1 << 14)])) for i in range(0, len(distinct), 1 << 14)]) / np.float32(np.log(10)) + np.float32(np.log10(1 - unknown))
-                log_p[:, UNKNOWN] = np.log10(unknown)
-                each = log_p[at, classes].astype(np.float64)
+                rows = word_rows(np.frombuffer(b"".join(s.column(7).to_pylist()), "<u2"), lengths, bits)
+                log_p = class_logs(base, table, contexts(classes, lengths), rows, classes) / np.log(10) + np.log10(1 - unknown)
+                each = np.where(classes == UNKNOWN, np.log10(unknown), log_p)
                 total = np.add.reduceat(each, np.cumsum(lengths) - lengths)
                 yield pa.RecordBatch.from_arrays([*s.columns[1:5], pa.array(np.full(len(raw), n_train)), s.column(5), pa.array(total + s.column(6).to_numpy())], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return texts.select("classes", "id", "held", "n_tokens", "n_known", "base", "within").mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.select("classes", "id", "held", "n_tokens", "n_known", "base", "within", "hashes").mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held: int = 1) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     spark = docs.sparkSession
     key = F.col(f"`{id_col}`").cast("long")
-    texts = docs.select(F.coalesce(ascii_lower(F.col(f"`{text_col}`")), F.lit("")).alias("text"), key.alias("id"), F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(folds)) == held, F.lit(False)).alias("held"))
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), key.alias("id"), F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(folds)) == held, F.lit(False)).alias("held"))
     small_batches(spark)
     stored = durable(blocks(texts, centres(texts)), "blocks")
     words = durable(vocabulary(stored), "vocabulary")
@@ -391,4 +502,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dictionary = rare_rows(stored, common).join(classed, "word").select("block", "pos", "c", "cls")
     sequences = durable(coded(stored, dictionary, common, n_train, v_train, size), "sequences")
     weights = train(spark, statistics(sequences))
-    return scored(sequences, spark, weights, (once + 1) / (n_train + 2), n_train).withColumnRenamed("id", id_col)
+    table = word_weights(sequences, spark, weights, word_bits(n_train))
+    return scored(sequences, spark, weights, table, (once + 1) / (n_train + 2), n_train).withColumnRenamed("id", id_col)

@@ -1,5 +1,7 @@
 """What the fitted models learn from, on tables where a shortcut shows."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -53,3 +55,26 @@ def test_class_probabilities_add_up():
     contexts = language_model.contexts(rng.integers(0, language_model.CLASSES, 500).astype(np.uint8), np.array([200, 300]))
     p = np.exp(language_model.log_softmax(weights, language_model.feature_rows(contexts)).astype(np.float64))
     assert np.allclose(p.sum(1), 1, atol=1e-4)
+
+
+def test_words_before_a_token_count(spark):
+    """Two words of one class are followed by different classes: the model tells them apart by the word."""
+    rows = [(i, " ".join(f"s{i}x{j} t{i}x{j} red the v{i}x{j} w{i}x{j} blue u{i}x{j}" for j in range(6))) for i in range(300)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    docs = spark.createDataFrame([*rows, (held[0], "red the"), (held[1], "blue the")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score_texts(docs).where(f"doc_id IN ({held[0]}, {held[1]})").collect()}
+    assert got[held[0]].held_out and got[held[1]].held_out
+    assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
+    assert got[held[0]].score > got[held[1]].score + 0.05
+
+
+def test_word_features_add_up():
+    rng = np.random.default_rng(5)
+    n, bits = language_model.CLASSES, 10
+    base = language_model.log_softmax(rng.normal(size=(language_model.TABLE, n)).astype(np.float32), language_model.feature_rows(np.arange(50)))
+    table = rng.normal(size=(1 << bits, n)).astype(np.float32)
+    rows = np.repeat(language_model.word_rows(np.array([7], "<u2"), np.array([1]), bits), n, 1)
+    p = np.exp(language_model.class_logs(base, table, np.full(n, 9), rows, np.arange(n)))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    after = language_model.word_rows(np.array([7, 8, 7, 7, 8], "<u2"), np.array([2, 3]), bits)
+    assert (after[:, 0] == after[:, 2]).all() and (after[:, 1] == after[:, 3]).all() and (after[:, 1] != after[:, 4]).any()
