@@ -54,13 +54,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a written table: its plan starts at the files from here on. Spark 4.1 may take a union of equally partitioned
+def durable(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` as a table written with these options: its plan starts at the files from here on. Spark 4.1 may take a union of equally partitioned
     tables as partitioned though adaptive execution merges each side's partitions differently; that is switched off."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = shared_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

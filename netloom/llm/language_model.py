@@ -57,7 +57,9 @@ CONTEXTS = (GROUPS + 3) * (CLASSES + 1) ** 2
 BITS = 11
 #: Texts that give the first centres of document groups, passes over all training texts that move them, and lanes in which a pass adds up.
 SAMPLE, PASSES, LANES = 600, 2, 64
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
+#: Parquet's writer looks at its memory after 100 rows at first, which are gigabytes where a row is a block of texts.
+FEW_ROWS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: The most frequent words, whose counts every task gets; the others come by a join, each to the blocks that have it.
 COMMON = 1 << 17
 SLICE = 1 << 19
@@ -487,7 +489,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.col(f"`{id_col}`").cast("long")
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), key.alias("id"), F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(folds)) == held, F.lit(False)).alias("held"))
     small_batches(spark)
-    stored = durable(blocks(texts, centres(texts)), "blocks")
+    stored = durable(blocks(texts, centres(texts)), "blocks", FEW_ROWS)
     words = durable(vocabulary(stored), "vocabulary")
     total = words.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1)).first()
     n_train, v_train, once = total[0] or 0, total[1], total[2]

@@ -3,11 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 pytest.importorskip("netloom.llm")
 
 from netloom.llm import language_id, language_model, quality  # noqa: E402
+from netloom.llm.common import durable  # noqa: E402
 
 RUN = "a" * 200_000  # its hashed counts are beyond half precision
 GOOD = "the river bends along old stone walls and {} people walk there on quiet evenings with their dogs and talk about the day number {} in the village"
@@ -78,3 +80,13 @@ def test_word_features_add_up():
     assert p.sum() == pytest.approx(1, abs=1e-4)
     after = language_model.word_rows(np.array([7, 8, 7, 7, 8], "<u2"), np.array([2, 3]), bits)
     assert (after[:, 0] == after[:, 2]).all() and (after[:, 1] == after[:, 3]).all() and (after[:, 1] != after[:, 4]).any()
+
+
+def test_blocks_are_written_in_small_row_groups(spark, monkeypatch):
+    """A block is a row of megabytes; the writer must not hold a hundred of them."""
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 1 << 17)
+    texts = spark.range(40).selectExpr("id", "array_join(transform(sequence(1, 20000), x -> hex(xxhash64(id, x))), ' ') text", "false held").coalesce(1)
+    stored = durable(language_model.blocks(texts, np.zeros((1, 1 << language_model.BITS), np.float32)), "blocks", language_model.FEW_ROWS | {"parquet.block.size": str(1 << 20)})
+    for path in stored.inputFiles():
+        meta = pq.read_metadata(path.removeprefix("file:"))
+        assert meta.num_rows >= 40 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 10
