@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the tables of ``cut`` lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def steady(spark: SparkSession) -> None:
     """Switch off that Spark 4.1 takes a union of equally partitioned tables as partitioned: adaptive execution may merge the
@@ -45,4 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     steady(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/netloom-cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that a loop has gone beyond; what was made of them and not written is void."""
+    spark = tables[0].sparkSession
+    for table in tables:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
