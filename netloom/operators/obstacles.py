@@ -84,9 +84,17 @@ def routes_on_obstacles(vertices: DataFrame, obstacles: DataFrame, cell: float)
 
 
 def terminal_blockers(terminals: DataFrame, obstacles: DataFrame, cell: float) -> DataFrame:
-    """terminal, blockers: the forbidden areas around terminals (terminal, own, x, y), their own building left out."""
-    inside = points_in_rings(terminals, obstacles.where(F.col("kind").isin(FORBIDDEN)), cell, "terminal", "own")
-    return inside.where(~F.col("obstacle").eqNullSafe(F.col("own"))).groupBy("terminal").agg(F.array_sort(F.collect_set("obstacle")).alias("blockers"))
+    """terminal, blockers: the forbidden areas around terminals (terminal, own, x, y), their own building left out. Terminals at
+    one place share one search, areas of one ring one test; a place's list meets its terminals, whose rows are not grouped."""
+    shapes = obstacles.where(F.col("kind").isin(FORBIDDEN)).groupBy("ring").agg(F.collect_list("obstacle").alias("obstacle"), F.first("kind").alias("kind"))
+    met = points_in_rings(terminals.select("x", "y").distinct(), shapes, cell, "x", "y")
+    around = cut(met.groupBy("x", "y").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("obstacle")))).alias("around")))
+    rows = cut(terminals.select("terminal", "own", "x", "y").distinct())
+    several = rows.groupBy("terminal").count().where("count > 1").select("terminal")
+    others = F.coalesce(F.array_remove("around", F.col("own")), F.col("around"))
+    found = lambda df: df.join(around, ["x", "y"]).select("terminal", others.alias("blockers")).where("size(blockers) > 0")
+    one, many = found(rows.join(several, "terminal", "left_anti")), found(rows.join(several, "terminal", "left_semi"))
+    return one.unionByName(many.groupBy("terminal").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("blockers")))).alias("blockers")))
 
 
 def blocked_lines(lines: DataFrame, obstacles: DataFrame, cell: float) -> DataFrame:
