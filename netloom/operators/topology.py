@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, dealt
 from ..functions.geometry import boxes_overlap, point_segment_distance, segments_intersect
 
 MAX_CANDIDATES = 12
@@ -27,6 +27,23 @@ def box_cells(ax: Column, ay: Column, bx: Column, by: Column, size: float, margi
     return F.flatten(F.transform(F.sequence(lo(ax, bx), hi(ax, bx)), lambda cx: F.transform(F.sequence(lo(ay, by), hi(ay, by)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+def line_cells(ax: Column, ay: Column, bx: Column, by: Column, size: float, margin: float = 0.0) -> Column:
+    """The grid cells within ``margin`` of a segment, column by column of the grid: their number grows with its length, not with its box."""
+    ax, ay, bx, by = (c.cast("double") for c in (ax, ay, bx, by))
+    wide = margin + size * 1e-6  # for rounding
+    left, right, low, high = F.least(ax, bx), F.greatest(ax, bx), F.least(ay, by), F.greatest(ay, by)
+    cell = lambda v: F.floor(v / size).cast("long")
+    at = lambda x: F.when(bx == ax, ay).otherwise(ay + (F.greatest(left, F.least(right, x)) - ax) * ((by - ay) / (bx - ax)))
+
+    def column(cx: Column) -> Column:
+        y1, y2 = at(cx * size - wide), at((cx + 1) * size + wide)
+        first = F.when(bx == ax, low).otherwise(F.greatest(low, F.least(y1, y2)))
+        last = F.when(bx == ax, high).otherwise(F.least(high, F.greatest(y1, y2)))
+        return F.transform(F.sequence(cell(first - wide), cell(last + wide)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(cell(left - wide), cell(right + wide)), column))
+
+
 def within_distance(points: DataFrame, others: DataFrame, distance: float, keys: Sequence[str]) -> DataFrame:
     """Pairs (points, others as o_*) at most ``distance`` apart: grid cells make it an equi-join, then the exact test."""
     around = F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((F.col("cell.cx") + i).alias("cx"), (F.col("cell.cy") + j).alias("cy")))))
@@ -169,15 +186,21 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def incidence(chambers: DataFrame, segments: DataFrame, cell: float, tolerance: float = NODE_TOLERANCE_M) -> DataFrame:
-    """Directions in use at every chamber: a segment that ends there counts one, one that passes counts two."""
-    own = chambers.withColumn("cell", cells(F.col("x"), F.col("y"), cell))
-    near = segments.withColumn("cell", F.explode(box_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), cell, tolerance)))
+    """Directions in use at every chamber: a segment that ends there counts one, one that passes counts two. Chambers' places and
+    equal segments are tested once each, in the cells along a segment, which are smaller than ``cell`` where chambers are dense."""
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    places = cut(chambers.select("x", "y").distinct())
+    size = places.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    if size[1] is not None:
+        cell = float(max(min(cell, (max(size[1], 1) * max(size[2], 1) / size[0]) ** 0.5), 4 * tolerance))
+    lines = segments.groupBy(*ends).agg(F.count("*").alias("copies"))
+    near = dealt(lines.withColumn("cell", F.explode(line_cells(*ends, cell, tolerance))), "cell")
     at = lambda ex, ey: (F.col("x") - F.col(ex)) ** 2 + (F.col("y") - F.col(ey)) ** 2 <= tolerance * tolerance
-    starts, ends = at("ax", "ay"), at("bx", "by")
+    starts, stops = at("ax", "ay"), at("bx", "by")
     through = point_segment_distance(*map(F.col, ("x", "y", "ax", "ay", "bx", "by"))) <= tolerance
-    n = F.when(starts & ends, 0).when(starts | ends, 1).when(through, 2).otherwise(0)
-    counts = own.join(near, "cell").withColumn("n", n).groupBy("chamber_id").agg(F.sum("n").alias("n"))
-    return chambers.select("chamber_id").join(counts, "chamber_id", "left").select("chamber_id", F.coalesce("n", F.lit(0)).cast("long").alias("incident"))
+    n = F.when(starts & stops, 0).when(starts | stops, 1).when(through, 2).otherwise(0)
+    counts = places.withColumn("cell", cells(F.col("x"), F.col("y"), cell)).join(near, "cell").groupBy("x", "y").agg(F.sum(n * F.col("copies")).alias("n"))
+    return chambers.select("chamber_id", "x", "y").join(counts, ["x", "y"], "left").select("chamber_id", F.coalesce("n", F.lit(0)).cast("long").alias("incident"))
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

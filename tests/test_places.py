@@ -26,3 +26,14 @@ def test_terminals_of_a_place_share_a_search(spark, monkeypatch):
     got = {r.terminal: r.blockers for r in obstacles.terminal_blockers(t, areas, 5.0).collect()}
     assert got == {n: [b for b in (1, 2, 3) if b != n % 4] for n in range(40)} | {50: [1, 2], 52: [1, 2], 54: [1, 2, 3]}
     assert seen == [4]
+
+
+def test_incidence_of_copies(spark):
+    """Long segments stand in the cells along them, not in all of their boxes; copies count as often as they are there."""
+    cells = spark.range(1).select(topology.line_cells(*map(F.lit, (0, 0, 1000, 1000)), 10.0).alias("c")).first().c
+    assert {(k, k) for k in range(100)} <= {tuple(c) for c in cells} and len(cells) == len(set(map(tuple, cells))) < 400
+    c = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (3, 500, 500), (4, 1000, 1000), (5, 500, 501), (6, 7, 900), (7, 7, 3)], "chamber_id long, x long, y long")
+    s = spark.createDataFrame([(0, 0, 1000, 1000)] * 3 + [(7, 950, 7, 3), (1000, 1000, 1000, 1000)], "ax long, ay long, bx long, by long")
+    want = {1: 3, 2: 3, 3: 6, 4: 3, 5: 0, 6: 2, 7: 1}
+    for size in (10_000.0, 3.0):
+        assert {r.chamber_id: r.incident for r in topology.incidence(c, s, size).collect()} == want
