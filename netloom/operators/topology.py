@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +44,14 @@ def line_cells(ax: Column, ay: Column, bx: Column, by: Column, size: float, marg
     return F.flatten(F.transform(F.sequence(cell(left - wide), cell(right + wide)), column))
 
 
+def by_place(points: DataFrame, search: Callable[[DataFrame], DataFrame], point: str = "point_id") -> DataFrame:
+    """``search`` of points (point, x, y), done for one point of each place only; its rows are handed to all points there."""
+    keyed = points.select(point, "x", "y")
+    first = cut(keyed.groupBy("x", "y").agg(F.min(point).alias(point)))
+    found = first.join(search(first), point).drop(point)
+    return keyed.join(found, ["x", "y"]).drop("x", "y")
+
+
 def within_distance(points: DataFrame, others: DataFrame, distance: float, keys: Sequence[str]) -> DataFrame:
     """Pairs (points, others as o_*) at most ``distance`` apart: grid cells make it an equi-join, then the exact test."""
     around = F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((F.col("cell.cx") + i).alias("cx"), (F.col("cell.cy") + j).alias("cy")))))
@@ -144,10 +152,24 @@ def distance_to_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def nearest_in_grid(points: DataFrame, targets: DataFrame, reach: float, *, point: str = "point_id", target: str = "chamber_id") -> DataFrame:
-    """The nearest target within ``reach`` of every point that has one (ties by id)."""
-    pairs = within_distance(points, targets, reach, [point])
-    best = F.row_number().over(Window.partitionBy(point).orderBy("distance2", f"o_{target}"))
-    return pairs.withColumn("rank", best).where("rank = 1").select(point, F.col(f"o_{target}").alias(target), "distance2")
+    """The nearest target within ``reach`` of every point that has one (ties by id). One point of each place searches among one
+    target of each place, at first where about one is to be expected, then four times as far until the reach."""
+    places = cut(targets.groupBy("x", "y").agg(F.min(target).alias(target)))
+    size = places.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+
+    def search(todo: DataFrame) -> DataFrame:
+        radius, done = min(reach, first_radius(places, "x", "y", 1, (size[1], size[2]), size[0]) if size[0] and size[1] is not None else reach), None
+        while True:
+            pairs = within_distance(todo, places, radius, [point])
+            best = pairs.groupBy(point).agg(F.min(F.struct("distance2", F.col(f"o_{target}").alias(target))).alias("b"))
+            found = cut(best.select(point, f"b.{target}", "b.distance2"))
+            done = found if done is None else done.unionByName(found)
+            if radius >= reach:
+                return done
+            todo = cut(todo.join(found, point, "left_anti"))
+            radius = min(reach, radius * 4)
+
+    return by_place(points, search, point)
 
 
 def tie_in_candidates(candidates: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:

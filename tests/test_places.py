@@ -37,3 +37,14 @@ def test_incidence_of_copies(spark):
     want = {1: 3, 2: 3, 3: 6, 4: 3, 5: 0, 6: 2, 7: 1}
     for size in (10_000.0, 3.0):
         assert {r.chamber_id: r.incident for r in topology.incidence(c, s, size).collect()} == want
+
+
+def test_nearest_of_copies(spark, monkeypatch):
+    seen = watch(monkeypatch, topology, "within_distance")
+    p = spark.range(300).select(F.col("id").alias("point_id"), (F.col("id") % 3 * 40).alias("x"), F.lit(0).alias("y"))
+    t = spark.createDataFrame([(9, 3, 0), (5, 3, 0), (7, -3, 0), (8, 40, 60), (6, 500, 500)], "chamber_id long, x long, y long")
+    got = {(r.point_id % 3, r.chamber_id, r.distance2) for r in topology.nearest_in_grid(p, t, 62).collect()}
+    assert got == {(0, 5, 9), (1, 5, 37 * 37)}
+    assert topology.nearest_in_grid(p, t, 80).count() == 300
+    assert topology.nearest_in_grid(p, t.limit(0), 80).count() == topology.nearest_in_grid(p.limit(0), t, 80).count() == 0
+    assert max(seen) == 3
