@@ -129,25 +129,27 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = MAX_CANDIDATES, *, p
 
 def distance_to_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
     """points with their distance to the nearest of ``segments`` (ax, ay, bx, by), searched in grid cells with a radius
-    that grows until every point has an answer."""
+    that grows until every point has an answer. Places and segments take part once each, in cells along the segments: about
+    one place lies in a cell at first, or as many segments as a place would meet anyway."""
     ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
     d = point_segment_distance(F.col("x"), F.col("y"), *ends)
-    keys = points.columns
-    size = segments.agg(F.count("*"), F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
-    spread = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    lines = cut(segments.select(*ends).where(F.greatest(*ends).isNotNull()).distinct())
+    size = lines.agg(F.count("*"), F.min(F.least("ax", "bx")), F.max(F.greatest("ax", "bx")), F.min(F.least("ay", "by")), F.max(F.greatest("ay", "by"))).first()
+    places = cut(points.select("x", "y").distinct())
+    spread = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
     if not size[0] or spread[0] is None:
         return points.limit(0).withColumn("distance", F.lit(None).cast("double"))
     reach = 2 * (max(size[2], spread[1]) - min(size[1], spread[0]) + max(size[4], spread[3]) - min(size[3], spread[2])) + 1
-    radius = (max(size[2] - size[1], 1) * max(size[4] - size[3], 1) / size[0]) ** 0.5 + 1
-    todo, out = points, None
+    radius = (max(size[2] - size[1], 1) * max(size[4] - size[3], 1) / max(size[0], spread[4])) ** 0.5 + 1
+    todo, out = places, None
     while True:
-        near = segments.withColumn("cell", F.explode(box_cells(*ends, radius, radius)))
-        found = todo.withColumn("cell", cells(F.col("x"), F.col("y"), radius)).join(near, "cell").groupBy(*keys).agg(F.min(d).alias("distance"))
+        near = dealt(lines.withColumn("cell", F.explode(line_cells(*ends, radius, radius))), "cell")
+        found = todo.withColumn("cell", cells(F.col("x"), F.col("y"), radius)).join(near, "cell").groupBy("x", "y").agg(F.min(d).alias("distance"))
         found = cut(found if radius > reach else found.where(F.col("distance") <= radius))
         out = found if out is None else out.unionByName(found)
-        todo = cut(todo.join(found, keys, "left_anti"))
+        todo = cut(todo.join(found, ["x", "y"], "left_anti"))
         if radius > reach or todo.isEmpty():
-            return out
+            return points.join(out, ["x", "y"]).select(*points.columns, "distance")
         radius *= 4
 
 

@@ -48,3 +48,15 @@ def test_nearest_of_copies(spark, monkeypatch):
     assert topology.nearest_in_grid(p, t, 80).count() == 300
     assert topology.nearest_in_grid(p, t.limit(0), 80).count() == topology.nearest_in_grid(p.limit(0), t, 80).count() == 0
     assert max(seen) == 3
+
+
+def test_distance_of_copies(spark, monkeypatch):
+    """Equal points and equal segments take part once."""
+    rows = []
+    real = topology.dealt
+    monkeypatch.setattr(topology, "dealt", lambda df, *k: rows.append(df.select("ax", "ay", "bx", "by", "cell").count()) or real(df, *k))
+    p = spark.range(200).select(F.col("id").alias("point_id"), (F.col("id") % 2 * 900).alias("x"), F.lit(100).alias("y"))
+    s = spark.createDataFrame([(0, 0, 1000, 1000)] * 50, "ax long, ay long, bx long, by long")
+    got = {(r.point_id % 2, round(r.distance, 6)) for r in topology.distance_to_segments(p, s).collect()}
+    assert got == {(0, round(50 * 2**0.5, 6)), (1, round(400 * 2**0.5, 6))}
+    assert max(rows) < 50
