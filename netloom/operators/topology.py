@@ -52,15 +52,35 @@ def by_place(points: DataFrame, search: Callable[[DataFrame], DataFrame], point:
     return keyed.join(found, ["x", "y"]).drop("x", "y")
 
 
-def within_distance(points: DataFrame, others: DataFrame, distance: float, keys: Sequence[str]) -> DataFrame:
-    """Pairs (points, others as o_*) at most ``distance`` apart: grid cells make it an equi-join, then the exact test."""
+def within_distance(points: DataFrame, others: DataFrame, distance: float, keys: Sequence[str], deal: bool = False) -> DataFrame:
+    """Pairs (points, others as o_*) at most ``distance`` apart: grid cells make it an equi-join, then the exact test. ``deal``: cells
+    go to a fixed number of tasks, for rows that stand for many pairs."""
     around = F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda j: F.struct((F.col("cell.cx") + i).alias("cx"), (F.col("cell.cy") + j).alias("cy")))))
     left = points.withColumn("cell", cells(F.col("x"), F.col("y"), distance)).withColumn("near", F.explode(around)).drop("cell")
     right = others.select(*[F.col(c).alias(f"o_{c}") for c in others.columns]).withColumn("near", cells(F.col("o_x"), F.col("o_y"), distance))
     dx, dy = F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")
+    left = dealt(left, "near") if deal else left
     return left.join(right, "near").drop("near").withColumn("distance2", dx * dx + dy * dy).where(F.col("distance2") <= distance * distance)
 
 
+#: Ids of one place that go as one list through a join of places.
+LIST = 1024
+
+
+def at_places(df: DataFrame, name: str, out: str) -> DataFrame:
+    """x, y, ``out``: the ids of each place, in lists of a bounded length. Ids are dealt within a place, so that no list waits for one task."""
+    part = F.pmod(F.xxhash64(name), F.ceil(F.col("n") / LIST)).alias("part")
+    counted = df.select(name, "x", "y").join(df.groupBy("x", "y").agg(F.count("*").alias("n")), ["x", "y"])
+    return counted.groupBy("x", "y", part).agg(F.collect_list(name).alias(out)).drop("part")
+
+
+def pairs_within(points: DataFrame, others: DataFrame, distance: float, point: str, other: str) -> DataFrame:
+    """point, other, distance2 of all pairs at most ``distance`` apart. Pairs of places are tested, once each, and carry the ids of
+    both; ids are paired where the places meet, so that no exchange holds the pairs."""
+    met = within_distance(at_places(points, point, "a"), at_places(others, other, "b"), distance, [], deal=True)
+    return met.select(F.explode("a").alias(point), F.col("o_b").alias("b"), "distance2").select(point, F.explode("b").alias(other), "distance2")
+
+
 def segment_crossings(segments: DataFrame, cell: float, id_col: str = "id", group: Sequence[str] = ()) -> DataFrame:
     """Unordered pairs, within each ``group``, of segments (id, ax, ay, bx, by) that meet. A pair is tested in one common cell only: the
     cell that holds the lower corner of the boxes' overlap, so no distinct is needed."""

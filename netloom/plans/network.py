@@ -193,7 +193,7 @@ ALL_PAIRS = """ SELECT point_id, chamber_id, distance2%s FROM (SELECT p.point_id
 @query(role_sql("points", "chambers") + ALL_PAIRS % ("", 4000**2))
 def within_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within a distance, through grid cells."""
-    return topology.within_distance(role(spark, sf_dir, "points"), role(spark, sf_dir, "chambers"), 4000, ["point_id"]).select("point_id", F.col("o_chamber_id").alias("chamber_id"), "distance2")
+    return topology.pairs_within(role(spark, sf_dir, "points"), role(spark, sf_dir, "chambers"), 4000, "point_id", "chamber_id")
 
 
 @query(role_sql("points", "chambers") + ", d AS (" + ALL_PAIRS % (", incident", 6000**2) + ") SELECT point_id, chamber_id, distance2 FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance2, chamber_id) AS r FROM d WHERE incident < 4) WHERE r = 1")

@@ -1,5 +1,6 @@
 """Rows at one place share their search: what the searches are given, and that no row's result is lost."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from netloom.operators import obstacles, topology
@@ -60,3 +61,14 @@ def test_distance_of_copies(spark, monkeypatch):
     got = {(r.point_id % 2, round(r.distance, 6)) for r in topology.distance_to_segments(p, s).collect()}
     assert got == {(0, round(50 * 2**0.5, 6)), (1, round(400 * 2**0.5, 6))}
     assert max(rows) < 50
+
+
+@pytest.mark.parametrize("length", [1024, 2])
+def test_pairs_of_places(spark, monkeypatch, length):
+    seen = watch(monkeypatch, topology, "within_distance")
+    monkeypatch.setattr(topology, "LIST", length)
+    p = spark.range(60).select(F.col("id").alias("point_id"), (F.col("id") % 3 * 10).alias("x"), F.lit(0).alias("y"))
+    t = spark.range(8).select(F.col("id").alias("chamber_id"), (F.col("id") % 4 * 10).alias("x"), F.lit(5).alias("y"))
+    want = sorted((a, b, d) for a in range(60) for b in range(8) if (d := (a % 3 * 10 - b % 4 * 10) ** 2 + 25) <= 125)
+    assert sorted(map(tuple, topology.pairs_within(p, t, 125**0.5, "point_id", "chamber_id").collect())) == want
+    assert seen[0] == 3 if length == 1024 else seen[0] > 3
