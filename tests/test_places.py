@@ -72,3 +72,17 @@ def test_pairs_of_places(spark, monkeypatch, length):
     want = sorted((a, b, d) for a in range(60) for b in range(8) if (d := (a % 3 * 10 - b % 4 * 10) ** 2 + 25) <= 125)
     assert sorted(map(tuple, topology.pairs_within(p, t, 125**0.5, "point_id", "chamber_id").collect())) == want
     assert seen[0] == 3 if length == 1024 else seen[0] > 3
+
+
+def test_search_by_place(spark):
+    """The search gets one point of a place; all points there get its rows."""
+    p = spark.range(30).select(F.col("id").alias("point_id"), (F.col("id") % 2).alias("x"), F.lit(0).alias("y"))
+    p = p.unionByName(p.where("point_id = 7"))  # a row that is there twice
+    counts = []
+
+    def search(places):
+        counts.append(places.count())
+        return places.select("point_id", F.explode(F.array(F.col("x"), F.col("x") + 10)).alias("v"))
+
+    assert sorted(map(tuple, topology.by_place(p, search).collect())) == sorted((i, i % 2 + k) for i in range(30) for k in (0, 10))
+    assert counts == [2]
