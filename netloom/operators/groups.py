@@ -1,45 +1,66 @@
 """Grouped Python kernels over many small groups.
 
 Groups are exchanged once by key and sorted within partitions; a task walks its
-batches and hands on whole groups as slices, so the cost per group is a slice,
-not a Python call with its own Arrow exchange. Only one group and one batch are
-held at a time.
+batches, whose columns become lists once, and hands on whole groups as slices of
+these lists, so a group costs a few slices, neither a Python call with its own
+Arrow exchange nor a pandas frame. Only one group and one batch are held at a
+time. Partitions are dealt (``dealt``): small rows may be much work, and adaptive
+execution, which merges partitions by bytes, left whole tables to one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
+from .lineage import dealt
 
-def map_groups(df: DataFrame, key: str, order: list[str], kernel: Callable[[pd.DataFrame], list[tuple]], schema: str, columns: list[str]) -> DataFrame:
-    """``kernel`` gets the rows of one key, sorted by ``order``, and returns result rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # of one key that may go on, put together once
-        for frame in frames:
-            if not len(frame):
+def map_groups(df: DataFrame, key: str, order: list[str], kernel: Callable[[SimpleNamespace], list[tuple]], schema: str, columns: list[str], nulls: bool = False) -> DataFrame:
+    """``kernel`` gets the rows of one key, sorted by ``order``, as one list for each column, and returns result rows. Rows without a
+    key are left out, or with ``nulls`` are a group of their own."""
+    names = df.columns
+    at = names.index(key)
+    out = to_arrow_schema(DataType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] | None = None  # rows of one key that may go on
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            values = frame[key].to_numpy()
-            edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()]
-            if held and held[-1][key].iloc[-1] != values[0]:
-                yield finish(pd.concat(held, ignore_index=True), np.zeros(0, int))
-                held = []
-            if len(edges) > 1:
-                table = pd.concat([*held, frame.iloc[: edges[-1]]], ignore_index=True)
-                yield finish(table, np.array(edges[1:-1], int) + (len(table) - edges[-1]))
-                held = []
-            held.append(frame.iloc[edges[-1] :])
+            lists = [c.to_pylist() for c in batch.columns]
+            values = lists[at]
+            edges = [i for i in range(1, len(values)) if values[i] != values[i - 1]]
+            rows: list[tuple] = []
+            if held and held[at][0] != values[0]:
+                rows += kernel(SimpleNamespace(**dict(zip(names, held, strict=True))))
+                held = None
+            start = 0
+            for end in edges:
+                group = [c[start:end] for c in lists]
+                if held:
+                    for own, more in zip(held, group, strict=True):
+                        own += more
+                    group, held = held, None
+                rows += kernel(SimpleNamespace(**dict(zip(names, group, strict=True))))
+                start = end
+            if held:
+                for own, c in zip(held, lists, strict=True):
+                    own += c[start:]
+            else:
+                held = [c[start:] for c in lists]
+            yield table(rows)
         if held:
-            yield finish(pd.concat(held, ignore_index=True), np.zeros(0, int))
+            yield table(kernel(SimpleNamespace(**dict(zip(names, held, strict=True)))))
 
-    def finish(table: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-        rows: list[tuple] = []
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(table)], strict=True):
-            rows += kernel(table.iloc[a:b])
-        return pd.DataFrame(rows, columns=columns)
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        lists = list(zip(*rows, strict=True)) or [()] * len(columns)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(lists, out, strict=True)], schema=out)
 
-    return df.where(df[key].isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    rows = df if nulls else df.where(df[key].isNotNull())
+    return dealt(rows, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -9,8 +9,8 @@ from __future__ import annotations
 import heapq
 import math
 from itertools import pairwise
+from types import SimpleNamespace
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,19 +91,22 @@ def route_pairs(pairs: DataFrame, boxes: DataFrame, least_turn: float = 60.0) ->
     """Route of every pair (problem, pair, ax, ay, bx, by) around its problem's boxes (problem, x1, y1, x2, y2): length and
     number of bends; null where there is none."""
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("problem", "pair")}
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        walls = [tuple(map(int, b)) for b in right[["x1", "y1", "x2", "y2"]].itertuples(index=False)]
-        rows = []
-        for p in left.sort_values("pair").itertuples(index=False):
-            path = shortest_route((int(p.ax), int(p.ay)), (int(p.bx), int(p.by)), walls, least_turn)
+    whole = lambda *names: [F.col(c).cast("long").alias(n) for c, n in zip(names, ("ax", "ay", "bx", "by"), strict=True)]
+    rows = boxes.select("problem", F.lit(0).alias("kind"), F.lit(None).cast(kinds["pair"]).alias("pair"), *whole("x1", "y1", "x2", "y2"))
+    rows = rows.unionByName(pairs.select("problem", F.lit(1).alias("kind"), "pair", *whole("ax", "ay", "bx", "by")))
+
+    def kernel(table: SimpleNamespace) -> list[tuple]:
+        first = table.kind.index(1) if table.kind[-1] else len(table.kind)
+        ends = list(zip(table.ax, table.ay, table.bx, table.by, strict=True))
+        found = []
+        for pair, (ax, ay, bx, by) in zip(table.pair[first:], ends[first:], strict=True):
+            path = shortest_route((ax, ay), (bx, by), ends[:first], least_turn)
             length = sum(math.dist(a, b) for a, b in pairwise(path)) if path else None
-            rows.append((p.problem, p.pair, length, len(path) - 2 if path else None))
-        out = pd.DataFrame(rows, columns=["problem", "pair", "length", "bends"])
-        out["bends"] = out.bends.astype("Int32")
-        return out
+            found.append((table.problem[0], pair, length, len(path) - 2 if path else None))
+        return found
 
-    return pairs.groupBy("problem").cogroup(boxes.groupBy("problem")).applyInPandas(run, f"problem {kinds['problem']}, pair {kinds['pair']}, length double, bends int")
+    schema = f"problem {kinds['problem']}, pair {kinds['pair']}, length double, bends int"
+    return map_groups(rows, "problem", ["kind", "pair", "ax", "ay", "bx", "by"], kernel, schema, ["problem", "pair", "length", "bends"], nulls=True)
 
 
 def attach_terminals(edges: list[tuple[str, str, int]], root: str, terminals: list[str], capacity: int = BRANCHES) -> list[tuple[str, str]]:
@@ -187,7 +190,7 @@ def corridor_trees(edges: DataFrame, terminals: DataFrame) -> DataFrame:
     rows = edges.select("problem", "a", "b", F.col("w").cast("long").alias("w"), F.lit(None).cast("boolean").alias("is_root"))
     rows = rows.unionByName(terminals.select("problem", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("long").alias("w"), "is_root"))
 
-    def kernel(table: pd.DataFrame) -> list[tuple]:
+    def kernel(table: SimpleNamespace) -> list[tuple]:
         lines, nodes, roots = [], [], []
         for a, b, w, root in zip(table.a, table.b, table.w, table.is_root, strict=True):
             if b is not None:
@@ -195,7 +198,7 @@ def corridor_trees(edges: DataFrame, terminals: DataFrame) -> DataFrame:
             else:
                 nodes.append(a)
                 roots += [a] if root else []
-        return [(table.problem.iloc[0], a, b) for a, b in attach_terminals(lines, min(roots), nodes)] if roots else []
+        return [(table.problem[0], a, b) for a, b in attach_terminals(lines, min(roots), nodes)] if roots else []
 
     return map_groups(rows, "problem", ["a", "b"], kernel, f"problem {kind}, up string, down string", ["problem", "up", "down"])
 

@@ -8,8 +8,8 @@ never INFEASIBLE.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from types import SimpleNamespace
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .groups import map_groups
@@ -105,7 +105,7 @@ def solve_networks(arcs: DataFrame, terminals: DataFrame, roots: DataFrame) -> D
     rows = rows.unionByName(terminals.select("problem", F.lit("terminal").alias("kind"), null("string").alias("arc"), null("string").alias("up"), "node", F.col("units").cast("long").alias("units"), null("long").alias("cost")))
     rows = rows.unionByName(roots.select("problem", F.lit("root").alias("kind"), null("string").alias("arc"), null("string").alias("up"), "node", null("long").alias("units"), null("long").alias("cost")))
 
-    def kernel(table: pd.DataFrame) -> list[tuple]:
+    def kernel(table: SimpleNamespace) -> list[tuple]:
         choices: dict[str, list[tuple[int, int]]] = {}
         lines: dict[str, tuple[str, str, str, int]] = {}
         demand: dict[str, int] = {}
@@ -119,7 +119,7 @@ def solve_networks(arcs: DataFrame, terminals: DataFrame, roots: DataFrame) -> D
             else:
                 starts.append(node)
         status, cost, chosen = solve(Problem(demand, starts, list(lines.values()), choices))
-        return [(table.problem.iloc[0], status, cost, ",".join(chosen))]
+        return [(table.problem[0], status, cost, ",".join(chosen))]
 
     kind = arcs.schema["problem"].dataType.simpleString()
     return map_groups(rows, "problem", ["kind", "arc", "units", "cost", "node"], kernel, f"problem {kind}, status string, cost long, arcs string", ["problem", "status", "cost", "arcs"])
@@ -150,7 +150,7 @@ def discrete_choice(options: DataFrame, conflicts: DataFrame) -> DataFrame:
     rows = options.select("problem", F.lit(0).alias("kind"), "slot", "option", F.lit(None).cast(kinds["option"]).alias("other"), "cost")
     rows = rows.unionByName(conflicts.select("problem", F.lit(1).alias("kind"), null("slot"), "option", "other", null("cost")))
 
-    def kernel(table: pd.DataFrame) -> list[tuple]:
+    def kernel(table: SimpleNamespace) -> list[tuple]:
         slots: dict = {}
         bad: set[frozenset] = set()
         for row_kind, slot, option, other, cost in zip(table.kind, table.slot, table.option, table.other, table.cost, strict=True):
@@ -176,7 +176,7 @@ def discrete_choice(options: DataFrame, conflicts: DataFrame) -> DataFrame:
                     walk(i + 1, cost + c, [*chosen, option])
 
         walk(0, 0, [])
-        return [(table.problem.iloc[0], best[0], ",".join(str(int(o)) if isinstance(o, float) else str(o) for o in sorted(best[1])))]
+        return [(table.problem[0], best[0], ",".join(str(int(o)) if isinstance(o, float) else str(o) for o in sorted(best[1])))]
 
     return map_groups(rows, "problem", ["kind", "slot", "option"], kernel, f"problem {kinds['problem']}, cost long, options string", ["problem", "cost", "options"])
 
@@ -186,7 +186,7 @@ def root_matching(edges: DataFrame, capacity: int = 4) -> DataFrame:
     edges (problem, demand, root)."""
     kinds = {c: edges.schema[c].dataType.simpleString() for c in ("problem", "demand", "root")}
 
-    def kernel(table: pd.DataFrame) -> list[tuple]:
+    def kernel(table: SimpleNamespace) -> list[tuple]:
         roots: dict = {}
         for d, r in zip(table.demand, table.root, strict=True):
             roots.setdefault(d, []).append(r)
@@ -209,7 +209,7 @@ def root_matching(edges: DataFrame, capacity: int = 4) -> DataFrame:
 
         for d in roots:
             place(d, set())
-        return [(table.problem.iloc[0], d, r) for r, own in held.items() for d in own]
+        return [(table.problem[0], d, r) for r, own in held.items() for d in own]
 
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
     return map_groups(edges.select("problem", "demand", "root").distinct(), "problem", ["demand", "root"], kernel, schema, ["problem", "demand", "root"])
