@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import chamber_cost
 from .economics import crossing_multiplier, price_edges, variant_economics
+from .groups import SMALL, by_size, map_groups
+from .lineage import cut
 from .topology import CHAMBER_CAPACITY
+from .trees import chase, from_ends
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:
@@ -79,11 +85,32 @@ def recheck(stored: DataFrame, pipes: DataFrame) -> DataFrame:
     return row.select("variant", "edge", F.explode(codes).alias("code"))
 
 
-def graph_integrity(edges: DataFrame) -> DataFrame:
+def graph_integrity(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """network, nodes, edges, roots, leaves, branches, tree: shape of networks (network, up, down). A network is a tree if it has one
-    root, every other node one upstream edge, and no cycle, which pointers from node to node tell at any depth."""
-    from .trees import chase
-
+    root, every other node one upstream edge, and no cycle. Networks of up to ``small`` edges are each told in a task; in larger
+    ones pointers from node to node tell at any depth."""
+    lines = cut(edges.select("network", "up", "down"))
+    few, many = by_size(lines, "network", small)
+
+    def kernel(table: SimpleNamespace) -> list[tuple]:
+        fed, gives, above = Counter(table.down), Counter(table.up), {}
+        for up, down in zip(table.up, table.down, strict=True):
+            known = above.get(down)
+            above[down] = up if known is None else known if up is None else min(known, up)
+        nodes = fed.keys() | gives.keys()
+        roots = sum(n not in fed for n in nodes)
+        tree = roots == 1 and max(fed.values()) <= 1 and len(from_ends(above)) == len(nodes) - 1
+        branches = sum(fed[n] + gives[n] >= 3 for n in nodes)
+        return [(table.network[0], len(nodes), len(table.down), roots, sum(n not in gives for n in nodes), branches, tree)]
+
+    names = ["network", "nodes", "edges", "roots", "leaves", "branches", "tree"]
+    kind = edges.schema["network"].dataType.simpleString()
+    found = map_groups(few, "network", [], kernel, f"network {kind}, nodes long, edges long, roots long, leaves long, branches long, tree boolean", names, nulls=True)
+    return found if many is None else found.unionByName(large_integrity(many))
+
+
+def large_integrity(edges: DataFrame) -> DataFrame:
+    """``graph_integrity`` of networks of any size, by joins over all edges."""
     key = lambda c: F.struct("network", F.col(c).alias("node"))
     ends = edges.select("network", F.col("up").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select("network", F.col("down").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     degree = ends.groupBy("network", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))

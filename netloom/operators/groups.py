@@ -15,10 +15,14 @@ from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
 
-from .lineage import dealt
+from .lineage import cut, dealt
+
+#: Rows of a group up to which it is worked on within a task; larger ones go by joins over all of their rows.
+SMALL = 1000
 
 
 def map_groups(df: DataFrame, key: str, order: list[str], kernel: Callable[[SimpleNamespace], list[tuple]], schema: str, columns: list[str], nulls: bool = False) -> DataFrame:
@@ -64,3 +68,12 @@ def map_groups(df: DataFrame, key: str, order: list[str], kernel: Callable[[Simp
 
     rows = df if nulls else df.where(df[key].isNotNull())
     return dealt(rows, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def by_size(df: DataFrame, key: str, small: int = SMALL) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``df``, a table that is cheap to read twice, whose ``key`` has up to ``small`` rows, and the others, None if there are none."""
+    large = cut(df.groupBy(F.col(key).alias("large")).count().where(F.col("count") > small).select("large"))
+    if large.isEmpty():
+        return df, None
+    same = df[key].eqNullSafe(large["large"])
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")

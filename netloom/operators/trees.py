@@ -10,10 +10,12 @@ cycle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import SMALL, by_size, map_groups
 from .lineage import cut
 
 
@@ -40,6 +42,39 @@ def chase(links: DataFrame, node: str = "node", up: str = "up", weight: str | No
     return now.where("done").select("node", "end", "hops", *["total"] * (weight is not None))
 
 
+def from_ends(up: dict) -> list:
+    """The nodes of a small forest (node -> the node above it) in an order in which each comes after the one above; nodes on or below
+    a cycle are left out."""
+    below: dict = {}
+    order = []
+    for node, above in up.items():
+        if above in up:
+            below.setdefault(above, []).append(node)
+        else:
+            order.append(node)
+    for node in order:
+        order += below.get(node, ())
+    return order
+
+
+def chase_within(links: DataFrame, within: str, small: int = SMALL) -> DataFrame:
+    """node, end, hops of ``chase`` for links (node, up and ``within``, which no pointer leaves; read twice): what has up to ``small``
+    nodes is one group of a task, the rest goes by doubling."""
+    few, many = by_size(links.select(within, "node", "up"), within, small)
+
+    def kernel(table: SimpleNamespace) -> list[tuple]:
+        up = dict(zip(table.node, table.up, strict=True))
+        end: dict = {}
+        for node in from_ends(up):
+            above = up[node]
+            end[node] = (node, 0) if above is None else end[above][:1] + (end[above][1] + 1,) if above in up else (above, 1)
+        return [(node, *e) for node, e in end.items()]
+
+    kind = links.schema["node"].dataType.simpleString()
+    found = map_groups(few, within, [], kernel, f"node {kind}, end {kind}, hops long", ["node", "end", "hops"], nulls=True)
+    return found if many is None else found.unionByName(chase(many))
+
+
 def subtree_sums(forest: DataFrame, value: str, kind: str) -> DataFrame:
     """node, total: the sum of ``value`` over the subtree of each node of ``forest`` (node, up, value)."""
     return subtree(forest, value, kind, F.sum, lambda own, gain: own + F.coalesce(gain, F.lit(0)), F.lit(0))
