@@ -7,12 +7,18 @@ trees at once (``trees``).
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
-from ..functions.dims import DIAMETERS, FLOW, LENGTH, MAX_LENGTH, diameter_for
+from ..functions.dims import DIAMETERS, FLOW, LENGTH, MAX_FLOW, MAX_LENGTH, diameter_for
+from .groups import SMALL, by_size, map_groups
 from .lineage import cut
-from .trees import chase, subtree_max, subtree_sums
+from .trees import chase, chase_within, from_ends, subtree_max, subtree_sums
 
 
 def demand_by_node(demands: DataFrame) -> DataFrame:
@@ -81,9 +87,107 @@ def network_faults(edges: DataFrame, demands: DataFrame, rooted: DataFrame) -> D
     return repeated.unionByName(fed).unionByName(invalid).unionByName(lost.select("network", key("edge"), F.lit("NETWORK_CYCLE").alias("issue")))
 
 
-def size_networks(edges: DataFrame, demands: DataFrame) -> DataFrame:
+def size_networks(edges: DataFrame, demands: DataFrame, small: int = SMALL) -> DataFrame:
     """network, edge, flow, diameter, continuous, issue of edges (network, edge, up, down, length) under demands (network, node,
-    flow). Networks may be many or one of any size: every step is a join over all edges.
+    flow). Networks may be many or one of any size: those of up to ``small`` rows are each sized in a task
+    (``size_network``), and larger ones by joins over all of their edges (``size_large``); the rules are the same."""
+    none = lambda kind: F.lit(None).cast(kind)
+    edge, node = edges.schema["edge"].dataType, edges.schema["down"].dataType
+    lines = edges.select("network", F.lit(True).alias("pipe"), "edge", "up", F.col("down").alias("node"), F.col("length").cast(LENGTH).cast(FLOW).alias("amount"))
+    rows = cut(lines.unionByName(demands.select("network", F.lit(False).alias("pipe"), none(edge).alias("edge"), none(node).alias("up"), "node", F.col("flow").cast(FLOW).alias("amount"))))
+    plain = all(isinstance(rows.schema[c].dataType, IntegralType | StringType) for c in ("edge", "up", "node"))
+    few, many = by_size(rows, "network", small) if plain else (rows.limit(0), rows)
+
+    def kernel(table: SimpleNamespace) -> list[tuple]:
+        pipes, asked = [], []
+        for pipe, e, up, n, amount in zip(table.pipe, table.edge, table.up, table.node, table.grams, strict=True):
+            if pipe:
+                pipes.append((e, up, n, amount))
+            else:
+                asked.append((n, amount))
+        return [(table.network[0], *row) for row in size_network(pipes, asked)]
+
+    kind = rows.schema["network"].dataType.simpleString()
+    whole = few.withColumn("grams", (F.col("amount") * 1000).cast("long")).drop("amount")
+    found = map_groups(whole, "network", [], kernel, f"network {kind}, edge string, flow long, diameter int, continuous long, issue string", ["network", "edge", "flow", "diameter", "continuous", "issue"], nulls=True)
+    exact = lambda c, kind: (F.col(c).cast("decimal(20,0)") * F.lit("0.001").cast("decimal(4,3)")).cast(kind).alias(c)
+    sized = found.select("network", "edge", exact("flow", FLOW), "diameter", exact("continuous", LENGTH), "issue")
+    if many is None:
+        return sized
+    pipes, asked = many.where("pipe"), many.where("NOT pipe")
+    large = size_large(pipes.select("network", "edge", "up", F.col("node").alias("down"), F.col("amount").alias("length")), asked.select("network", "node", F.col("amount").alias("flow")))
+    return sized.unionByName(large)
+
+
+FLOWS, RUNS = ([int(limit[d] * 1000) for d in DIAMETERS] for limit in (MAX_FLOW, MAX_LENGTH))
+
+
+def size_network(pipes: list[tuple], asked: list[tuple]) -> list[tuple]:
+    """edge, flow, diameter, continuous, issue of one network of pipes (edge, up, down, length) under demands (node, flow), in
+    thousandths, by the rules of ``size_large``."""
+    nulls_first = lambda pipe: tuple((v is not None, v) for v in (pipe[0], pipe[1], pipe[3]))
+    fed: dict = {}
+    for pipe in pipes:
+        if pipe[2] not in fed or nulls_first(pipe) < nulls_first(fed[pipe[2]]):
+            fed[pipe[2]] = pipe
+    order = from_ends({n: pipe[1] for n, pipe in fed.items()})
+    text = lambda key: None if key is None else str(key)
+    faults = [(e, "DUPLICATE_EDGE_ID") for e, n in Counter(p[0] for p in pipes).items() if n > 1]
+    faults += [(d, "MULTIPLE_UPSTREAM_EDGES") for d, n in Counter(p[2] for p in pipes).items() if n > 1]
+    faults += [(n, "INVALID_DEMAND_FLOW") for n in {n for n, flow in asked if flow is None or flow < 0}]
+    rooted = {fed[n][0] for n in order}
+    lost = [p[0] for p in pipes if p[0] is None or p[0] not in rooted]
+    if lost:
+        faults.append((min((e for e in lost if e is not None), default=None), "NETWORK_CYCLE"))
+    if faults:
+        return [(text(key), None, None, None, issue) for key, issue in faults]
+
+    flow, distance = dict.fromkeys(order, 0), {}
+    for n, units in asked:
+        if n in flow:
+            flow[n] += units
+    for n in reversed(order):
+        if fed[n][1] in flow:
+            flow[fed[n][1]] += flow[n]
+    less = lambda a, b: None if a is None or b is None else a - b
+    head, bottom, top, above = {}, {}, {}, {}
+    for n in order:
+        _, up, _, length = fed[n]
+        before = distance.get(up, 0)
+        distance[n] = None if before is None or length is None else before + length
+        h = head[n] = head[up] if up in flow and flow[up] == flow[n] else n
+        if h == n:
+            bottom[h], top[h], above[h] = distance[n], less(distance[n], length), head.get(up) if up in flow else None
+        elif bottom[h] is None or distance[n] is not None and distance[n] > bottom[h]:
+            bottom[h] = distance[n]
+    sections = list(top)
+    size = {h: bisect_left(FLOWS, flow[h]) for h in sections}
+    joined = lambda h: above[h] in size and size[above[h]] == size[h]
+    while True:
+        far = dict(bottom)
+        for h in reversed(sections):
+            if joined(h) and far[h] is not None and (far[above[h]] is None or far[h] > far[above[h]]):
+                far[above[h]] = far[h]
+        long = {h for h in sections if size[h] < len(RUNS) and top[h] is not None and far[h] is not None and far[h] - top[h] > RUNS[size[h]]}
+        raised = [h for h in long if size[h] + 1 < len(RUNS)]
+        if not raised:
+            break
+        for h in raised:
+            size[h] += 1
+    start: dict = {}
+    for h in sections:
+        start[h] = start[above[h]] if joined(h) else h
+    out = []
+    for n in order:
+        h = head[n]
+        diameter = DIAMETERS[size[h]] if size[h] < len(DIAMETERS) else None
+        issue = "FLOW_EXCEEDS_CATALOG" if diameter is None else "MAX_CONTINUOUS_LENGTH_EXCEEDED" if n == h and h in long else None
+        out.append((text(fed[n][0]), flow[n], diameter, less(distance[n], top[start[h]]), issue))
+    return out
+
+
+def size_large(edges: DataFrame, demands: DataFrame) -> DataFrame:
+    """``size_networks`` for networks of any size: every step is a join over all edges.
 
     Neighbouring edges of equal flow form a section, which has one diameter: the least that carries the flow, is no less
     than what follows, and whose longest run of that diameter keeps to its limit. Sections start from the diameter of
@@ -142,6 +246,6 @@ def same_diameter(sections: DataFrame) -> DataFrame:
     return linked.withColumn("up", F.when(F.col("known") & F.col("diameter").eqNullSafe(F.col("wider")), F.col("up"))).drop("wider", "known")
 
 
-def networks_by_root(tree: DataFrame) -> DataFrame:
-    """node, network: the root that each node of a forest (node, up) hangs from."""
-    return chase(tree).select("node", F.col("end").alias("network"))
+def networks_by_root(tree: DataFrame, within: str | None = None) -> DataFrame:
+    """node, network: the root that each node of a forest (node, up) hangs from; ``within``: a column that no pointer leaves."""
+    return (chase_within(tree, within) if within else chase(tree)).select("node", F.col("end").alias("network"))

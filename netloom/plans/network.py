@@ -15,6 +15,7 @@ from ..functions import dims, geometry
 from ..functions.dims import pipes_sql
 from ..operators import economics, intervals, sizing, topology
 from ..operators import inspect as inspection
+from ..operators.lineage import cut
 from ..sources import features as sources
 from .project import role, role_sql
 
@@ -372,9 +373,9 @@ FROM s LEFT JOIN s u ON u.network = s.network AND u.node = s.up LEFT JOIN s v ON
 )
 def size_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diameters of many trees by dynamic programming, each tree found by its root."""
-    t = role(spark, sf_dir, "forest").withColumns({"id": F.col("network") * 10 + F.col("node"), "above": F.when(F.col("node") > 1, F.col("network") * 10 + F.floor(F.col("node") / 2))})
-    roots = sizing.networks_by_root(t.select(F.col("id").alias("node"), F.col("above").alias("up")))
-    named = t.join(roots.withColumnsRenamed({"node": "id", "network": "root"}), "id")
+    t = cut(role(spark, sf_dir, "forest").withColumns({"id": F.col("network") * 10 + F.col("node"), "above": F.when(F.col("node") > 1, F.col("network") * 10 + F.floor(F.col("node") / 2))}))
+    roots = sizing.networks_by_root(t.select("network", F.col("id").alias("node"), F.col("above").alias("up")), "network")
+    named = cut(t.join(roots.withColumnsRenamed({"node": "id", "network": "root"}), "id"))
     edges = named.select(F.col("root").alias("network"), F.col("id").alias("edge"), F.coalesce("above", F.lit(-1)).alias("up"), F.col("id").alias("down"), "length")
     demand = named.select(F.col("root").alias("network"), F.col("id").alias("node"), "flow")
     sized = sizing.size_networks(edges, demand).where("issue IS NULL")
