@@ -7,11 +7,17 @@ overlay costs what it returns and never compares all intervals of a route.
 
 from __future__ import annotations
 
+from itertools import pairwise
+from math import floor
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.dims import MONEY
 from .economics import crossing_multiplier
+from .groups import SMALL, by_size, map_groups
 from .lineage import cut
 
 #: Metres by which the special method goes on beyond a crossing.
@@ -65,20 +71,34 @@ def piece_cost(rate: Column, length_mm: Column, types: Column, depth_sum: Column
     return F.round(exact, 2).cast(MONEY)
 
 
-def route_pieces(routes: DataFrame, crossings: DataFrame, profile: DataFrame, rates: DataFrame, key: str = "route") -> DataFrame:
+def route_pieces(routes: DataFrame, crossings: DataFrame, profile: DataFrame, rates: DataFrame, key: str = "route", small: int = SMALL) -> DataFrame:
     """route, i, a, b, method (base or special), types joined by +, ids joined by +, angle (the least), diameter, depth_start, depth_end, cost:
     the pieces of routes (route, length, diameter) by crossings (route, s, e, type, id, angle), with their extensions, and depth
     profiles (route, station, depth); a route without a profile lies at the ordinary depth. Every common part of crossings
-    is a piece of its own."""
-    special, legs = cut(extended(crossings, routes, key)), cut(profile_legs(profile, key))
-    whole = routes.select(key, F.lit(0).cast("long").alias("s"), F.col("length").alias("e"))
-    cuts = cut(numbered_cuts([whole, special, legs], key))  # read by every layer
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "+")
-    named = over_pieces(special, cuts, key).groupBy(key, "i").agg(joined("type").alias("types"), joined(F.col("id").cast("string")).alias("ids"), F.min("angle").alias("angle"))
-    deep = over_pieces(legs, cuts, key).join(cuts, [key, "i"])
-    at = lambda p: F.floor(F.col("ds") + (F.col("de") - F.col("ds")) * ((F.col(p) - F.col("s")) / (F.col("e") - F.col("s"))) + 0.5).cast("long")
-    depths = deep.select(key, "i", at("a").alias("depth_start"), at("b").alias("depth_end"))
-    own = over_pieces(whole, cuts, key).select(key, "i").join(cuts, [key, "i"]).join(routes.select(key, "diameter"), key).join(named, [key, "i"], "left").join(depths, [key, "i"], "left")
+    is a piece of its own. Routes of up to ``small`` rows are each laid out in a task (``lay_out``), larger ones by joins
+    (``laid_by_joins``)."""
+    none = lambda kind="long": F.lit(None).cast(kind)
+    angle = crossings.schema["angle"].dataType.simpleString()
+    plain = all(isinstance(df.schema[c].dataType, IntegralType) for df, names in ((routes, ("length", "diameter")), (crossings, ("s", "e", "angle")), (profile, ("station", "depth"))) for c in names)
+    if plain:
+        long = lambda c, name: F.col(c).cast("long").alias(name)
+        layer = lambda kind, s, e, *rest: [key, F.lit(kind).alias("kind"), long(s, "s"), long(e, "e"), *rest]
+        empty = [none("string").alias("type"), none("string").alias("id"), none(angle).alias("angle")]
+        rows = routes.select(*layer(0, "length", "diameter", *empty)).unionByName(profile.select(*layer(1, "station", "depth", *empty)))
+        rows = cut(rows.unionByName(crossings.select(*layer(2, "s", "e", "type", F.col("id").cast("string").alias("id"), "angle"))))
+        few, many = by_size(rows, key, small)
+        kind = rows.schema[key].dataType.simpleString()
+
+        def kernel(table: SimpleNamespace) -> list[tuple]:
+            return [(getattr(table, key)[0], *piece) for piece in lay_out(table.kind, table.s, table.e, table.type, table.id, table.angle)]
+
+        names = [key, "i", "a", "b", "diameter", "types", "ids", "angle", "depth_start", "depth_end"]
+        own = map_groups(few, key, ["kind", "s", "e"], kernel, f"{key} {kind}, i int, a long, b long, diameter {routes.schema['diameter'].dataType.simpleString()}, types string, ids string, angle {angle}, depth_start long, depth_end long", names)
+        if many is not None:
+            of = lambda df: df.join(many.select(key).distinct(), key, "left_semi")
+            own = own.unionByName(laid_by_joins(of(routes), of(crossings), of(profile), key).select(*names))
+    else:
+        own = laid_by_joins(routes, crossings, profile, key)
     level = F.lit(ORDINARY_MM).cast("long")
     types = F.coalesce("types", F.lit("base"))
     priced = own.join(F.broadcast(rates.select("diameter", "rate")), "diameter", "left")  # the pipe catalog
@@ -89,6 +109,65 @@ def route_pieces(routes: DataFrame, crossings: DataFrame, profile: DataFrame, ra
     )
 
 
+def lay_out(kinds: list[int], starts: list, stops: list, types: list, ids: list, angles: list) -> list[tuple]:
+    """i, a, b, diameter, types, ids, angle, depth_start, depth_end of the pieces of one route, by the rules of ``laid_by_joins``: one row of
+    kind 0 (length, diameter), points of kind 1 (station, depth) in order, crossings of kind 2."""
+    if kinds[0] or starts[0] is None or starts[0] <= 0:
+        return []
+    length, diameter = starts[0], stops[0]
+    points = [(s, d) for kind, s, d in zip(kinds, starts, stops, strict=True) if kind == 1]
+    legs = []
+    for (s, ds), (e, de) in pairwise(points):
+        if s is None or e is None or e <= s:
+            continue
+        at = None
+        if ds is not None and de is not None and (ds - ORDINARY_MM) * (de - ORDINARY_MM) < 0:
+            at = floor(s + (e - s) * ((ORDINARY_MM - ds) / (de - ds)) + 0.5)
+        if at is not None and s < at < e:
+            legs += [(s, at, ds, ORDINARY_MM), (at, e, ORDINARY_MM, de)]
+        else:
+            legs.append((s, e, ds, de))
+    special = []
+    for kind, s, e, name, number, angle in zip(kinds, starts, stops, types, ids, angles, strict=True):
+        if kind == 2:
+            more = EXTENSION_M.get(name, 0) * 1000
+            s, e = 0 if s is None else max(0, s - more), length if e is None else min(length, e + more)
+            if s < e:
+                special.append((s, e, name, number, angle))
+    cuts = sorted({0, length, *(at for part in (*legs, *special) for at in part[:2])})
+    place = {at: i for i, at in enumerate(cuts)}
+    held: list[list] = [[] for _ in cuts]
+    for s, e, *row in special:
+        for i in range(place[s], place[e]):
+            held[i].append(row)
+    deep: list = [(None, None)] * len(cuts)
+    for s, e, ds, de in legs:
+        for i in range(place[s], place[e]):
+            if ds is not None and de is not None:
+                deep[i] = tuple(floor(ds + (de - ds) * ((at - s) / (e - s)) + 0.5) for at in cuts[i : i + 2])
+    out = []
+    for i in range(place[0], place[length]):
+        named = (None, None, None)
+        if held[i]:
+            joined = ["+".join(sorted({row[c] for row in held[i]} - {None})) for c in (0, 1)]
+            named = (*joined, min((row[2] for row in held[i] if row[2] is not None), default=None))
+        out.append((i + 1, cuts[i], cuts[i + 1], diameter, *named, *deep[i]))
+    return out
+
+
+def laid_by_joins(routes: DataFrame, crossings: DataFrame, profile: DataFrame, key: str) -> DataFrame:
+    """The pieces of ``route_pieces`` before they are priced, for routes of any size."""
+    special, legs = cut(extended(crossings, routes, key)), cut(profile_legs(profile, key))
+    whole = routes.select(key, F.lit(0).cast("long").alias("s"), F.col("length").alias("e"))
+    cuts = cut(numbered_cuts([whole, special, legs], key))  # read by every layer
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "+")
+    named = over_pieces(special, cuts, key).groupBy(key, "i").agg(joined("type").alias("types"), joined(F.col("id").cast("string")).alias("ids"), F.min("angle").alias("angle"))
+    deep = over_pieces(legs, cuts, key).join(cuts, [key, "i"])
+    at = lambda p: F.floor(F.col("ds") + (F.col("de") - F.col("ds")) * ((F.col(p) - F.col("s")) / (F.col("e") - F.col("s"))) + 0.5).cast("long")
+    depths = deep.select(key, "i", at("a").alias("depth_start"), at("b").alias("depth_end"))
+    return over_pieces(whole, cuts, key).select(key, "i").join(cuts, [key, "i"]).join(routes.select(key, "diameter"), key).join(named, [key, "i"], "left").join(depths, [key, "i"], "left")
+
+
 def piece_features(pieces: DataFrame, routes: DataFrame, key: str = "route") -> DataFrame:
     """object_type, id, variant, start_node, end_node, length_mm, cost: the pieces as pipes between nodes, and a technical node at each
     inner cut; ``routes`` (route, variant, length, up_node, down_node)."""

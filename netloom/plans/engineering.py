@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dims, geometry
 from ..functions.dims import constraints_sql, pipes_sql
 from ..operators import catalog, depth, economics, pieces, reconstruct, routing, sizing, solve, statistics, topology, validate
+from ..operators.lineage import cut
 from ..sources import features as sources
 from ..streaming import jobs
 from .network import doubles, longs
@@ -333,8 +334,8 @@ priced_piece AS (SELECT p.route, p.i, p.a, p.b, coalesce(t.types, 'base') AS typ
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    spans = role(spark, sf_dir, "spans")
-    routes = spark.sql(PIECE_ROUTES.replace("FROM spans", "FROM {spans}"), spans=spans).withColumn("diameter", dims.diameter_for(F.col("flow")))
+    spans = cut(role(spark, sf_dir, "spans"))
+    routes = cut(spark.sql(PIECE_ROUTES.replace("FROM spans", "FROM {spans}"), spans=spans).withColumn("diameter", dims.diameter_for(F.col("flow"))))
     metres = lambda c: (F.col(c) * 1000).alias(c)
     crossings = spans.select("route", metres("s"), metres("e"), "type", F.col("span").alias("id"), (F.col("s") % 91).alias("angle"))
     r, even = F.col("route"), F.col("length") - F.col("length") % 2000
