@@ -362,7 +362,7 @@ SELECT variant, object_type, count(*) AS n, count(DISTINCT start_node) AS starts
 def piece_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces as pipes and technical nodes, added up by variant."""
     found, routes = _pieces(spark, sf_dir)
-    r = F.col("route")
+    found, r = cut(found), F.col("route")  # read for pipes and for nodes
     features = pieces.piece_features(found, routes.withColumns({"variant": r % 50, "up_node": r, "down_node": r + 1}))
     return doubles(features.groupBy("variant", "object_type").agg(F.count("*").alias("n"), F.count_distinct("start_node").alias("starts"), F.count_distinct("end_node").alias("ends"), F.sum("length_mm").alias("length_mm"), F.sum("cost").alias("cost")), "cost").fillna({"length_mm": -1, "cost": -1.0})
 
@@ -376,6 +376,7 @@ SELECT variant, CAST(pipes + 8000000 AS DOUBLE) AS pieces, CAST(pipes + 8000000
 def unreconciled_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants whose declared construction cost is a kopeck off the sum of their pieces."""
     found, routes = _pieces(spark, sf_dir)
+    found = cut(found)  # read for the declared costs and for the features
     r, off = F.col("route"), F.when(F.col("variant") % 9 == 0, F.lit("0.01")).otherwise("0").cast("decimal(3,2)")
     named = routes.withColumns({"variant": r % 50, "up_node": r, "down_node": r + 1})
     whole = found.join(named.select("route", "variant"), "route").groupBy("variant").agg(F.sum("cost").alias("pipes"))
