@@ -18,7 +18,7 @@ from pyspark.sql.types import IntegralType, StringType
 from ..functions.dims import DIAMETERS, FLOW, LENGTH, MAX_FLOW, MAX_LENGTH, diameter_for
 from .groups import SMALL, by_size, map_groups
 from .lineage import cut
-from .trees import chase, chase_within, from_ends, subtree_max, subtree_sums
+from .trees import chase, chase_within, from_ends, met_by, subtree_max, subtree_sums
 
 
 def demand_by_node(demands: DataFrame) -> DataFrame:
@@ -38,9 +38,10 @@ def root_branch_flows(tree: DataFrame) -> DataFrame:
 
 def same_flow_components(tree: DataFrame, flows: DataFrame) -> DataFrame:
     """node, head: the top node of the run of edges with equal flow that a node belongs to."""
-    own = tree.select("node", "up").join(flows, "node")
+    rows = tree.count()
+    own = tree.select("node", "up").join(met_by(flows, rows), "node")
     above = flows.select(F.col("node").alias("up"), F.col("flow").alias("up_flow"))
-    linked = own.join(above, "up", "left").select("node", F.when(F.col("flow") == F.col("up_flow"), F.col("up")).alias("up"))
+    linked = own.join(met_by(above, rows), "up", "left").select("node", F.when(F.col("flow") == F.col("up_flow"), F.col("up")).alias("up"))
     return chase(linked).select("node", F.col("end").alias("head"))
 
 
@@ -77,13 +78,13 @@ def next_diameter(diameter: Column) -> Column:
     return out
 
 
-def network_faults(edges: DataFrame, demands: DataFrame, rooted: DataFrame) -> DataFrame:
+def network_faults(edges: DataFrame, demands: DataFrame, rooted: DataFrame, rows: int = 0) -> DataFrame:
     """network, key, issue: what forbids sizing. ``rooted``: the edges (network, edge) from which a source is reached."""
     key = lambda name: F.col(name).cast("string").alias("key")
     repeated = edges.groupBy("network", "edge").count().where("count > 1").select("network", key("edge"), F.lit("DUPLICATE_EDGE_ID").alias("issue"))
     fed = edges.groupBy("network", "down").count().where("count > 1").select("network", key("down"), F.lit("MULTIPLE_UPSTREAM_EDGES").alias("issue"))
     invalid = demands.where("flow IS NULL OR flow < 0").select("network", key("node"), F.lit("INVALID_DEMAND_FLOW").alias("issue")).distinct()
-    lost = edges.join(rooted, ["network", "edge"], "left_anti").groupBy("network").agg(F.min("edge").alias("edge"))
+    lost = edges.join(met_by(rooted, rows), ["network", "edge"], "left_anti").groupBy("network").agg(F.min("edge").alias("edge"))
     return repeated.unionByName(fed).unionByName(invalid).unionByName(lost.select("network", key("edge"), F.lit("NETWORK_CYCLE").alias("issue")))
 
 
@@ -202,47 +203,49 @@ def size_large(edges: DataFrame, demands: DataFrame) -> DataFrame:
     MAX_CONTINUOUS_LENGTH_EXCEEDED."""
     at = lambda name: F.struct("network", F.col(name).alias("node"))
     lines = cut(edges.select("network", "edge", "up", "down", F.col("length").cast(LENGTH)))
+    rows = lines.count()
+    wide = lambda df: met_by(df, rows)
     asked = demands.select("network", "node", F.col("flow").cast(FLOW))
     fed = lines.groupBy("network", "down").agg(F.min(F.struct("edge", "up", "length")).alias("e"))
     tree = fed.select(at("down").alias("node"), F.struct("network", F.col("e.up").alias("node")).alias("up"), F.col("e.edge").alias("edge"), F.col("e.length").alias("length"))
     ends = chase(tree, weight="length").select("node", F.col("total").alias("distance"))
-    placed = cut(tree.join(ends, "node"))
-    faults = cut(network_faults(lines, asked, placed.select("node.network", "edge")))
+    placed = cut(tree.join(wide(ends), "node"))
+    faults = cut(network_faults(lines, asked, placed.select("node.network", "edge"), rows))
     sound = placed.join(faults.select("network").distinct(), placed["node.network"] == faults["network"], "left_anti")
     demand = asked.groupBy(at("node").alias("node")).agg(F.sum("flow").alias("demand"))
-    links = cut(sound.join(demand, "node", "left"))
+    links = cut(sound.join(wide(demand), "node", "left"))
     flows = subtree_sums(links, "demand", FLOW).withColumnRenamed("total", "flow")
     heads = same_flow_components(links, flows)
-    own = cut(links.drop("demand").join(flows, "node").join(heads, "node"))
+    own = cut(links.drop("demand").join(wide(flows), "node").join(wide(heads), "node"))
 
     parts = own.groupBy("head").agg(F.max("flow").alias("flow"), F.max("distance").alias("bottom"))
     first = own.where("node = head").select("head", "up", (F.col("distance") - F.col("length")).alias("top"))
     above = own.select(F.col("node").alias("up"), F.col("head").alias("parent"))
-    sections = first.join(above, "up", "left").join(parts, "head").select(F.col("head").alias("node"), F.col("parent").alias("up"), "flow", "top", "bottom", diameter_for(F.col("flow")).alias("diameter"))
+    sections = first.join(wide(above), "up", "left").join(wide(parts), "head").select(F.col("head").alias("node"), F.col("parent").alias("up"), "flow", "top", "bottom", diameter_for(F.col("flow")).alias("diameter"))
     state = cut(sections)
     while True:
-        runs = same_diameter(state.where("diameter IS NOT NULL"))
+        runs = same_diameter(state.where("diameter IS NOT NULL"), rows)
         far = subtree_max(runs, "bottom", "decimal(28,3)").withColumnRenamed("total", "far")
         long = F.coalesce(F.col("far") - F.col("top") > length_limit(F.col("diameter")), F.lit(False))
-        measured = cut(state.join(far, "node", "left").withColumn("long", long).drop("far"))
+        measured = cut(state.join(wide(far), "node", "left").withColumn("long", long).drop("far"))
         if measured.where(F.col("long") & next_diameter(F.col("diameter")).isNotNull()).isEmpty():
             break
         raised = F.when(F.col("long"), F.coalesce(next_diameter(F.col("diameter")), F.col("diameter"))).otherwise(F.col("diameter"))
         state = cut(measured.withColumn("diameter", raised).drop("long"))
 
-    starts = chase(same_diameter(measured)).select("node", F.col("end").alias("start"))
-    run = starts.join(measured.select(F.col("node").alias("start"), F.col("top").alias("run_top")), "start").select(F.col("node").alias("head"), "run_top")
-    chosen = run.join(measured.select(F.col("node").alias("head"), "diameter", "long"), "head")
+    starts = chase(same_diameter(measured, rows)).select("node", F.col("end").alias("start"))
+    run = starts.join(wide(measured.select(F.col("node").alias("start"), F.col("top").alias("run_top"))), "start").select(F.col("node").alias("head"), "run_top")
+    chosen = run.join(wide(measured.select(F.col("node").alias("head"), "diameter", "long")), "head")
     issue = F.when(F.col("diameter").isNull(), "FLOW_EXCEEDS_CATALOG").when(F.col("long") & (F.col("node") == F.col("head")), "MAX_CONTINUOUS_LENGTH_EXCEEDED")
-    sized = own.join(chosen, "head").select("node.network", "edge", "flow", "diameter", (F.col("distance") - F.col("run_top")).cast(LENGTH).alias("continuous"), issue.alias("issue"))
+    sized = own.join(wide(chosen), "head").select("node.network", "edge", "flow", "diameter", (F.col("distance") - F.col("run_top")).cast(LENGTH).alias("continuous"), issue.alias("issue"))
     nothing = faults.select("network", F.col("key").alias("edge"), F.lit(None).cast(FLOW).alias("flow"), F.lit(None).cast("int").alias("diameter"), F.lit(None).cast(LENGTH).alias("continuous"), "issue")
     return sized.withColumn("edge", F.col("edge").cast("string")).unionByName(nothing)
 
 
-def same_diameter(sections: DataFrame) -> DataFrame:
-    """``sections`` with ``up`` only where the section above has the same diameter, or like it none."""
+def same_diameter(sections: DataFrame, rows: int = 0) -> DataFrame:
+    """``sections`` (of a table of ``rows``) with ``up`` only where the section above has the same diameter, or like it none."""
     above = sections.select(F.col("node").alias("up"), F.col("diameter").alias("wider"), F.lit(True).alias("known"))
-    linked = sections.join(above, "up", "left")
+    linked = sections.join(met_by(above, rows), "up", "left")
     return linked.withColumn("up", F.when(F.col("known") & F.col("diameter").eqNullSafe(F.col("wider")), F.col("up"))).drop("wider", "known")
 
 

@@ -19,9 +19,19 @@ from .groups import SMALL, by_size, map_groups
 from .lineage import cut
 
 
-def rounds(forest: DataFrame) -> int:
+#: Rows from which on tables meet by exchanges. Spark goes by the size of files, and written rounds are packed so well that it
+#: would send tables of a million rows through the driver, in each round again.
+WIDE = 100_000
+
+
+def rounds(rows: int) -> int:
     """Doublings that take every chain of a table of this many rows to its end."""
-    return max(1, forest.count().bit_length())
+    return max(1, rows.bit_length())
+
+
+def met_by(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be joined in a step over ``rows`` rows: from ``WIDE`` on never broadcast."""
+    return df.hint("merge") if rows >= WIDE else df
 
 
 def chase(links: DataFrame, node: str = "node", up: str = "up", weight: str | None = None) -> DataFrame:
@@ -31,12 +41,12 @@ def chase(links: DataFrame, node: str = "node", up: str = "up", weight: str | No
     base = links.select(F.col(node).alias("node"), F.col(up).alias("next"), (F.col(weight).cast("decimal(28,3)") if weight else F.lit(0)).alias("own"))
     leaves = F.col("next").isNotNull()
     now = cut(base.select("node", F.coalesce("next", "node").alias("end"), leaves.cast("long").alias("hops"), F.when(leaves, F.col("own")).otherwise(0).alias("total"), (~leaves).alias("done")))
-    kind = now.schema["total"].dataType
-    for _ in range(rounds(now)):
+    kind, size = now.schema["total"].dataType, now.count()
+    for _ in range(rounds(size)):
         if now.where("NOT done").isEmpty():
             break
         there = now.select(F.col("node").alias("end"), F.col("end").alias("far"), F.col("hops").alias("more"), F.col("total").alias("further"), F.col("done").alias("stops"))
-        open_rows = now.where("NOT done").join(there, "end", "left")
+        open_rows = now.where("NOT done").join(met_by(there, size), "end", "left")
         moved = open_rows.select("node", F.coalesce("far", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), (F.col("total") + F.coalesce("further", F.lit(0))).cast(kind).alias("total"), F.coalesce("stops", F.lit(True)).alias("done"))
         now = cut(now.where("done").unionByName(moved))
     return now.where("done").select("node", "end", "hops", *["total"] * (weight is not None))
@@ -91,12 +101,15 @@ def subtree(forest: DataFrame, value: str, kind: str, gather: Callable[[str], Co
     After k rounds a node holds what its descendants less than 2^k steps below it give, and points 2^k steps up; what
     its descendants at exactly that distance hold is what it lacks. A cycle raises NETWORK_CYCLE."""
     now = cut(forest.select("node", F.col("up").alias("at"), F.coalesce(F.col(value), missing).cast(kind).alias("total")))
-    for _ in range(rounds(now) + 1):
+    size = now.count()
+    for _ in range(rounds(size) + 1):
         climbing = now.where("at IS NOT NULL")
         if climbing.isEmpty():
             return now.select("node", "total")
         gained = climbing.groupBy(F.col("at").alias("node")).agg(gather("total").alias("gain"))
         above = climbing.select(F.col("node").alias("at"), F.col("at").alias("far"))
-        summed = now.join(gained, "node", "left").select("node", "at", combine(F.col("total"), F.col("gain")).cast(kind).alias("total"))
-        now = cut(summed.join(above, "at", "left").select("node", F.col("far").alias("at"), "total"))
+        # nodes that are done have no pointer, and would all meet in one task
+        moved = climbing.select("node", "at").join(met_by(above, size), "at", "left").select("node", "far")
+        summed = now.join(met_by(gained, size), "node", "left").select("node", combine(F.col("total"), F.col("gain")).cast(kind).alias("total"))
+        now = cut(summed.join(met_by(moved, size), "node", "left").select("node", F.col("far").alias("at"), "total"))
     raise ValueError("NETWORK_CYCLE")
