@@ -288,12 +288,12 @@ FROM ordered o JOIN least l ON l.network = o.network AND l.v = o.v LEFT JOIN bad
 def network_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depths of whole networks with shared nodes, utilities to pass above or below, floors and pinned nodes."""
     t = spark.sql(NETWORK_LINES.replace("FROM forest", "FROM {forest}"), forest=role(spark, sf_dir, "forest"))
-    named = t.select("network", F.col("node").alias("edge"), "up", F.col("node").alias("down"), "length", "mid", "top", "clearance", "height")
+    named = cut(t.select("network", F.col("node").alias("edge"), "up", F.col("node").alias("down"), "length", "mid", "top", "clearance", "height"))
     crossings = named.where("length >= 8000").select("network", "edge", (F.col("mid") - 2000).alias("s"), (F.col("mid") + 2000).alias("e"), "top", (F.col("top") + 300).alias("bottom"), "clearance", "height")
     half = named.where("edge % 3 = 1").select("network", "edge", F.lit(0).cast("long").alias("s"), F.col("mid").alias("e"), F.lit(1000).cast("long").alias("depth"))
     rest = named.where("edge % 6 = 1").select("network", "edge", (F.col("mid") - F.col("mid") % 10).alias("s"), F.col("length").alias("e"), F.lit(1200).cast("long").alias("depth"))
     pins = named.where("edge = 7 AND network % 3 = 0").select("network", F.col("edge").alias("node"), F.lit(2000).cast("long").alias("depth"))
-    found = depth.network_depths(depth.profile_points(named, crossings, half.unionByName(rest), pins, 700, 6000))
+    found = depth.profile_depths(named, crossings, half.unionByName(rest), pins, 700, 6000)
     return found.select("network", "edge", F.col("k").cast("long").alias("k"), "s", "e", "least_mm", "depth_mm").fillna({"least_mm": -1, "depth_mm": -1})
 
 
